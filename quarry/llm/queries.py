@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, simhash
+from . import fmindex, simhash, tokenfile
 from .tables import table
 
 
@@ -24,10 +24,14 @@ def op4_fmindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_fmindex": op4_fmindex, "op8_simhash": op8_simhash}
+    return {"op4_fmindex": op4_fmindex, "op7_orc_tokens": op7_orc_tokens, "op8_simhash": op8_simhash}
