@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, simhash, tokenfile
+from . import fmindex, langid, simhash, tokenfile
+from .subword import held_out
 from .tables import table
 
 
@@ -33,5 +34,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs), "found")
+    return found.select("doc_id", held_out().alias("held_out"), "found.lang_pred", "found.score", "found.rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_fmindex": op4_fmindex, "op7_orc_tokens": op7_orc_tokens, "op8_simhash": op8_simhash}
+    return {"op4_fmindex": op4_fmindex, "op7_orc_tokens": op7_orc_tokens, "op8_simhash": op8_simhash, "op10_langid": op10_langid}
