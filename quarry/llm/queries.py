@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, langid, simhash, tokenfile
+from . import fmindex, langid, linededup, mixing, simhash, tokenfile, toxicity
 from .subword import held_out
 from .tables import table
 
@@ -25,6 +25,17 @@ def op4_fmindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op6_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"))
 
@@ -34,6 +45,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "lines.n_lines", "lines.n_removed", F.md5("text").alias("text_md5"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs), "found")
@@ -41,4 +57,4 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_fmindex": op4_fmindex, "op7_orc_tokens": op7_orc_tokens, "op8_simhash": op8_simhash, "op10_langid": op10_langid}
+    return {"op4_fmindex": op4_fmindex, "op5_sainte_lague": op5_sainte_lague, "op6_subword_toxicity": op6_subword_toxicity, "op7_orc_tokens": op7_orc_tokens, "op8_simhash": op8_simhash, "op9_line_windows": op9_line_windows, "op10_langid": op10_langid}
