@@ -6,12 +6,13 @@ exceeds ``MAX_EPOCHS`` times its source's size, and what a source leaves goes
 to the others by weight until no target is above.
 
 A source is dealt into shards of about ``SHARD_WORDS`` words by a hash of its
-documents, and each shard is cut into blocks of ``BLOCK_WORDS`` words.  The
+documents, and each shard is cut into equal blocks (to a word) of at most
+``BLOCK_WORDS`` words.  The
 parties of the apportionment are all shards; a shard claims its part of its
 source's target.  Seats are blocks, awarded to the highest quotients
 claim / (2k + 1) for as long as a quotient is worth a block: the divisor form of
 the method, whose divisor is the block.  A shard's quota therefore is its claim
-over the block size, rounded to the nearest integer, and needs no global order.
+over its block size, rounded to the nearest integer, and needs no global order.
 
 A quota of q among n blocks takes every block q div n times, and q mod n blocks
 once more, chosen by a seeded hash.  A shard fits one task whatever the share
@@ -32,7 +33,7 @@ from .shared import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_EPOCHS = 3
 SHARD_WORDS = 200_000
-BLOCK_WORDS = 256
+BLOCK_WORDS = 128
 SEED = 20
 
 
@@ -81,12 +82,14 @@ def pieces(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     laid = dealt.withColumn("end", F.sum("size").over(upto)).withColumn("shard_size", F.sum("size").over(shard))
     laid = laid.withColumn("blocks", F.ceil(F.col("shard_size") / BLOCK_WORDS)).withColumn("begin", F.col("end") - F.col("size"))
     # Sainte-Laguë with the block as divisor: every quotient claim / (k + 1/2) worth a block is awarded.
-    laid = laid.withColumn("quota", F.floor(F.col("target") * F.col("shard_size") / F.col("source_size") / BLOCK_WORDS + 0.5))
-    first, last = F.floor(F.col("begin") / BLOCK_WORDS), F.floor((F.col("end") - 1) / BLOCK_WORDS)
+    laid = laid.withColumn("quota", F.floor(F.col("target") / F.col("source_size") * F.col("blocks") + 0.5))
+    # Block k holds the words from floor(k * shard_size / blocks) on.
+    first = F.expr("((begin + 1) * blocks - 1) div shard_size")
+    last = F.expr("(`end` * blocks - 1) div shard_size")
     cut = laid.select("*", F.explode(F.sequence(first, last)).alias("block"))
     cut = cut.withColumn("rank", F.dense_rank().over(shard.orderBy(F.xxhash64("source", "shard", "block", F.lit(SEED + 2)), "block")))
-    start = F.greatest(F.col("begin"), F.col("block") * BLOCK_WORDS)
-    stop = F.least(F.col("end"), (F.col("block") + 1) * BLOCK_WORDS)
+    start = F.greatest(F.col("begin"), F.expr("block * shard_size div blocks"))
+    stop = F.least(F.col("end"), F.expr("(block + 1) * shard_size div blocks"))
     times = F.floor(F.col("quota") / F.col("blocks")) + (F.col("rank") <= F.col("quota") % F.col("blocks")).cast("long")
     return cut.select("source", "shard", "row", (start - F.col("begin")).cast("int").alias("from_word"), (stop - start).cast("int").alias("n_words"), times.cast("int").alias("times"))
 
