@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, langid, linededup, mixing, simhash, tokenfile, toxicity
+from . import fmindex, langid, linededup, mixing, pseudonyms, simhash, tokenfile, toxicity
 from .subword import held_out
 from .tables import table
 
 
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = spark.conf.get("spark.quarry.pii.key", pseudonyms.DEFAULT_KEY)
+    done = pseudonyms.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key=key)
+    return done.select("doc_id", "text", F.size("pii").cast("long").alias("n_replaced"), F.array_join("pii", ",").alias("kinds"))
+
+
 def op4_fmindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = fmindex.find_phrases(docs, table(spark, sf_dir, "benchmark"), "found")
@@ -57,4 +63,4 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_fmindex": op4_fmindex, "op5_sainte_lague": op5_sainte_lague, "op6_subword_toxicity": op6_subword_toxicity, "op7_orc_tokens": op7_orc_tokens, "op8_simhash": op8_simhash, "op9_line_windows": op9_line_windows, "op10_langid": op10_langid}
+    return {"op1_feistel_pseudonyms": op1_feistel_pseudonyms, "op4_fmindex": op4_fmindex, "op5_sainte_lague": op5_sainte_lague, "op6_subword_toxicity": op6_subword_toxicity, "op7_orc_tokens": op7_orc_tokens, "op8_simhash": op8_simhash, "op9_line_windows": op9_line_windows, "op10_langid": op10_langid}
