@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, fmindex, langid, linededup, mixing, pseudonyms, simhash, tokenfile, toxicity
+from . import covertree, fmindex, langid, linededup, mixing, pitmanyor, pseudonyms, simhash, tokenfile, toxicity
 from .subword import held_out
 from .tables import table
 
@@ -22,6 +22,10 @@ def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.vector_links(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitmanyor.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_fmindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = fmindex.find_phrases(docs, table(spark, sf_dir, "benchmark"), "found")
@@ -67,4 +71,4 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_feistel_pseudonyms": op1_feistel_pseudonyms, "op2_cover_tree": op2_cover_tree, "op4_fmindex": op4_fmindex, "op5_sainte_lague": op5_sainte_lague, "op6_subword_toxicity": op6_subword_toxicity, "op7_orc_tokens": op7_orc_tokens, "op8_simhash": op8_simhash, "op9_line_windows": op9_line_windows, "op10_langid": op10_langid}
+    return {"op1_feistel_pseudonyms": op1_feistel_pseudonyms, "op2_cover_tree": op2_cover_tree, "op3_pitman_yor": op3_pitman_yor, "op4_fmindex": op4_fmindex, "op5_sainte_lague": op5_sainte_lague, "op6_subword_toxicity": op6_subword_toxicity, "op7_orc_tokens": op7_orc_tokens, "op8_simhash": op8_simhash, "op9_line_windows": op9_line_windows, "op10_langid": op10_langid}
