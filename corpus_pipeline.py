@@ -1,26 +1,71 @@
-"""A corpus pipeline: each stage applies one of the corpus operators to all that its predecessor kept."""
+"""A corpus pipeline: each stage applies one corpus operator to all that its predecessor kept.
+
+``STAGES`` lists (name, function) pairs.  A function takes (spark, docs, sf_dir)
+and returns a DataFrame; it is written as Parquet and read again as the next
+stage's ``docs``.  All but the last return the columns of their ``docs``.
+
+1. language ID: documents that it rejects go;
+2. SimHash near-dedup: one document of each group stays, the one with the least doc_id;
+3. benchmark decontamination: documents that hold passages of two or more benchmark items go;
+4. mixing: a document holds the words that the mix takes, repeats included; untaken ones go;
+5. token ids: what is left is written as ORC token files, and each document's entry is read back.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import simhash
+from quarry.llm import fmindex, langid, mixing, simhash, tokenfile
 from quarry.llm.shared import materialize
 from quarry.llm.tables import table
 
 
+def _free_name(docs: DataFrame, name: str) -> str:
+    """``name``, or the first variant of it that is no column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    name = _free_name(docs, "language")
+    found = langid.identify(docs, langid.fit(docs), name)
+    return found.where(f"not `{name}`.rejected").select(*[f"`{c}`" for c in docs.columns])
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the least doc_id."""
     return simhash.first_of_groups(docs, simhash.simhash_groups(docs))
 
 
-STAGES = [("simhash near-dedup", drop_near_copies)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    name = _free_name(docs, "benchmark")
+    found = fmindex.find_phrases(docs, table(spark, sf_dir, "benchmark"), name)
+    return found.where(~fmindex.contaminated(name)).select(*[f"`{c}`" for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(docs)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("SimHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources", mix_sources),
+    ("token-ID output", write_token_files),
+]
 
+#: Trained embeddings, XXH64 and a tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for _, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), "stage")
     return docs

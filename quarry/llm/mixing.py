@@ -119,7 +119,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     sizes = materialize(sized(rows.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), F.col("doc.text").alias("text"))), "sizes")
     plan = materialize(targets(sizes), "targets")
     parts = pieces(sizes, plan).where("times > 0").groupBy("source", "shard", "row").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words", "times"))).alias("parts")).select("row", "parts")
-    met = rows.join(parts, "row")
+    met = rows.hint("merge").join(parts, "row")
     words = F.regexp_extract_all(F.col("doc.text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
 
     def epoch(tokens: Column, k: Column) -> Column:

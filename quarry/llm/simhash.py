@@ -172,4 +172,4 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that are not a later member of a group; rows without id stay."""
     later = groups.where("component_id is not null and doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_later")).distinct()
-    return docs.join(later, F.col(id_col) == F.col("_later"), "left_anti")
+    return docs.hint("merge").join(later, F.col(id_col) == F.col("_later"), "left_anti")
