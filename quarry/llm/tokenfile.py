@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,8 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 ROW_INDEX = 1000
 STRIPE = 32 << 20
-REMEMBERED = 1_500_000
+REMEMBERED = 500_000
+SLICE_BYTES = 1 << 20
 FILE_SCHEMA = "part int, doc_id long, before long, n_tokens long, ids array<int>"
 
 _LETTER = np.zeros(256, bool)
@@ -90,34 +92,44 @@ class Encoder:
             if _BLANK[inside].any() or token.lstrip or token.rstrip or token.single_word:
                 raise ValueError(f"added token {token.content!r} depends on its neighbours")
             self.cuts[inside[1:]] = False
-        self._forget()
 
-    def _forget(self) -> None:
         self.key = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int32)
+        self.met = np.zeros(0, np.uint8)  # whether it was met again
         self.ids = np.zeros(0, np.int32)
 
-    def _ask(self, raw: bytes, start: np.ndarray, end: np.ndarray, plain: np.ndarray) -> list[list[int]]:
-        """The library's ids.  ``plain`` pieces are letters with at most a blank before them: one
-        pre-token each, so they go straight to the library's BPE model, written as it writes bytes."""
-        out, tokenize, written = [None] * len(start), self.tokenizer.model.tokenize, _WRITTEN[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-32-le")
-        for k, a, b in zip(np.flatnonzero(plain).tolist(), start[plain].tolist(), end[plain].tolist(), strict=True):
-            out[k] = [t.id for t in tokenize(written[a:b])]
-        rest = [raw[a:b].decode() for a, b in zip(start[~plain].tolist(), end[~plain].tolist(), strict=True)]
-        for k, e in zip(np.flatnonzero(~plain).tolist(), self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            out[k] = e.ids
-        return out
-
-    def _learn(self, key: np.ndarray, lists: list[list[int]]) -> None:
+    def _forget(self) -> None:
+        """Keep the pieces that were met again since the last time, if they are few enough."""
+        keep = np.flatnonzero(self.met)
+        if 2 * len(keep) > self.remembered:
+            keep = keep[:0]
+        size = self.size[keep].astype(np.int64)
+        ends = np.cumsum(size)
+        self.ids = self.ids[np.arange(int(size.sum())) + np.repeat(self.at[keep] - (ends - size), size)]
+        self.key, self.at, self.size, self.met = self.key[keep], ends - size, self.size[keep], np.zeros(len(keep), np.uint8)
+
+    def _ask(self, raw: bytes, start: np.ndarray, end: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of pieces, and how many each has.
+
+        ``plain`` pieces are letters with at most a blank before them: one pre-token each,
+        so they go straight to the library's BPE model, written as it writes bytes."""
+        tokenize, written = self.tokenizer.model.tokenize, _WRITTEN[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-32-le")
+        ids, size = array("i"), array("i")
+        for a, b, one in zip(start.tolist(), end.tolist(), plain.tolist(), strict=True):
+            got = [t.id for t in tokenize(written[a:b])] if one else self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids
+            ids.extend(got)
+            size.append(len(got))
+        return np.array(ids, np.int32), np.array(size, np.int32)
+
+    def _learn(self, key: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
         """Add the ids of pieces, ``key`` sorted and new."""
-        size = np.fromiter(map(len, lists), np.int32, len(lists))
-        ids = np.fromiter((i for x in lists for i in x), np.int32, int(size.sum()))
         at = len(self.ids) + np.cumsum(size, dtype=np.int64) - size
         where = np.searchsorted(self.key, key)
         self.key = np.insert(self.key, where, key)
         self.at = np.insert(self.at, where, at)
         self.size = np.insert(self.size, where, size)
+        self.met = np.insert(self.met, where, 0)
         self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +156,9 @@ class Encoder:
             self._forget()
         if len(self.key):
             spot = np.minimum(np.searchsorted(self.key, new), len(self.key) - 1)
-            unseen = np.flatnonzero(self.key[spot] != new)
+            known = self.key[spot] == new
+            self.met[spot[known]] = 1
+            unseen = np.flatnonzero(~known)
         else:
             unseen = np.arange(len(new))
         if len(unseen):
@@ -154,7 +168,7 @@ class Encoder:
             np.cumsum(~(letter | _LEAD[seg]), out=odd[1:])
             plain = odd[p + z] == odd[np.minimum(p + (seg[p] == 0x20), p + z)]
             plain &= z > (seg[p] == 0x20)
-            self._learn(new[unseen], self._ask(raw, p, p + z, plain))
+            self._learn(new[unseen], *self._ask(raw, p, p + z, plain))
         spot = np.searchsorted(self.key, new)[of]
         each = self.size[spot].astype(np.int64)
         ends = np.cumsum(each)
@@ -186,7 +200,7 @@ def encode_sorted(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = E
         own, before, enc = TaskContext.get().partitionId(), 0, encoder(vocabulary_path(vocabulary))
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, SLICE_BYTES):
                 ids, n = _with_ends(*enc.encode(data, offsets[a : b + 1]), end_id)
                 cut = np.cumsum(n)
                 yield pa.RecordBatch.from_arrays(
