@@ -63,7 +63,8 @@ def dedup_lines(docs: DataFrame, name: str = "lines") -> DataFrame:
     """``docs`` with shortened texts and a struct column ``name``: n_lines, n_removed, stretches."""
     marks = materialize(repeated_stretches(docs.select("doc_id", "text")), "stretches")
     marks = marks.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("stretches").alias("_cut"))
-    met = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_th")), "left")
+    # The merge hint keeps the plan the same at every size: a broadcast would only hold for small corpora.
+    met = docs.hint("merge").join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_th")), "left")
     lines, cut = _lines(F.col("text")), F.col("_cut")
 
     def between(x: Column, k: Column) -> Column:
