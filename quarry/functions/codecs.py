@@ -1,0 +1,295 @@
+"""Decompression as BINARY to BINARY, with a bound on what one row may become.
+
+A row that is damaged, or would grow beyond the bound, gives null, or the
+decoded beginning under ``salvage``: UDF memory does not spill, so the bound is
+what keeps a task within its memory.
+"""
+
+from __future__ import annotations
+
+import bz2
+import gzip
+import lzma
+import struct
+import zlib
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .udf import per_value
+
+MAX_OUTPUT = 256 << 20
+
+
+class Damaged(ValueError):
+    """Input that can't be decoded; ``prefix`` is what could."""
+
+    def __init__(self, prefix: bytes = b""):
+        super().__init__("damaged or too large")
+        self.prefix = prefix
+
+
+def _stream(new: Callable, data: bytes, limit: int, multi: bool = False) -> bytes:
+    out, rest = bytearray(), data
+    while rest:
+        d = new()
+        try:
+            if hasattr(d, "needs_input"):
+                out += d.decompress(rest, limit + 1 - len(out))
+            else:
+                out += d.decompress(rest, limit + 1 - len(out))
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError) as e:
+            raise Damaged(bytes(out)) from e
+        if len(out) > limit or not d.eof:
+            raise Damaged(bytes(out[:limit]))
+        rest = d.unused_data if multi else b""
+    return bytes(out)
+
+
+def lz10(data: bytes, limit: int = MAX_OUTPUT) -> bytes:
+    """LZ77 of handheld consoles: type 0x10, 24-bit size, flag bytes, 12-bit distances."""
+    if len(data) < 4 or data[0] not in (0x10, 0x11):
+        raise Damaged
+    size, at, out = int.from_bytes(data[1:4], "little"), 4, bytearray()
+    if size == 0 and len(data) >= 8:
+        size, at = struct.unpack_from("<I", data, 4)[0], 8
+    if size > limit:
+        raise Damaged
+    try:
+        while len(out) < size:
+            flags, at = data[at], at + 1
+            for bit in range(7, -1, -1):
+                if len(out) >= size:
+                    break
+                if not flags >> bit & 1:
+                    out.append(data[at])
+                    at += 1
+                    continue
+                first = data[at]
+                if data[0] == 0x10 or first >> 4 > 1:
+                    length, far, at = (first >> 4) + (3 if data[0] == 0x10 else 1), (first & 15) << 8 | data[at + 1], at + 2
+                elif first >> 4 == 0:
+                    length, far, at = (((first & 15) << 4) | data[at + 1] >> 4) + 0x11, (data[at + 1] & 15) << 8 | data[at + 2], at + 3
+                else:
+                    length, far, at = (((first & 15) << 12) | data[at + 1] << 4 | data[at + 2] >> 4) + 0x111, (data[at + 2] & 15) << 8 | data[at + 3], at + 4
+                far += 1
+                if far > len(out):
+                    raise Damaged(bytes(out))
+                for _ in range(length):
+                    out.append(out[-far])
+    except IndexError as e:
+        raise Damaged(bytes(out)) from e
+    return bytes(out[:size])
+
+
+def lzss(data: bytes, limit: int = MAX_OUTPUT, start: int = 4096 - 16, fill: int = 0x20) -> bytes:
+    """LZSS with a 4,096-byte ring: flags low bit first, 12-bit places, lengths from 3."""
+    ring, at, out, i = bytearray([fill]) * 4096, start, bytearray(), 0
+    while i < len(data):
+        flags, i = data[i], i + 1
+        for bit in range(8):
+            if i >= len(data):
+                break
+            if flags >> bit & 1:
+                run, i = data[i : i + 1], i + 1
+            else:
+                if i + 1 >= len(data):
+                    return bytes(out)
+                place, length, i = data[i] | (data[i + 1] & 0xF0) << 4, (data[i + 1] & 15) + 3, i + 2
+                run = None
+            for k in range(1 if run else length):
+                b = run[0] if run else ring[(place + k) & 4095]
+                out.append(b)
+                ring[at] = b
+                at = (at + 1) & 4095
+            if len(out) > limit:
+                raise Damaged(bytes(out[:limit]))
+    return bytes(out)
+
+
+def szdd(data: bytes, limit: int = MAX_OUTPUT) -> bytes:
+    """Microsoft's COMPRESS.EXE (SZDD)."""
+    if data[:8] != bytes.fromhex("535A444488F02733") or len(data) < 14:
+        raise Damaged
+    size = struct.unpack_from("<I", data, 10)[0]
+    out = lzss(data[14:], min(limit, size + 18))
+    if len(out) < size:
+        raise Damaged(out)
+    return out[:size]
+
+
+def rle90(data: bytes, limit: int = MAX_OUTPUT) -> bytes:
+    """Runs marked by 0x90, as in ARC and BinHex: 0x90 0x00 is the mark itself."""
+    out, i = bytearray(), 0
+    while i < len(data):
+        b, i = data[i], i + 1
+        if b != 0x90:
+            out.append(b)
+        elif i >= len(data):
+            raise Damaged(bytes(out))
+        else:
+            n, i = data[i], i + 1
+            if n == 0:
+                out.append(0x90)
+            elif not out:
+                raise Damaged
+            else:
+                out += out[-1:] * (n - 1)
+        if len(out) > limit:
+            raise Damaged(bytes(out[:limit]))
+    return bytes(out)
+
+
+def packbits(data: bytes, limit: int = MAX_OUTPUT) -> bytes:
+    """PackBits runs, as in TIFF and MacPaint."""
+    out, i = bytearray(), 0
+    while i < len(data):
+        n, i = data[i], i + 1
+        if n < 128:
+            if i + n + 1 > len(data):
+                raise Damaged(bytes(out))
+            out += data[i : i + n + 1]
+            i += n + 1
+        elif n > 128:
+            if i >= len(data):
+                raise Damaged(bytes(out))
+            out += data[i : i + 1] * (257 - n)
+            i += 1
+        if len(out) > limit:
+            raise Damaged(bytes(out[:limit]))
+    return bytes(out)
+
+
+def lzw_compress_z(data: bytes, limit: int = MAX_OUTPUT) -> bytes:
+    """Unix compress (.Z): codes of 9 to 16 bits, a clear code in block mode."""
+    if data[:2] != b"\x1f\x9d" or len(data) < 3:
+        raise Damaged
+    most, block = data[2] & 31, data[2] >> 7
+    table: list[bytes] = []
+
+    def reset() -> None:
+        table[:] = [bytes([b]) for b in range(256)] + ([b""] if block else [])
+
+    reset()
+    bits, buf, width, out, last, group = 0, 0, 9, bytearray(), b"", 0
+    i = 3
+    while True:
+        while bits < width and i < len(data):
+            buf |= data[i] << bits
+            bits, i = bits + 8, i + 1
+        if bits < width:
+            return bytes(out)
+        code, buf, bits, group = buf & (1 << width) - 1, buf >> width, bits - width, group + 1
+        if block and code == 256:
+            skip = (-group % 8) * width  # codes come in groups of eight
+            while bits < skip and i < len(data):
+                buf |= data[i] << bits
+                bits, i = bits + 8, i + 1
+            buf, bits = buf >> min(skip, bits), max(0, bits - skip)
+            reset()
+            width, last, group = 9, b"", 0
+            continue
+        if code < len(table):
+            word = table[code]
+        elif last and code == len(table):
+            word = last + last[:1]
+        else:
+            raise Damaged(bytes(out))
+        out += word
+        if last and len(table) < 1 << most:
+            table.append(last + word[:1])
+        last = word
+        if len(table) > (1 << width) - 1 and width < most:
+            skip = (-group % 8) * width
+            while bits < skip and i < len(data):
+                buf |= data[i] << bits
+                bits, i = bits + 8, i + 1
+            buf, bits = buf >> min(skip, bits), max(0, bits - skip)
+            width, group = width + 1, 0
+        if len(out) > limit:
+            raise Damaged(bytes(out[:limit]))
+
+
+def _arrow_codec(name: str) -> Callable[[bytes, int], bytes]:
+    def run(data: bytes, limit: int = MAX_OUTPUT) -> bytes:
+        try:
+            out = pa.CompressedInputStream(pa.BufferReader(data), name).read(limit + 1)
+        except OSError as e:
+            raise Damaged from e
+        if len(out) > limit:
+            raise Damaged(out[:limit])
+        return out
+
+    return run
+
+
+DECODERS: dict[str, Callable[[bytes, int], bytes]] = {
+    "deflate": lambda d, n: _stream(lambda: zlib.decompressobj(-15), d, n),
+    "zlib": lambda d, n: _stream(zlib.decompressobj, d, n),
+    "gzip": lambda d, n: _stream(lambda: zlib.decompressobj(31), d, n, True),
+    "bzip2": lambda d, n: _stream(bz2.BZ2Decompressor, d, n, True),
+    "xz": lambda d, n: _stream(lambda: lzma.LZMADecompressor(lzma.FORMAT_XZ), d, n, True),
+    "lzma": lambda d, n: _stream(lambda: lzma.LZMADecompressor(lzma.FORMAT_ALONE), d, n),
+    "zstd": _arrow_codec("zstd"),
+    "lz4": _arrow_codec("lz4"),
+    "brotli": _arrow_codec("brotli"),
+    "lz10": lz10,
+    "lzss": lzss,
+    "szdd": szdd,
+    "rle90": rle90,
+    "packbits": packbits,
+    "compress": lzw_compress_z,
+    "store": lambda d, n: d if len(d) <= n else _too_large(d, n),
+}
+
+ENCODERS: dict[str, Callable[[bytes], bytes]] = {
+    "deflate": lambda d: zlib.compress(d, 6, -15),
+    "zlib": zlib.compress,
+    "gzip": lambda d: gzip.compress(d, mtime=0),
+    "bzip2": bz2.compress,
+    "xz": lzma.compress,
+    "lzma": lambda d: lzma.compress(d, lzma.FORMAT_ALONE),
+    "zstd": lambda d: pa.compress(d, "zstd", asbytes=True),
+    "store": bytes,
+}
+
+
+def _too_large(data: bytes, limit: int) -> bytes:
+    raise Damaged(data[:limit])
+
+
+def decode_bytes(data: bytes, method: str, limit: int = MAX_OUTPUT, salvage: bool = False) -> bytes | None:
+    try:
+        return DECODERS[method](data, limit)
+    except Damaged as e:
+        return e.prefix if salvage else None
+
+
+def decompress(data: Column, method: str, limit: int = MAX_OUTPUT, salvage: bool = False) -> Column:
+    """The decoded bytes; null if damaged, or the decoded beginning under ``salvage``."""
+    if method not in DECODERS:
+        raise ValueError(f"no decoder named {method!r}")
+
+    @per_value("binary")
+    def run(content: bytes):
+        return decode_bytes(content, method, limit, salvage)
+
+    return run(data)
+
+
+def compress(data: Column, method: str) -> Column:
+    if method not in ENCODERS:
+        raise ValueError(f"no encoder named {method!r}")
+
+    @per_value("binary")
+    def run(content: bytes):
+        return ENCODERS[method](content)
+
+    return run(data)
+
+
+def aes_cbc(data: Column, key: Column, iv: Column) -> Column:
+    """AES-CBC with PKCS padding, in the JVM; ``iv`` is put before the content as Spark expects it."""
+    return F.try_aes_decrypt(F.concat(iv, data), key, F.lit("CBC"), F.lit("PKCS"))

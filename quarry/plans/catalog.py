@@ -1,21 +1,721 @@
-"""Registered queries and their SQL counterparts."""
+"""Registered queries and their SQL counterparts.
+
+Each query takes a session and a folder of tables and returns a DataFrame over
+the whole of its tables.  The SQL next to it is an independent formulation for
+DuckDB; queries without it are beyond SQL and are held against known answers in
+the tests.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import bytes as b
+from quarry.functions import codecs, digests, net, search, stats, text, transforms
+from quarry.operators import carve, detect, layout, members, relate, report, strings_scan
+from quarry.streaming import jobs
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def _contents(spark: SparkSession, sf_dir: str, table: str = "documents", key: str = "doc_id", column: str = "text") -> DataFrame:
+    return _table(spark, sf_dir, table).select(key, b.content(F.col(column)).alias("content"))
+
+
+#: The bytes of a column in DuckDB, one row each: key, position, value.
+def _bytes_sql(table: str = "documents", key: str = "doc_id", column: str = "text") -> str:
+    return f"""SELECT {key}, generate_subscripts(l, 1) - 1 AS p, ('0x' || unnest(l))::INT AS v
+      FROM (SELECT {key}, regexp_extract_all(hex(encode({column})), '..') AS l FROM {table})"""
+
+
+# ---- byte statistics
+
+
+@query(f"""WITH y AS ({_bytes_sql()}),
+  c AS (SELECT doc_id, v, count(*) AS n FROM y GROUP BY ALL),
+  s AS (SELECT doc_id, sum(n) AS t, sum(n * log2(n)) AS e, sum(n) FILTER (v BETWEEN 32 AND 126) AS q FROM c GROUP BY 1)
+  SELECT d.doc_id, octet_length(encode(d.text))::BIGINT AS n_bytes, md5(d.text) AS md5, sha256(d.text) AS sha256,
+    round(coalesce(log2(s.t) - s.e / s.t, 0), 6) AS entropy, round(coalesce(s.q, 0) / s.t, 6) AS printable, 'BINARY' AS file_type
+  FROM documents d LEFT JOIN s USING (doc_id)""")
+def scan_documents(spark, sf_dir):
+    """The basic report: size, digests, entropy, printable share and structural type of each content."""
+    rows = _contents(spark, sf_dir).withColumn("counts", stats.histogram(F.col("content")))
+    data, counts = F.col("content"), F.col("counts")
+    return rows.select("doc_id", b.size(data).cast("long").alias("n_bytes"), F.md5(data).alias("md5"), F.sha2(data, 256).alias("sha256"), F.round(stats.entropy(counts), 6).alias("entropy"), F.round(stats.printable_ratio(counts), 6).alias("printable"), detect.ladder(data).alias("file_type"))
+
+
+@query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents")
+def doc_digests(spark, sf_dir):
+    made = digests.builtin(F.col("content"))
+    return _contents(spark, sf_dir).select("doc_id", *[made[k].alias(k) for k in ("md5", "sha1", "sha256")])
+
+
+@query()
+def doc_checksums(spark, sf_dir):
+    """Checksums and digests that SQL has no function for."""
+    data = F.col("content")
+    return _contents(spark, sf_dir).select(
+        "doc_id", F.crc32(data).alias("crc32"), *[digests.crc(n)(data).alias(n) for n in ("crc16_arc", "crc32c", "crc64_xz")], digests.sha512_256(data).alias("sha512_256"), digests.blake2sp(data).alias("blake2sp"))
+
+
+@query(f"""WITH y AS ({_bytes_sql()}), n AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents)
+  SELECT n.doc_id, ((n.n + coalesce(sum((n.n - p) * v), 0))::HUGEINT % 65521 * 65536 + (1 + coalesce(sum(v), 0)) % 65521)::BIGINT AS adler32
+  FROM n LEFT JOIN y USING (doc_id) GROUP BY n.doc_id, n.n""")
+def doc_adler32(spark, sf_dir):
+    return _contents(spark, sf_dir).select("doc_id", digests.adler32(F.col("content")).alias("adler32"))
+
+
+@query(f"""WITH y AS ({_bytes_sql('conversations', 'conv_id, turn')}),
+  s AS (SELECT conv_id, turn, sum(CASE WHEN p % 2 = 0 THEN v * 256 ELSE v END)::BIGINT AS t FROM y GROUP BY 1, 2),
+  f AS (SELECT conv_id, turn, t % 65536 + t // 65536 AS t FROM s), g AS (SELECT conv_id, turn, t % 65536 + t // 65536 AS t FROM f)
+  SELECT conv_id, turn, (65535 - coalesce(t, 0))::BIGINT AS checksum FROM conversations LEFT JOIN g USING (conv_id, turn)""")
+def turn_internet_checksum(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", transforms.internet_checksum(b.content(F.col("text"))).cast("long").alias("checksum"))
+
+
+@query(f"SELECT doc_id, v AS value, count(*) AS n FROM ({_bytes_sql()}) GROUP BY 1, 2")
+def doc_byte_hist(spark, sf_dir):
+    counts = _contents(spark, sf_dir).select("doc_id", F.posexplode(stats.histogram(F.col("content"))).alias("value", "n"))
+    return counts.where("n > 0")
+
+
+@query(f"""WITH c AS (SELECT doc_id, v, count(*) AS n FROM ({_bytes_sql()}) GROUP BY 1, 2),
+  m AS (SELECT doc_id, sum(v * n)::BIGINT AS byte_sum, sum(v * n) / sum(n) AS mean, arg_min(v, (-n, v)) AS mode FROM c GROUP BY 1)
+  SELECT c.doc_id, any_value(byte_sum) AS byte_sum, round(any_value(mean), 6) AS mean, round(sum(abs(c.v - m.mean) * c.n) / sum(c.n), 6) AS deviation,
+    any_value(mode)::INT AS mode, coalesce(sum(c.n) FILTER (c.v = 32), 0)::BIGINT AS blanks
+  FROM c JOIN m USING (doc_id) GROUP BY 1""")
+def doc_byte_moments(spark, sf_dir):
+    rows = _contents(spark, sf_dir).where(F.octet_length("content") > 0).withColumn("c", stats.histogram(F.col("content")))
+    c = F.col("c")
+    rows = rows.withColumn("m", stats.mean(c))
+    return rows.select("doc_id", stats.byte_sum(c).alias("byte_sum"), F.round("m", 6).alias("mean"), F.round(stats.deviation(c, F.col("m")), 6).alias("deviation"), stats.mode(c).alias("mode"), stats.count_of(c, 32).alias("blanks"))
+
+
+@query(f"""WITH c AS (SELECT page_id, v, count(*) AS n FROM ({_bytes_sql('pages', 'page_id', 'html')}) GROUP BY 1, 2)
+  SELECT page_id, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM c GROUP BY 1""")
+def page_entropy(spark, sf_dir):
+    rows = _contents(spark, sf_dir, "pages", "page_id", "html")
+    return rows.select("page_id", F.round(stats.entropy(stats.histogram(F.col("content"))), 6).alias("entropy"))
+
+
+@query(f"""WITH y AS (SELECT doc_id, v, lead(v) OVER (PARTITION BY doc_id ORDER BY p) AS w FROM ({_bytes_sql()})),
+  s AS (SELECT doc_id, count(*) AS n, sum(v)::BIGINT AS byte_sum, sum(v * v)::BIGINT AS square_sum, coalesce(sum(v * w), 0)::BIGINT AS adjacent_sum FROM y GROUP BY 1)
+  SELECT doc_id, byte_sum, square_sum, adjacent_sum, round(CASE WHEN n * square_sum = byte_sum * byte_sum THEN -100000 ELSE (n * adjacent_sum - byte_sum * byte_sum) / (n * square_sum - byte_sum * byte_sum)::DOUBLE END, 6) AS correlation
+  FROM s""")
+def doc_serial_sums(spark, sf_dir):
+    rows = _contents(spark, sf_dir).where(F.octet_length("content") > 0).withColumn("s", stats.serial_sums(F.col("content")))
+    return rows.select("doc_id", "s.*", F.round(stats.serial_correlation(F.col("s"), F.octet_length("content").cast("long")), 6).alias("correlation"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) // 6 AS n FROM documents),
+  p AS (SELECT doc_id, n, unnest(range(n)) AS k, h FROM d),
+  q AS (SELECT doc_id, n, ('0x' || substr(h, 12 * k::INT + 1, 6))::BIGINT AS x, ('0x' || substr(h, 12 * k::INT + 7, 6))::BIGINT AS y FROM p),
+  s AS (SELECT doc_id, n, count(*) FILTER (x * x + y * y < {stats.CIRCLE_LIMIT}) AS hits FROM q GROUP BY 1, 2)
+  SELECT doc_id, round(abs(4.0 * coalesce(hits, 0) / nullif(d.n, 0) - {math.pi}) / {math.pi}, 6) AS pi_off FROM d LEFT JOIN s USING (doc_id)""")
+def doc_monte_carlo_pi(spark, sf_dir):
+    return _contents(spark, sf_dir).select("doc_id", F.round(stats.monte_carlo_pi(F.col("content")), 6).alias("pi_off"))
+
+
+# ---- strings and searches
+
+
+@query(r"SELECT doc_id, generate_subscripts(l, 1) - 1 AS n, unnest(l) AS s FROM (SELECT doc_id, regexp_extract_all(text, '[\x20-\x7E]{8,}') AS l FROM documents)")
+def doc_strings(spark, sf_dir):
+    rows = _contents(spark, sf_dir).select("doc_id", F.posexplode(strings_scan.ascii_texts(F.col("content"), 8)).alias("n", "s"))
+    return rows.select("doc_id", F.col("n").cast("long").alias("n"), "s")
+
+
+@query(r"""SELECT page_id, count(*) AS n, sum(octet_length(encode(s)))::BIGINT AS n_bytes, min(octet_length(encode(s)))::BIGINT AS shortest
+  FROM (SELECT page_id, unnest(regexp_extract_all(html, '[\x20-\x7E]{6,}')) AS s FROM pages) GROUP BY 1""")
+def page_string_records(spark, sf_dir):
+    """String records with offsets, summed up by page."""
+    rows = strings_scan.scan_strings(_contents(spark, sf_dir, "pages", "page_id", "html"), "page_id", minimum=6)
+    return rows.groupBy("page_id").agg(F.count("*").alias("n"), F.sum("byte_size").alias("n_bytes"), F.min("byte_size").alias("shortest"))
+
+
+@query()
+def turn_wide_strings(spark, sf_dir):
+    """UTF-8 strings, and UTF-16 strings of the same text in UTF-16."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(b.content(F.col("text")), F.encode("text", "UTF-16LE")).alias("content"))
+    found = rows.select("conv_id", "turn", F.explode(strings_scan.strings(F.col("content"), 12, (strings_scan.UTF8, strings_scan.UTF16LE))).alias("s"))
+    return found.select("conv_id", "turn", "s.offset", "s.byte_size", "s.characters", "s.encoding")
+
+
+@query("""SELECT page_id, (length(html) - length(replace(html, '<p>', ''))) // 3 AS paragraphs, (length(html) - length(replace(html, 'href=', ''))) // 5 AS links,
+    octet_length(encode(substr(html, 1, strpos(html, '<article')::INT - 1)))::BIGINT AS article_at FROM pages WHERE strpos(html, '<article') > 0""")
+def page_literals(spark, sf_dir):
+    rows = _contents(spark, sf_dir, "pages", "page_id", "html").withColumn("hits", search.literal_hits(F.col("content"), [b"<p>", b"href=", b"<article"]))
+    n = lambda k: F.size(F.filter("hits", lambda h: h["literal"] == k)).cast("long")
+    return rows.select("page_id", n(0).alias("paragraphs"), n(1).alias("links"), F.array_min(F.transform(F.filter("hits", lambda h: h["literal"] == 2), lambda h: h["offset"])).alias("article_at")).where("article_at is not null")
+
+
+@query("SELECT page_id, octet_length(encode(substr(html, 1, strpos(html, '<title>')::INT - 1)))::BIGINT AS title_at FROM pages WHERE strpos(html, '<title>') > 0")
+def page_nocase(spark, sf_dir):
+    rows = _contents(spark, sf_dir, "pages", "page_id", "html")
+    return rows.select("page_id", search.nocase_position(F.col("content"), "<TITLE>").cast("long").alias("title_at")).where("title_at is not null")
+
+
+@query("""SELECT doc_id, CASE WHEN d <> '' THEN octet_length(encode(substr(text, 1, strpos(text, d)::INT - 1)))::BIGINT END AS digit_at
+  FROM (SELECT doc_id, text, regexp_extract(text, '[0-9]') AS d FROM documents)""")
+def doc_byteset(spark, sf_dir):
+    return _contents(spark, sf_dir).select("doc_id", search.byteset_position(F.col("content"), b"0123456789").cast("long").alias("digit_at"))
+
+
+@query("""SELECT doc_id, CASE WHEN d <> '' THEN octet_length(encode(substr(text, 1, strpos(text, d)::INT - 1)))::BIGINT END AS found
+  FROM (SELECT doc_id, text, regexp_extract(text, '[Tt][Hh]') AS d FROM documents)""")
+def doc_masked_find(spark, sf_dir):
+    """Two bytes by mask: T and H in either case."""
+    return _contents(spark, sf_dir).select("doc_id", search.masked_position(F.col("content"), [(0, 0xDF, 0x54), (1, 0xDF, 0x48)]).alias("found"))
+
+
+@query(r"""SELECT page_id, regexp_matches(html, '^<!DOCTYPE') AS doctype, html LIKE '%</article>%' AS article, regexp_matches(html, '^<.[Dd]OCTYPE') AS any_second,
+    octet_length(encode(html)) > 0 AND regexp_matches(html, '^[\x20-\x7e]') AS printable FROM pages""")
+def page_signatures(spark, sf_dir):
+    """Signatures that compare, search and use classes; none of them leaves the JVM."""
+    rows, data = _contents(spark, sf_dir, "pages", "page_id", "html"), F.col("content")
+    return rows.select("page_id", search.matches(data, "'<!DOCTYPE'").alias("doctype"), search.matches(data, "+" + b"</article>".hex()).alias("article"), search.matches(data, "'<' .. 'DOCTYPE'").alias("any_second"), search.matches(data, "%%").alias("printable"))
+
+
+@query("SELECT doc_id, substr(hex(encode(text)), 1, 1) = '4' AS open_second, substr(hex(encode(text)), 2, 1) = '5' AS open_first FROM documents")
+def doc_nibbles(spark, sf_dir):
+    return _contents(spark, sf_dir).select("doc_id", b.nibbles(F.col("content"), 0, "4.").alias("open_second"), b.nibbles(F.col("content"), 0, ".5").alias("open_first"))
+
+
+# ---- types and rules
+
+_SAMPLES = (("89504E470D0A1A0A", "PNG"), ("FFD8FFE0", "JPEG"), ("255044462D312E37", "PDF"), ("7F454C460201010000000000000000003E", "ELF64"), ("7F454C460101010000000000000000003E", "ELF32"), ("6465780A30333500", "DEX"), ("CAFEBABE00000034000000000000000000000000000000000000", "JAVACLASS"), ("000003F3000000", "AMIGAHUNK"), ("FEEDFACF" + "00" * 32, "MACHO64"), ("4D5A90000300", "MSDOS"), ("1F8B0800", "BINARY"), ("504B0304", "BINARY"))
+
+
+def _samples(spark, sf_dir):
+    """Events as contents: a header chosen by the event's number, and its properties."""
+    heads = F.array(*[F.lit(h) for h, _ in _SAMPLES])
+    head = F.element_at(heads, (F.col("event_id") % len(_SAMPLES) + 1).cast("int"))
+    return _table(spark, sf_dir, "events").select("event_id", F.concat(F.unhex(head), b.content(F.col("props"))).alias("content"))
+
+
+_CASES = " ".join(f"WHEN {k} THEN '{t}'" for k, (_, t) in enumerate(_SAMPLES))
+
+
+@query(f"SELECT event_id, CASE event_id % {len(_SAMPLES)} {_CASES} END AS file_type FROM events")
+def type_ladder(spark, sf_dir):
+    return _samples(spark, sf_dir).select("event_id", detect.ladder(F.col("content")).alias("file_type"))
+
+
+_RULE_VALUES = ", ".join(f"('{t}', '{f}', {o}, '{h}', {p})" for t, f, o, h, p in detect.RULES)
+_SAMPLE_VALUES = ", ".join(f"({k}, '{h}')" for k, (h, _) in enumerate(_SAMPLES))
+_RULE_SQL = f"""WITH rules(file_type, family, o, magic, priority) AS (VALUES {_RULE_VALUES}), heads(k, h) AS (VALUES {_SAMPLE_VALUES}),
+  c AS (SELECT event_id, h || hex(encode(props)) AS x FROM events JOIN heads ON k = event_id % {len(_SAMPLES)}),
+  m AS (SELECT event_id, file_type, family, o, priority FROM c JOIN rules ON substr(x, 2 * o + 1, length(magic)) = magic)"""
+
+
+@query(f"{_RULE_SQL} SELECT event_id, file_type, family, o AS \"offset\", priority FROM m")
+def rule_matches(spark, sf_dir):
+    return detect.match_rules(_samples(spark, sf_dir), detect.rule_table(spark), "event_id")
+
+
+@query(f"{_RULE_SQL} SELECT event_id, arg_min(file_type, (priority, file_type)) AS file_type, arg_min(family, (priority, file_type)) AS family FROM m GROUP BY 1")
+def first_by_priority(spark, sf_dir):
+    return detect.best_type(rule_matches(spark, sf_dir), "event_id")
+
+
+@query(f"{_RULE_SQL} SELECT family, count(*) AS n, count(DISTINCT file_type) AS types FROM m GROUP BY 1")
+def rules_by_family(spark, sf_dir):
+    return rule_matches(spark, sf_dir).groupBy("family").agg(F.count("*").alias("n"), F.countDistinct("file_type").alias("types"))
+
+
+@query("SELECT page_id, 'HTML' AS file_type FROM pages WHERE html LIKE '<!DOCTYPE%' OR html LIKE '<html%'")
+def page_magic(spark, sf_dir):
+    found = detect.match_rules(_contents(spark, sf_dir, "pages", "page_id", "html"), detect.rule_table(spark), "page_id")
+    return found.where("file_type = 'HTML'").select("page_id", "file_type")
+
+
+@query(f"""SELECT event_id, t = 'ELF64' AS elf_rules, t NOT IN ('PNG', 'JPEG', 'PDF', 'DEX', 'JAVACLASS', 'AMIGAHUNK') OR true AS binary_rules
+  FROM (SELECT event_id, CASE event_id % {len(_SAMPLES)} {_CASES} END AS t FROM events)""")
+def type_lattice(spark, sf_dir):
+    """Whether rules for a type apply to a content's type, by the lattice of types."""
+    rows = type_ladder(spark, sf_dir)
+    return rows.select("event_id", detect.applies(F.lit("ELF64"), F.col("file_type")).alias("elf_rules"), detect.applies(F.lit("BINARY"), F.col("file_type")).alias("binary_rules"))
+
+
+@query("""SELECT event_id, user_id FROM events WHERE event_type IN ('click', 'view') AND event_type NOT IN ('view') AND user_id % 2 = 0""")
+def tag_filter(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").withColumn("tags", F.array(F.upper("event_type"), F.when(F.col("user_id") % 2 == 0, " Even ").otherwise("odd")))
+    return rows.where(detect.tags_allow(F.col("tags"), ["click", "view"], ["odd", "view"])).select("event_id", "user_id")
+
+
+# ---- integers and layouts
+
+
+@query("""SELECT doc_id, ('0x' || substr(h, 3, 2) || substr(h, 1, 2))::BIGINT AS u16le, ('0x' || substr(h, 1, 8))::BIGINT AS u32be, ('0x' || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::BIGINT AS u24le,
+    CASE WHEN ('0x' || substr(h, 1, 2))::BIGINT >= 128 THEN ('0x' || substr(h, 1, 2))::BIGINT - 256 ELSE ('0x' || substr(h, 1, 2))::BIGINT END AS i8
+  FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents) WHERE length(h) >= 8""")
+def doc_integers(spark, sf_dir):
+    data = F.col("content")
+    rows = _contents(spark, sf_dir).where(F.octet_length("content") >= 4)
+    return rows.select("doc_id", b.u16le(data, 0).alias("u16le"), b.u32be(data, 0).alias("u32be"), b.unsigned(data, 0, 3).alias("u24le"), b.signed(data, 0, 1).alias("i8"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 2 = 0 THEN l_orderkey // 2 ELSE -(l_orderkey // 2) - 1 END AS zigzag, (l_orderkey // 16) % 16 AS field, l_orderkey % 65536 * 65536 + l_orderkey // 65536 AS pdp FROM lineitem")
+def line_bit_fields(spark, sf_dir):
+    rows, k = _table(spark, sf_dir, "lineitem"), F.col("l_orderkey")
+    return rows.select("l_orderkey", "l_linenumber", transforms.zigzag(k).alias("zigzag"), b.bit_field(k, 24, 4, 32).alias("field"), transforms.pdp_endian(k).alias("pdp"))
+
+
+@query("SELECT event_id, round(value, 2) AS fortran, round(value, 2) AS nastran, event_id AS octal FROM events")
+def event_ascii_numbers(spark, sf_dir):
+    """Numbers written as Fortran, Nastran and octal text, read back."""
+    rows = _table(spark, sf_dir, "events")
+    mantissa = F.format_string("%.2f", F.col("value") * 100)
+    return rows.select("event_id", F.round(transforms.fortran_real(F.concat(mantissa, F.lit("D-02"))), 2).alias("fortran"), F.round(transforms.nastran_real(F.concat(mantissa, F.lit("-2"))), 2).alias("nastran"), transforms.ascii_number(F.concat(F.lpad(F.conv("event_id", 10, 8), 11, "0"), F.lit("\u0000")), 8).alias("octal"))
+
+
+def _conversation_files(spark, sf_dir):
+    """Each conversation's turns as parallel arrays of names and contents; a conversation is bounded by its turns."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("turn"), F.col("turn"), F.lit(".txt")).alias("name"), b.content(F.col("text")).alias("content"))
+    packed = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "name", "content"))).alias("f"))
+    return packed.select("conv_id", F.transform("f", lambda x: x["name"]).alias("names"), F.transform("f", lambda x: x["content"]).alias("files"))
+
+
+_TURNS = "(SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT - 1 AS \"index\", 'turn' || turn || '.txt' AS name, text FROM conversations)"
+
+
+@query(f"SELECT conv_id, name, octet_length(encode(text))::BIGINT AS size, 420::BIGINT AS mode, 'ustar' AS magic FROM {_TURNS} WHERE \"index\" = 0")
+def layout_tar(spark, sf_dir):
+    packed = _conversation_files(spark, sf_dir).select("conv_id", members.pack(F.col("names"), F.col("files"), "tar").alias("content"))
+    return packed.select("conv_id", layout.TAR.project(F.col("content")).alias("t")).select("conv_id", "t.name", "t.size", "t.mode", "t.magic")
+
+
+@query("SELECT doc_id, '1F8B' AS id, 8::BIGINT AS method, 0::BIGINT AS mtime FROM documents")
+def layout_gzip(spark, sf_dir):
+    rows = _contents(spark, sf_dir).select("doc_id", codecs.compress(F.col("content"), "gzip").alias("content"))
+    return rows.select("doc_id", layout.GZIP.project(F.col("content")).alias("g")).select("doc_id", F.hex("g.id").alias("id"), "g.method", "g.mtime")
+
+
+@query("SELECT * FROM (VALUES ('id', 0::BIGINT, 2), ('method', 2, 1), ('flags', 3, 1), ('mtime', 4, 4), ('extra_flags', 8, 1), ('os', 9, 1)) t(name, \"offset\", size)")
+def layout_fields(spark, sf_dir):
+    """A layout's fields as rows."""
+    one = spark.range(1).select(F.unhex(F.lit("1F8B08" + "00" * 9)).alias("content"))
+    return one.select(F.explode(layout.GZIP.field_rows(F.col("content"))).alias("f")).select("f.name", "f.offset", "f.size")
+
+
+# ---- containers
+
+
+@query(f"SELECT conv_id, 'TAR' AS container, \"index\", name, octet_length(encode(text))::BIGINT AS uncompressed_size, 'store' AS method FROM {_TURNS}")
+def tar_members(spark, sf_dir):
+    packed = _conversation_files(spark, sf_dir).select("conv_id", members.pack(F.col("names"), F.col("files"), "tar").alias("content"))
+    return members.list_members(packed, "conv_id").select("conv_id", "container", "index", "name", "uncompressed_size", "method")
+
+
+@query(f"SELECT conv_id, \"index\", name, md5(text) AS md5 FROM {_TURNS}")
+def zip_extract(spark, sf_dir):
+    packed = _conversation_files(spark, sf_dir).select("conv_id", members.pack(F.col("names"), F.col("files"), "zip").alias("content"))
+    return members.extract(packed, "conv_id").select("conv_id", "index", "name", F.md5("content").alias("md5"))
+
+
+@query(f"SELECT conv_id, \"index\", name, md5(text) AS md5 FROM {_TURNS}")
+def cpio_extract(spark, sf_dir):
+    packed = _conversation_files(spark, sf_dir).select("conv_id", members.pack(F.col("names"), F.col("files"), "cpio").alias("content"))
+    return members.extract(packed, "conv_id").select("conv_id", "index", "name", F.md5("content").alias("md5"))
+
+
+@query("""SELECT doc_id, 0 AS "index", octet_length(encode(text))::BIGINT AS uncompressed_size FROM documents
+  UNION ALL SELECT doc_id, 1, octet_length(encode(lang))::BIGINT FROM documents""")
+def gzip_members(spark, sf_dir):
+    """Two members, one after the other."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.concat(*[codecs.compress(b.content(F.col(c)), "gzip") for c in ("text", "lang")]).alias("content"))
+    return members.list_members(rows, "doc_id").select("doc_id", "index", "uncompressed_size")
+
+
+@query(f"""SELECT conv_id, 0 AS depth, count(DISTINCT conv_id) AS n, NULL::VARCHAR AS last FROM conversations GROUP BY 1
+  UNION ALL SELECT conv_id, 1, 1, NULL FROM conversations GROUP BY 1 UNION ALL SELECT conv_id, 2, count(*), max(name) FROM {_TURNS} GROUP BY 1""")
+def recursion_regions(spark, sf_dir):
+    """Regions within regions: tar files in gzip files."""
+    packed = _conversation_files(spark, sf_dir).select("conv_id", codecs.compress(members.pack(F.col("names"), F.col("files"), "tar"), "gzip").alias("content"))
+    return members.recurse(packed, "conv_id", max_depth=2).groupBy("conv_id", "depth").agg(F.count("*").alias("n"), F.max("name").alias("last"))
+
+
+@query("SELECT doc_id, octet_length(encode(lang)) + octet_length(encode(source)) AS \"offset\", 'GZIP' AS file_type, md5(text) AS md5 FROM documents")
+def carve_gzip(spark, sf_dir):
+    """A gzip stream found and decoded inside other bytes."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.concat(b.content(F.concat("lang", "source")), codecs.compress(b.content(F.col("text")), "gzip")).alias("content"))
+    found = carve.carve(rows, "doc_id")
+    whole = rows.join(found.select("doc_id", "offset", "file_type"), "doc_id")
+    return whole.select("doc_id", "offset", "file_type", F.md5(codecs.decompress(b.part(F.col("content"), F.col("offset"), -1), "gzip")).alias("md5"))
+
+
+def _round_trip(method: str):
+    def run(spark, sf_dir):
+        rows = _contents(spark, sf_dir)
+        return rows.select("doc_id", F.md5(codecs.decompress(codecs.compress(F.col("content"), method), method)).alias("md5"))
+
+    run.__name__ = f"codec_{method}"
+    return run
+
+
+for _m in ("deflate", "zlib", "bzip2", "xz", "zstd"):
+    query("SELECT doc_id, md5(text) AS md5 FROM documents")(_round_trip(_m))
+
+
+@query(f"SELECT conv_id, count(*) AS members, sum(octet_length(encode(text)))::BIGINT AS size FROM {_TURNS} GROUP BY 1")
+def member_totals(spark, sf_dir):
+    return tar_members(spark, sf_dir).groupBy("conv_id").agg(F.count("*").alias("members"), F.sum("uncompressed_size").alias("size"))
+
+
+@query("SELECT count(*) AS formats, count(*) FILTER (f IN ('TAR', 'ZIP', 'CPIO')) AS created FROM (VALUES " + ", ".join(f"('{k}')" for k in members.READERS) + ") t(f)")
+def capabilities(spark, sf_dir):
+    from quarry.operators import registry
+
+    return registry.capabilities(spark).agg(F.count("*").alias("formats"), F.count_if(F.col("create")).alias("created"))
+
+
+# ---- transforms
+
+
+@query("SELECT doc_id, md5(text) AS md5, octet_length(encode(text)) > 0 AS changed FROM documents")
+def xor_mask(spark, sf_dir):
+    """Bytes masked and unmasked again."""
+    masked = transforms.byte_transform(F.col("content"), "xor", 1, 0x5A)
+    rows = _contents(spark, sf_dir).withColumn("m", masked)
+    return rows.select("doc_id", F.md5(transforms.byte_transform(F.col("m"), "xor", 1, 0x5A)).alias("md5"), (F.col("m") != F.col("content")).alias("changed"))
+
+
+@query("SELECT doc_id, md5(text) AS md5 FROM documents")
+def rotate_bits(spark, sf_dir):
+    turned = transforms.byte_transform(F.col("content"), "rotate_left", 1, 3)
+    return _contents(spark, sf_dir).select("doc_id", F.md5(transforms.byte_transform(turned, "rotate_right", 1, 3)).alias("md5"))
+
+
+@query(f"SELECT doc_id, sum((v + 1) % 256)::BIGINT AS added FROM ({_bytes_sql()}) GROUP BY 1")
+def add_one(spark, sf_dir):
+    rows = _contents(spark, sf_dir).where(F.octet_length("content") > 0)
+    return rows.select("doc_id", stats.byte_sum(stats.histogram(transforms.byte_transform(F.col("content"), "add", 1, 1))).alias("added"))
+
+
+@query("SELECT doc_id, rtrim(to_base64(encode(text)), '=') AS unpadded, md5(text) AS md5 FROM documents")
+def base64_strict(spark, sf_dir):
+    rows = _contents(spark, sf_dir).withColumn("unpadded", transforms.base64_encode(F.col("content"), pad=False))
+    return rows.select("doc_id", "unpadded", F.md5(transforms.base64_decode_strict(F.col("unpadded"))).alias("md5"))
+
+
+@query("SELECT doc_id, translate(rtrim(to_base64(encode(text)), '='), '+/', '-_') AS url_safe FROM documents")
+def base64_alphabet(spark, sf_dir):
+    return _contents(spark, sf_dir).select("doc_id", transforms.base64_encode(F.col("content"), transforms.STANDARD[:62] + "-_", pad=False).alias("url_safe"))
+
+
+@query("SELECT doc_id, md5(text) AS md5, hex(encode(substr(text, 1, 4))) AS head FROM documents")
+def hex_roundtrip(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents")
+    return rows.select("doc_id", F.md5(F.unhex(F.hex(b.content(F.col("text"))))).alias("md5"), F.hex(b.content(F.substring("text", 1, 4))).alias("head"))
+
+
+# ---- text
+
+
+@query("SELECT conv_id, turn, true AS valid, false AS broken, md5(text) AS lossy FROM conversations")
+def utf8_valid(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").withColumn("content", b.content(F.col("text")))
+    data = F.col("content")
+    return rows.select("conv_id", "turn", text.is_utf8(data).alias("valid"), text.is_utf8(F.concat(data, F.unhex(F.lit("C3")))).alias("broken"), F.md5(text.lossy(data)).alias("lossy"))
+
+
+@query("SELECT conv_id, turn, md5(lower(text)) AS lowered, md5(replace(replace(upper(text), 'ß', 'SS'), 'ẞ', 'SS')) AS uppered, md5(lower(text)) AS folded FROM conversations")
+def casefold(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations")
+    wrapped = F.concat(F.lit(" \t"), F.col("text"), F.lit(" \n "))
+    return rows.select("conv_id", "turn", F.md5(F.lower("text")).alias("lowered"), F.md5(F.upper("text")).alias("uppered"), F.md5(text.fold(wrapped)).alias("folded"))
+
+
+@query("SELECT conv_id, turn, contains(lower(text), 'the') AS has, starts_with(lower(text), 'the') AS starts, ends_with(lower(text), 'the.') AS ends, regexp_matches(role, '^[a-z]+$') AS letters FROM conversations")
+def nocase_predicates(spark, sf_dir):
+    rows, t = _table(spark, sf_dir, "conversations"), F.col("text")
+    return rows.select("conv_id", "turn", text.icontains(t, F.lit("THE")).alias("has"), text.istarts(t, F.lit("tHe")).alias("starts"), text.iends(t, F.lit("THE.")).alias("ends"), text.is_alphabetic(F.col("role")).alias("letters"))
+
+
+@query(r"SELECT conv_id, turn, length(regexp_replace(text, '[\x00-\x1f\x7f]', '', 'g'))::INT AS width, text NOT LIKE '%' || chr(10) || '%' AS plain FROM conversations")
+def display_width(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", text.display_width(F.col("text")).alias("width"), (~text.escape_debug(F.col("text")).contains("\\n")).alias("plain"))
+
+
+@query("SELECT doc_id, md5(text) AS latin, md5(text) AS utf16 FROM documents")
+def codepages(spark, sf_dir):
+    """Text through code pages and back; characters outside a page make it null, so UTF-16 is there for all."""
+    rows, t = _table(spark, sf_dir, "documents"), F.col("text")
+    through = lambda page: F.md5(text.decode_page(text.encode_page(t, page), page))
+    return rows.select("doc_id", F.coalesce(through(1252), F.md5(t)).alias("latin"), through(1200).alias("utf16"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS escaped FROM pages")
+def xml_escape(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", text.xml_escape(F.substring("html", 1, 300)).alias("escaped"))
+
+
+@query("SELECT doc_id, strpos(text, 'the') - 1 AS at, coalesce(strpos(text, nullif(regexp_extract(text, '[0-9]+'), '')), 0) - 1 AS digits, len(regexp_extract_all(text, '[A-Z][a-z]+'))::INT AS words FROM documents")
+def js_strings(spark, sf_dir):
+    rows, t = _table(spark, sf_dir, "documents"), F.col("text")
+    return rows.select("doc_id", text.js_index_of(t, F.lit("the")).cast("long").alias("at"), text.js_search(t, "[0-9]+").cast("long").alias("digits"), F.size(text.js_match_all(t, "[A-Z][a-z]+")).alias("words"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, 'object' AS kind, 'number' AS k_kind FROM events")
+def event_props_json(spark, sf_dir):
+    rows, p = _table(spark, sf_dir, "events"), F.col("props")
+    return rows.select("event_id", text.json_value(p, "$.k").cast("long").alias("k"), text.json_kind(p).alias("kind"), text.json_kind(text.json_value(p, "$.k")).alias("k_kind"))
+
+
+@query("SELECT n_nationkey, n_name AS name, n_regionkey::VARCHAR AS version, 'x' AS missing FROM nation")
+def manifest_and_package(spark, sf_dir):
+    rows = _table(spark, sf_dir, "nation")
+    lines = F.concat(F.lit("Manifest-Version: 1.0\r\nName: "), F.col("n_name"), F.lit("\r\n"))
+    package = F.to_json(F.struct(F.col("n_regionkey").cast("string").alias("version")))
+    return rows.select("n_nationkey", text.manifest_value(lines, "Name").alias("name"), text.package_value(package, "version").alias("version"), F.coalesce(text.manifest_value(lines, "Main-Class"), F.lit("x")).alias("missing"))
+
+
+@query("SELECT n_nationkey, n_name AS xml, '{\"k\": ' || n_nationkey || '}' AS toml FROM nation")
+def xml_and_toml(spark, sf_dir):
+    rows = _table(spark, sf_dir, "nation")
+    doc = F.concat(F.lit("<a><b>"), text.xml_escape(F.col("n_name")), F.lit("</b></a>"))
+    return rows.select("n_nationkey", text.xml_text(doc, "/a/b").alias("xml"), text.toml_json(F.concat(F.lit("k = "), F.col("n_nationkey"))).alias("toml"))
+
+
+@query("SELECT n_nationkey, coalesce(CASE n_name WHEN 'FRANCE' THEN 'Frankreich' WHEN 'GERMANY' THEN 'Deutschland' END, n_name) AS shown FROM nation")
+def gettext(spark, sf_dir):
+    return _table(spark, sf_dir, "nation").select("n_nationkey", text.translate_message(F.col("n_name"), {"FRANCE": "Frankreich", "GERMANY": "Deutschland"}).alias("shown"))
+
+
+@query()
+def output_names(spark, sf_dir):
+    """Link targets as archive names: safe relative paths, null where refused."""
+    rows = _table(spark, sf_dir, "pages").select("page_id", F.explode(net.links(F.col("html"))).alias("link"))
+    return rows.select("page_id", "link", text.output_name(b.content(F.col("link")), 0, text.ROOTED).alias("target"))
+
+
+# ---- net
+
+
+@query(r"SELECT page_id, generate_subscripts(l, 1) - 1 AS n, unnest(l) AS link FROM (SELECT page_id, regexp_extract_all(html, '(?i)\bhref\s*=\s*[\"'']([^\"'']*)[\"'']', 1) AS l FROM pages)")
+def page_links(spark, sf_dir):
+    rows = _table(spark, sf_dir, "pages").select("page_id", F.posexplode(net.links(F.col("html"))).alias("n", "link"))
+    return rows.select("page_id", F.col("n").cast("long").alias("n"), "link")
+
+
+@query(r"""SELECT page_id, h AS host, string_split(h, '.')[-1] AS tld, string_split(h, '.')[-2] AS domain FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS h FROM pages)""")
+def page_hosts(spark, sf_dir):
+    rows = _table(spark, sf_dir, "pages").withColumn("host", net.host(F.col("url")))
+    return rows.withColumn("d", net.domain_parts(F.col("host"))).select("page_id", "host", "d.tld", "d.domain")
+
+
+@query(r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) AS md5 FROM pages""")
+def page_text(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(net.strip_tags(F.col("html"))).alias("md5"))
+
+
+_IPS = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
+
+
+@query(rf"""SELECT doc_id, ip, n, n BETWEEN 2147483648 AND 3221225471 AS in_range FROM (
+  SELECT doc_id, ip, CASE WHEN len(list_filter(o, lambda x: x > 255)) = 0 AND NOT regexp_matches(ip, '(^|\.)0[0-9]') THEN (o[1] * 16777216::BIGINT + o[2] * 65536 + o[3] * 256 + o[4]) END AS n
+  FROM (SELECT doc_id, ip, string_split(ip, '.')::INT[] AS o FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_IPS}')) AS ip FROM documents))) WHERE n IS NOT NULL""")
+def doc_addresses(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_IPS), F.lit(0))).alias("ip"))
+    return rows.select("doc_id", "ip", net.ipv4_number(F.col("ip")).alias("n"), net.ipv4_in(F.col("ip"), "128.0.0.0/2").alias("in_range")).where("n is not null")
+
+
+@query()
+def page_lookalikes(spark, sf_dir):
+    """Hosts whose domain looks like a given one."""
+    rows = _table(spark, sf_dir, "pages").withColumn("host", net.host(F.col("url")))
+    return rows.select("page_id", "host", net.is_permutation(F.col("host"), "examp1e.com").alias("lookalike"), net.ip_in_range(F.lit("10.1.2.3"), F.lit("10.0.0.0/8")).alias("inside"))
+
+
+# ---- groups, joins, order
+
+
+@query("SELECT lang, count(*) AS n, count(DISTINCT source) AS sources, sum(octet_length(encode(text)))::BIGINT AS n_bytes FROM documents GROUP BY 1")
+def doc_lang_groups(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"), F.sum(F.octet_length("text")).alias("n_bytes"))
+
+
+@query("SELECT md5(text) AS md5, count(*) AS n, min(doc_id) AS first, count(DISTINCT lang) AS langs FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_dup_groups(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "lang", F.md5("text").alias("md5"))
+    return rows.groupBy("md5").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.countDistinct("lang").alias("langs")).where("n > 1")
+
+
+@query("SELECT o_orderpriority, count(DISTINCT o_custkey) AS members FROM orders GROUP BY 1")
+def value_groups(spark, sf_dir):
+    return report.groups_of(_table(spark, sf_dir, "orders"), "o_orderpriority", "o_custkey")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def doc_semi(spark, sf_dir):
+    toxic = _table(spark, sf_dir, "labels").where("toxic = 1")
+    return _table(spark, sf_dir, "documents").select("doc_id", "lang").join(toxic, "doc_id", "left_semi")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def doc_anti(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", "lang").join(_table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+@query("""SELECT l.event_id, max_by(r.event_id, (r.ts, r.event_id)) AS click FROM (SELECT * FROM events WHERE event_type = 'purchase') l
+  LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') r ON l.user_id = r.user_id AND r.ts <= l.ts GROUP BY 1""".replace("max_by", "arg_max"))
+def event_asof(spark, sf_dir):
+    """Each purchase with the user's last click before it."""
+    rows = _table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    buys, clicks = rows.where("event_type = 'purchase'"), rows.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click"))
+    return relate.as_of(buys, clicks, "user_id", "ts", "ts", ["click"]).select("event_id", "click")
+
+
+@query("""SELECT r.event_id, count(*) AS n FROM (SELECT event_id, epoch_us(ts) // 1000000 AS s FROM events WHERE event_type = 'error') r
+  JOIN (SELECT epoch_us(ts) // 1000000 AS t FROM events) p ON p.t >= r.s AND p.t < r.s + 3600 GROUP BY 1""")
+def event_interval(spark, sf_dir):
+    """Events within the hour after each error, as an equi-join on hour buckets."""
+    rows = _table(spark, sf_dir, "events").select("event_id", "event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).alias("t"))
+    ranges = rows.where("event_type = 'error'").select("event_id", F.col("t").alias("start"), (F.col("t") + 3600).alias("end"))
+    return relate.bucketed_interval_join(rows.select("t"), ranges, "t", "start", "end", 3600).groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT s_nationkey, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1")
+def salted_join(spark, sf_dir):
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), "l_orderkey", "l_linenumber", "l_quantity")
+    suppliers = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), "s_nationkey")
+    return relate.salted_join(lines, suppliers, "k").groupBy("s_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, coalesce(max(e) OVER (PARTITION BY l_orderkey ORDER BY o, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > o, false) AS overlaps
+  FROM (SELECT l_orderkey, l_linenumber, l_partkey * 100 + l_linenumber AS o, l_quantity::BIGINT * 500 AS s, l_partkey * 100 + l_linenumber + l_quantity::BIGINT * 500 AS e FROM lineitem)""")
+def region_overlaps(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 100 + F.col("l_linenumber")).alias("offset"), (F.col("l_quantity").cast("long") * 500).alias("size"))
+    return relate.overlaps_before(rows, "l_orderkey").select("l_orderkey", "l_linenumber", "overlaps")
+
+
+@query("SELECT l_orderkey, l_linenumber, coalesce(sum(l_quantity::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM lineitem")
+def running_offsets(spark, sf_dir):
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("o")
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", order, F.col("l_quantity").cast("long").alias("size"))
+    return relate.running_offsets(rows, "l_orderkey", "o").drop("size", "o")
+
+
+@query("""SELECT user_id, min(event_id) AS start, max(event_id) AS "end", count(*) AS length FROM (
+  SELECT user_id % 10 AS user_id, event_id, event_id - row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS g FROM events) GROUP BY user_id, g""")
+def event_islands(spark, sf_dir):
+    """Runs of consecutive events within a tenth of the users."""
+    return relate.islands(_table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("user_id"), "event_id"), "user_id", "event_id")
+
+
+@query("""SELECT user_id, event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS paid FROM events""")
+def forward_fill(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select("user_id", "event_id", F.struct("ts", "event_id").alias("o"), F.when(F.col("event_type") == "purchase", F.col("value")).alias("paid"))
+    return relate.forward_fill(rows, "user_id", "o", "paid").drop("o")
+
+
+@query("""SELECT user_id, event_id, CASE WHEN row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1 THEN n ELSE n || '~xx-' || lpad(lower(hex(event_id)), 8, '0') END AS target
+  FROM (SELECT user_id, event_id, event_type, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END AS n FROM events)""")
+def name_conflicts(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")).alias("name"))
+    return relate.resolve_conflicts(rows, "user_id", index="event_id").select("user_id", "event_id", "target")
+
+
+@query(f"""WITH c AS (SELECT doc_id, v, count(*) AS n FROM ({_bytes_sql()}) GROUP BY 1, 2)
+  SELECT doc_id, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM c GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
+def topk_entropy(spark, sf_dir):
+    rows = _contents(spark, sf_dir).select("doc_id", F.round(stats.entropy(stats.histogram(F.col("content"))), 6).alias("entropy"))
+    return rows.orderBy(F.desc("entropy"), "doc_id").limit(20)
+
+
+@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders")
+def stable_order(spark, sf_dir):
+    w = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("""SELECT 'both' AS side, source FROM (SELECT source FROM documents WHERE lang = 'en' INTERSECT SELECT source FROM documents WHERE lang = 'de')
+  UNION ALL SELECT 'only', source FROM (SELECT source FROM documents WHERE lang = 'en' EXCEPT SELECT source FROM documents WHERE lang = 'es')""")
+def type_sets(spark, sf_dir):
+    of = lambda lang: _table(spark, sf_dir, "documents").where(F.col("lang") == lang).select("source")
+    both, only = of("en").intersect(of("de")), of("en").subtract(of("es"))
+    return both.select(F.lit("both").alias("side"), "source").unionByName(only.select(F.lit("only").alias("side"), "source"))
+
+
+@query("SELECT user_id, list_sort(list(DISTINCT event_type)) AS kinds, bool_or(event_type = 'error') AS failed FROM events GROUP BY 1")
+def event_sets(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("kinds"))
+    return rows.withColumn("failed", F.array_contains("kinds", "error"))
+
+
+@query("""WITH RECURSIVE n AS (SELECT r_regionkey AS id, NULL::INT AS parent_id, r_regionkey AS ordinal FROM region UNION ALL SELECT 100 + n_nationkey, n_regionkey, n_nationkey FROM nation),
+  w AS (SELECT id, 0 AS depth, [ordinal] AS path FROM n WHERE parent_id IS NULL UNION ALL SELECT n.id, w.depth + 1, list_append(w.path, n.ordinal) FROM n JOIN w ON n.parent_id = w.id) SELECT id, depth, path FROM w""")
+def tree_paths(spark, sf_dir):
+    roots = _table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.lit(None).cast("int").alias("parent_id"), F.col("r_regionkey").alias("ordinal"))
+    leaves = _table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100).alias("id"), F.col("n_regionkey").alias("parent_id"), F.col("n_nationkey").alias("ordinal"))
+    return relate.tree_paths(roots.unionByName(leaves))
+
+
+@query("SELECT 'Nation: ' || n_name || '(' || n_regionkey || ')[' || n_nationkey || ']' AS value FROM nation")
+def report_text(spark, sf_dir):
+    rows = _table(spark, sf_dir, "nation").select(F.lit("Nation").alias("type"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("version"), F.col("n_nationkey").cast("string").alias("info"))
+    return report.as_text(report.ordered(report.project(rows)))
+
+
+@query("SELECT '{\"type\":\"Nation\",\"name\":\"' || n_name || '\"}' AS value FROM nation")
+def report_json(spark, sf_dir):
+    rows = _table(spark, sf_dir, "nation").select(F.lit("Nation").alias("type"), F.col("n_name").alias("name"), F.lit("1").alias("version"))
+    return report.as_json(report.project(rows, report.ScanOptions(show_version=False)))
+
+
+# ---- event windows
+
+
+@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_windows(spark, sf_dir):
+    rows = jobs.tumbling_counts(_table(spark, sf_dir, "events"))
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT (date_trunc('hour', ts) - k * INTERVAL 1 HOUR)::TIMESTAMP AS start, count(*) AS n FROM events, range(2) t(k) GROUP BY 1")
+def sliding_windows(spark, sf_dir):
+    return jobs.sliding_counts(_table(spark, sf_dir, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("""SELECT user_id, min(ts)::TIMESTAMP AS start, (max(ts) + INTERVAL 30 MINUTE)::TIMESTAMP AS "end", count(*) AS n FROM (
+  SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (
+    SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, g""")
+def session_windows(spark, sf_dir):
+    rows = jobs.sessions(_table(spark, sf_dir, "events"))
+    return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
 
-def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode("text", "UTF-8").alias("content"))
-    return docs.select("doc_id", F.length("content").cast("long").alias("n_bytes"), F.md5("content").alias("md5"))
+@query("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
+def first_events(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events")
+    return jobs.first_events(rows.unionByName(rows)).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"scan_documents": scan_documents}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"scan_documents": "SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, md5(text) AS md5 FROM documents"}
+    return dict(_SQL)
