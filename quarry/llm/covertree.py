@@ -15,7 +15,7 @@ bounded number of pivots, a spread-out part of a bounded sample, and a pivot's
 classes are cut into blocks of about ``BLOCK`` rows by a hash, however many they
 are.  A block's tree is grown once.  Pairs of pivots that are further apart than
 the threshold and both covering radii are dropped; each pair of blocks that
-remains is a task's work, which reads two trees.  A task emits a number of links
+remains is part of the work of a tile of ``TILE`` by ``TILE`` blocks, which reads their trees once.  A task emits a number of links
 and one edge for each vector, never the pairs.  (In many dimensions unrelated
 vectors are all about equally far apart, so few block pairs can be dropped: the
 work grows with the square of the number of different vectors, as any exact
@@ -42,6 +42,7 @@ from .shared import materialize
 
 THRESHOLD = 0.95
 BLOCK = 4096
+TILE = 4
 SAMPLE = 4096
 PIVOTS = 256
 SLACK = 1e-6
@@ -286,16 +287,16 @@ def _plain(x: np.ndarray) -> np.ndarray:
     return x.astype(np.int32) if x.dtype == np.int64 else x
 
 
-def pack_tree(tree: CoverTree, rep: np.ndarray, weight: np.ndarray) -> bytes:
-    """A tree with its rows' ids and weights, as bytes."""
-    return pickle.dumps((tree.x, _plain(tree.order), [tuple(map(_plain, r)) for r in tree.levels], [tuple(map(_plain, r)) for r in tree.children], rep, weight), protocol=5)
+def pack_tree(tree: CoverTree, raw: np.ndarray, rep: np.ndarray, weight: np.ndarray) -> bytes:
+    """A tree over ``unit(raw)`` with its rows' ids and weights, as bytes."""
+    return pickle.dumps((raw, _plain(tree.order), [tuple(map(_plain, r)) for r in tree.levels], [tuple(map(_plain, r)) for r in tree.children], rep, weight), protocol=5)
 
 
 def unpack_tree(raw: bytes) -> tuple[CoverTree, np.ndarray, np.ndarray]:
     x, order, levels, children, rep, weight = pickle.loads(raw)
     tree = CoverTree.__new__(CoverTree)
     wide = lambda r: tuple(v.astype(np.int64) if v.dtype == np.int32 else v for v in r)
-    tree.x, tree.order, tree.levels, tree.children = x, order.astype(np.int64), [wide(r) for r in levels], [wide(r) for r in children]
+    tree.x, tree.order, tree.levels, tree.children = unit(x), order.astype(np.int64), [wide(r) for r in levels], [wide(r) for r in children]
     return tree, rep, weight
 
 
@@ -377,8 +378,8 @@ def vector_links(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
 
     def grow(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        tree = CoverTree(unit(_matrix(table["v"].combine_chunks())))
-        raw = pack_tree(tree, table["cid"].to_numpy(), table["n"].to_numpy())
+        vectors = _matrix(table["v"].combine_chunks())
+        raw = pack_tree(CoverTree(unit(vectors)), vectors, table["cid"].to_numpy(), table["n"].to_numpy())
         block = table["block"][0].as_py()
         meets = partners[table["dim"][0].as_py(), table["cell"][0].as_py()]
         return pa.table({"block": pa.array([block], pa.int64()), "tree": pa.array([raw], pa.large_binary()).cast(pa.binary()), "meets": pa.array([meets], pa.list_(pa.int64()))})
@@ -387,18 +388,26 @@ def vector_links(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     trees = materialize(spots.groupBy("block").applyInArrow(grow, "block long, tree binary, meets array<long>"), "trees")
 
     def meet(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["block"].to_numpy(), kind="stable")
-        got = [unpack_tree(table["tree"][int(i)].as_py()) for i in order]
-        (lt, lr, lw), (rt, rr, rw) = got[0], got[-1]
-        same = len(got) == 1
-        links = dual_traversal(lt, rt, lw, rw, threshold, same)
-        ids = lr if same else np.r_[lr, rr]
-        count = links.count - 1 if same else links.count
-        root = links.root(np.arange(len(ids)))
-        some = np.flatnonzero((count > 0) | (root != np.arange(len(ids))))
-        return pa.table({"cid": ids[some], "links": count[some], "root": ids[root[some]]})
-
-    pairs = trees.select("block", "tree", F.explode("meets").alias("other")).select(F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "tree")
+        """All allowed pairs of blocks of two tiles."""
+        blocks, tiles = table["block"].to_pylist(), (table["p"][0].as_py(), table["q"][0].as_py())
+        meets = dict(zip(blocks, table["meets"].to_pylist(), strict=True))
+        tree = {k: unpack_tree(t.as_py()) for k, t in zip(blocks, table["tree"], strict=True)}
+        out = []
+        for i in sorted(k for k in tree if k // TILE == tiles[0]):
+            for j in sorted(k for k in tree if k // TILE == tiles[1] and k >= i and k in set(meets[i])):
+                (lt, lr, lw), (rt, rr, rw) = tree[i], tree[j]
+                links = dual_traversal(lt, rt, lw, rw, threshold, i == j)
+                ids = lr if i == j else np.r_[lr, rr]
+                count = links.count - 1 if i == j else links.count
+                root = links.root(np.arange(len(ids)))
+                some = np.flatnonzero((count > 0) | (root != np.arange(len(ids))))
+                out.append((ids[some], count[some], ids[root[some]]))
+        return pa.table({n: np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k, n in enumerate(("cid", "links", "root"))})
+
+    # A block goes to each tile that one of its partners is in, once.
+    sent = trees.select("block", "tree", "meets", F.explode(F.array_distinct(F.transform("meets", lambda m: F.floor(m / TILE).cast("long")))).alias("other"))
+    own = F.floor(F.col("block") / TILE).cast("long")
+    pairs = sent.select(F.least(own, "other").alias("p"), F.greatest(own, "other").alias("q"), "block", "tree", "meets")
     found = materialize(pairs.groupBy("p", "q").applyInArrow(meet, "cid long, links long, root long"), "links")
 
     names = classes.select("cid", "rep")
