@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import bytes as b
-from quarry.functions.codecs import decode_bytes
+from quarry.functions.codecs import DECODERS, decode_bytes
 from quarry.functions.udf import per_value
 
 MEMBER = "struct<index:int,name:string,offset:bigint,compressed_size:bigint,uncompressed_size:bigint,method:string,crc32:bigint,mtime:bigint>"
@@ -303,7 +303,7 @@ def member_bytes(data: bytes, m: Member) -> bytes | None:
     raw = data[m.offset : m.offset + m.compressed]
     if m.method == "deleted":
         return raw
-    out = decode_bytes(raw, m.method, MAX_MEMBER_SIZE) if m.method in ("store", "deflate", "bzip2", "zstd", "xz", "compress", "szdd") else None
+    out = decode_bytes(raw, m.method, MAX_MEMBER_SIZE) if m.method in DECODERS else None
     return None if out is not None and m.crc is not None and zlib.crc32(out) != m.crc else out
 
 
@@ -390,3 +390,8 @@ def pack(names: Column, contents: Column, kind: str) -> Column:
         return PACKERS[kind](list(zip(n, c, strict=True)))
 
     return run(names, contents)
+
+
+from quarry.operators import readers as _readers  # noqa: E402  the declared formats register themselves
+
+PACKERS |= {"wad": _readers.pack_wad, "quake_pak": _readers.pack_pak, "riff": _readers.pack_riff}

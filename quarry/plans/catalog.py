@@ -340,6 +340,20 @@ def cpio_extract(spark, sf_dir):
     return members.extract(packed, "conv_id").select("conv_id", "index", "name", F.md5("content").alias("md5"))
 
 
+def _packed(kind: str, name: str):
+    def run(spark, sf_dir):
+        packed = _conversation_files(spark, sf_dir).select("conv_id", members.pack(F.col("names"), F.col("files"), kind).alias("content"))
+        return members.extract(packed, "conv_id").select("conv_id", "container", "index", "name", F.md5("content").alias("md5"))
+
+    run.__name__ = f"{kind}_extract"
+    return query(f"SELECT conv_id, '{kind.upper()}' AS container, \"index\", {name} AS name, md5(text) AS md5 FROM {_TURNS}")(run)
+
+
+_packed("wad", "substr(name, 1, 8)")
+_packed("quake_pak", "name")
+_packed("riff", "'turn'")
+
+
 @query("""SELECT doc_id, 0 AS "index", octet_length(encode(text))::BIGINT AS uncompressed_size FROM documents
   UNION ALL SELECT doc_id, 1, octet_length(encode(lang))::BIGINT FROM documents""")
 def gzip_members(spark, sf_dir):
@@ -374,7 +388,7 @@ def _round_trip(method: str):
     return run
 
 
-for _m in ("deflate", "zlib", "bzip2", "xz", "zstd"):
+for _m in ("deflate", "zlib", "bzip2", "xz", "zstd", "snappy", "ascii85"):
     query("SELECT doc_id, md5(text) AS md5 FROM documents")(_round_trip(_m))
 
 
@@ -383,7 +397,7 @@ def member_totals(spark, sf_dir):
     return tar_members(spark, sf_dir).groupBy("conv_id").agg(F.count("*").alias("members"), F.sum("uncompressed_size").alias("size"))
 
 
-@query("SELECT count(*) AS formats, count(*) FILTER (f IN ('TAR', 'ZIP', 'CPIO')) AS created FROM (VALUES " + ", ".join(f"('{k}')" for k in members.READERS) + ") t(f)")
+@query("SELECT count(*) AS formats, count(*) FILTER (f IN ('TAR', 'ZIP', 'CPIO', 'WAD', 'QUAKE_PAK', 'RIFF')) AS created FROM (VALUES " + ", ".join(f"('{k}')" for k in members.READERS) + ") t(f)")
 def capabilities(spark, sf_dir):
     from quarry.operators import registry
 

@@ -188,3 +188,48 @@ def test_registry(spark):
         registry.scan("rules", rows, "id", file_type="PE32")
     with pytest.raises(ValueError):
         registry.register_engine(registry.Engine("old", lambda *a: a[0], abi=0))
+
+
+def chunk(tag, data):
+    return struct.pack(">I", len(data)) + tag + data + bytes(4)
+
+
+def directory(names):
+    return {m.name: m.size for m in names}
+
+
+def test_declared_readers():
+    from quarry.operators import readers
+
+    read = {n: f for n, _, _, f in readers.FORMATS}
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + chunk(b"IDAT", b"x") + chunk(b"IEND", b"")
+    assert directory(read["PNG"](png)) == {"IHDR": 13, "IDAT": 1, "IEND": 0}
+    assert directory(read["MIDI"](b"MThd\0\0\0\6" + bytes(6) + b"MTrk\0\0\0\2ab")) == {"MThd": 6, "MTrk": 2}
+    assert directory(read["WAD"](readers.pack_wad([("MAP01", b"abc")]))) == {"MAP01": 3}
+    assert directory(read["QUAKE_PAK"](readers.pack_pak([("a/b", b"abcd")]))) == {"a/b": 4}
+    assert directory(read["RIFF"](readers.pack_riff([("odd ", b"abc"), ("even", b"ab")]))) == {"odd": 3, "even": 2}
+    assert directory(read["BUILD_GRP"](b"KenSilverman" + struct.pack("<I", 2) + struct.pack("<12sI12sI", b"A", 1, b"B", 2) + b"xyy")) == {"A": 1, "B": 2}
+    assert directory(read["BIGF"](b"BIGF" + bytes(4) + struct.pack(">II", 1, 0) + struct.pack(">II", 26, 2) + b"n\0" + b"ok")) == {"n": 2}
+    assert directory(read["DESCENT_HOG"](b"DHF" + struct.pack("<13sI", b"f.txt", 2) + b"hi")) == {"f.txt": 2}
+    assert directory(read["TTF"](b"\0\1\0\0" + struct.pack(">HHHH", 1, 0, 0, 0) + struct.pack(">4sIII", b"cmap", 0, 28, 4) + bytes(4))) == {"cmap": 4}
+    assert directory(read["MP4"](struct.pack(">I4s", 12, b"ftyp") + b"isom" + struct.pack(">I4s", 8, b"mdat"))) == {"ftyp": 4, "mdat": 0}
+    assert directory(read["FLAC"](b"fLaC\x80\0\0\2ab" + b"zz")) == {"block0": 2, "frames": 2}
+    assert directory(read["WASM"](b"\0asm\1\0\0\0\1\3abc")) == {"section1": 3}
+    assert directory(read["GIF"](b"GIF89a" + bytes(7) + b"\x21\xfe\x01a\0" + b"\x2c" + bytes(9) + b"\x02\x01z\0\x3b")) == {"extensionfe": 5, "image": 14}
+    assert directory(read["PCAP"](b"\xd4\xc3\xb2\xa1" + bytes(20) + struct.pack("<IIII", 5, 0, 2, 2) + b"ab")) == {"packet0": 2}
+    assert directory(read["MBOX"](b"From a\nx\n\nFrom b\ny\n")) == {"message0": 10, "message1": 9}
+    assert directory(read["ARC"](b"\x1a\x02" + b"f".ljust(13, b"\0") + struct.pack("<IHHHI", 3, 0, 0, 0, 3) + b"abc\x1a\0")) == {"f": 3}
+    lha = bytes([23, 0]) + b"-lh0-" + struct.pack("<III", 3, 3, 0) + b" \0" + b"\x01f" + bytes(2)
+    assert directory(read["LHA"](lha + b"abc\0")) == {"f": 3}
+    card = lambda s: s.ljust(80).encode()
+    assert directory(read["FITS"](b"".join(map(card, ("SIMPLE  = T", "BITPIX  = 16", "NAXIS   = 1", "NAXIS1  = 3", "END "))).ljust(2880) + bytes(2880))) == {"unit0": 6}
+
+
+def test_readers_survive_any_cut():
+    from quarry.operators import readers
+
+    samples = [readers.pack_wad([("A", b"abc")]), readers.pack_riff([("abcd", b"xyz")]), b"GIF89a" + bytes(30), b"fLaC" + bytes(30), bytes(0x8001) + b"CD001" + bytes(3000), cab(), members.pack_cpio([("c", b"x")])]
+    for data in samples:
+        for _, _, read in members.READERS.values():
+            for n in {0, 1, 5, 12, 20, len(data) // 2, len(data) - 1, len(data)}:
+                assert all(m.offset + m.compressed <= max(n, 0) for m in read(data[:n]))
