@@ -195,3 +195,58 @@ def test_old_codecs():
     assert codecs.decode_bytes(b"CK" + first.compress(b"hello") + first.flush(), "mszip") == b"hello"
     assert codecs.decode_bytes(b"#86)C\n", "uuencode") == b"abc" and codecs.decode_bytes(bytes(b + 42 for b in b"abc"), "yenc") == b"abc"
     assert codecs.decode_bytes(b"a=3Db", "quoted_printable") == b"a=b" and codecs.decode_bytes(b"!!!", "base32") is None
+
+
+def test_crypto(spark):
+    from quarry.functions import crypto
+
+    p, q, e = 2**521 - 1, 2**607 - 1, 65537
+    n, d = p * q, pow(e, -1, (p - 1) * (q - 1))
+    size = (n.bit_length() + 7) // 8
+    info = bytes.fromhex(crypto.DIGEST_INFO["sha256"]) + hashlib.sha256(b"msg").digest()
+    padded = b"\0\1" + b"\xff" * (size - len(info) - 3) + b"\0" + info
+    sign = lambda m: pow(int.from_bytes(m, "big"), d, n).to_bytes(size, "big")
+    assert crypto.rsa_pkcs1_holds(n, e, sign(padded), b"msg", "sha256") and not crypto.rsa_pkcs1_holds(n, e, sign(padded), b"msh", "sha256")
+    raw = {"m": bytearray(b"msg"), "s": bytearray(sign(padded)), "n": bytearray(n.to_bytes(size, "big")), "e": bytearray(b"\1\0\1")}
+    assert one(spark, crypto.rsa_verify(*[F.col(c) for c in "msne"]), **raw) is True
+    h, salt, bits = hashlib.sha256(b"msg").digest(), b"s" * 32, n.bit_length() - 1
+    digest, em = hashlib.sha256(bytes(8) + h + salt).digest(), -(-bits // 8)
+    db = bytes(em - 32 - 32 - 2) + b"\1" + salt
+    masked = bytearray(x ^ y for x, y in zip(db, crypto._mask(digest, len(db), "sha256"), strict=True))
+    masked[0] &= 0xFF >> (8 * em - bits)
+    assert crypto.rsa_pss_holds(n, e, sign(bytes(masked) + digest + b"\xbc"), b"msg", "sha256") and not crypto.rsa_pss_holds(n, e, sign(bytes(masked) + digest + b"\xbc"), b"other", "sha256")
+    c, secret, k = crypto.P256, 12345678901234567890, 987654321987654321
+    public, r = c.times(secret, (c.gx, c.gy)), c.times(k, (c.gx, c.gy))[0] % c.n
+    z = int.from_bytes(h, "big")
+    s = pow(k, -1, c.n) * (z + r * secret) % c.n
+    assert c.holds(public) and c.times(c.n, (c.gx, c.gy)) is None
+    assert crypto.ecdsa_holds(c, public, r, s, h) and not crypto.ecdsa_holds(c, public, r, s + 1, h)
+    dq, dp = 101, 607  # 607 = 6 * 101 + 1
+    g = pow(2, 6, dp)
+    y, kk = pow(g, 57, dp), 33
+    rr = pow(g, kk, dp) % dq
+    ss = pow(kk, -1, dq) * (int.from_bytes(b"\x2a", "big") % 128 + 57 * rr) % dq
+    assert crypto.dsa_holds(dp, dq, g, y, rr, ss, b"\x15") == (pow(g, 21 * pow(ss, -1, dq) % dq, dp) * pow(y, rr * pow(ss, -1, dq) % dq, dp) % dp % dq == rr)
+    assert one(spark, crypto.big_power_modulo(F.col("a"), F.col("b"), F.col("c")), a=bytearray(b"\5"), b=bytearray(b"\3"), c=bytearray(b"\x0d")) == bytes([5**3 % 13])
+    hidden = bytes(b ^ b"key"[k % 3] for k, b in enumerate(b"MZ\x90\0\3\0\0\0\4\0"))
+    assert one(spark, crypto.known_plaintext(F.col("d"), b"MZ\x90\0\3\0\0\0"), d=bytearray(hidden)) == b"key"
+    sealed = crypto.aes_encrypt_cbc(F.col("d"), F.lit(b"0" * 16), F.lit(b"1" * 16))
+    assert one(spark, crypto.aes_decrypt_cbc(sealed, F.lit(b"0" * 16)), d=bytearray(b"text")) == b"text"
+
+
+def test_catalogues(spark):
+    from quarry.sources import catalogues
+
+    po = 'msgid ""\nmsgstr "Header: x\\n"\n\n# note\nmsgctxt "menu"\nmsgid "Open"\nmsgstr "Öffnen"\n\nmsgid "file"\nmsgid_plural "files"\nmsgstr[0] "Datei"\nmsgstr[1] ""\n"Dateien"\n'
+    table = catalogues.po_table(spark, po)
+    assert [tuple(r) for r in table.collect()] == [("menu", "Open", None, ["Öffnen"]), (None, "file", "files", ["Datei", "Dateien"])]
+    rows = spark.createDataFrame([("Open",), ("Close",)], "m string")
+    assert {r.m: r.translated for r in catalogues.translate(rows, "m", table, "menu").collect()} == {"Open": "Öffnen", "Close": "Close"}
+    forms = F.array(F.lit("Datei"), F.lit("Dateien"))
+    assert [one(spark, catalogues.plural(forms, F.lit("a"), F.lit("b"), F.lit(n))) for n in (1, 2)] == ["Datei", "Dateien"]
+    lines = spark.createDataFrame([(0, "; c"), (1, "[a]"), (2, "x = 1"), (3, "[b]"), (4, "y=2=3")], "n int, value string")
+    assert sorted(map(tuple, catalogues.settings(lines).collect())) == [("a", "x", "1"), ("b", "y", "2=3")]
+    data = spark.createDataFrame([(1, bytearray(b"MZ..")), (2, bytearray(b"PK"))], "id int, content binary")
+    rules = [("dos", "MSDOS", "'MZ'"), ("bad", "X", "4"), ("zip", "ZIP", "504B"), ("any", "BINARY", "..")]
+    assert sorted((r.id, r.name) for r in catalogues.scan_signatures(data, "id", rules).collect()) == [(1, "any"), (1, "dos"), (2, "any"), (2, "zip")]
+    assert [r.is_valid for r in catalogues.signature_table(spark, rules).collect()] == [True, False, True, True]
