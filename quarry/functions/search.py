@@ -202,3 +202,19 @@ def guarded_rlike(text: Column, literal: str, pattern: str) -> Column:
 def any_name_matches(names: Column, pattern: str) -> Column:
     """Whether some name has a non-empty match."""
     return F.exists(names, lambda n: F.length(F.regexp_extract(n, pattern, 0)) > 0)
+
+
+def captures(data: Column, pattern: str, ignore_case: bool = False, multi_line: bool = False, first_only: bool = False) -> Column:
+    """All matches of a regex over bytes with their groups: ``array<struct<start,end,groups>>``, offsets in bytes."""
+    compiled = re.compile(pattern.encode("latin-1"), (re.I if ignore_case else 0) | (re.M if multi_line else 0))
+
+    @per_value("array<struct<start:bigint,end:bigint,groups:array<string>>>")
+    def run(content: bytes):
+        out = []
+        for m in compiled.finditer(content):
+            out.append({"start": m.start(), "end": m.end(), "groups": [g if g is None else g.decode("latin-1") for g in (m.group(), *m.groups())]})
+            if first_only:
+                break
+        return out
+
+    return run(data)

@@ -109,4 +109,26 @@ WAV = Layout("wav_header", (Field("riff", "char", 4, role=SIGNATURE), Field("siz
 DBF = Layout("dbf_header", (Field("version", "u8", 1), Field("year", "u8", 1), Field("month", "u8", 1), Field("day", "u8", 1), Field("records", "u32", 4, role=COUNT), Field("header_size", "u16", 2, role=SIZE), Field("record_size", "u16", 2, role=SIZE), Field("reserved", "bytes", 20, role=RESERVED)))
 NE = Layout("ne_header", (Field("id", "char", 2, role=SIGNATURE), Field("linker", "u8", 1), Field("linker_minor", "u8", 1), Field("entry_at", "u16", 2, role=OFFSET), Field("entry_size", "u16", 2, role=SIZE), Field("crc", "u32", 4, role=CHECKSUM), Field("flags", "u16", 2, role=FLAGS), Field("auto_data", "u16", 2), Field("heap", "u16", 2, role=SIZE), Field("stack", "u16", 2, role=SIZE), Field("cs_ip", "u32", 4, role=POINTER), Field("ss_sp", "u32", 4, role=POINTER), Field("segments", "u16", 2, role=COUNT), Field("modules", "u16", 2, role=COUNT)), _starts("4E45"))
 LE = Layout("le_header", (Field("id", "char", 2, role=SIGNATURE), Field("byte_order", "u8", 1), Field("word_order", "u8", 1), Field("level", "u32", 4), Field("cpu", "u16", 2), Field("os", "u16", 2), Field("module_version", "u32", 4), Field("module_flags", "u32", 4, role=FLAGS), Field("pages", "u32", 4, role=COUNT)), _starts("4C45"))
-LAYOUTS = {x.name: x for x in (GZIP, TAR, AR_MEMBER, BZIP2, ZIP_LOCAL, DOS, COFF, SECTION, ELF64, BMP, WAV, DBF, NE, LE)}
+MACHO = Layout("mach_header", (Field("magic", "u32", 4, role=SIGNATURE), Field("cpu", "i32", 4), Field("subtype", "i32", 4), Field("type", "u32", 4), Field("commands", "u32", 4, role=COUNT), Field("commands_size", "u32", 4, role=SIZE), Field("flags", "u32", 4, role=FLAGS)))
+CLASS = Layout("java_class", (Field("magic", "u32", 4, True, SIGNATURE), Field("minor", "u16", 2, True), Field("major", "u16", 2, True), Field("constants", "u16", 2, True, COUNT)), _starts("CAFEBABE"))
+DEX = Layout("dex_header", (Field("magic", "bytes", 8, role=SIGNATURE), Field("checksum", "u32", 4, role=CHECKSUM), Field("sha1", "bytes", 20, role=CHECKSUM), Field("file_size", "u32", 4, role=SIZE), Field("header_size", "u32", 4, role=SIZE), Field("endian", "u32", 4), Field("link_size", "u32", 4, role=SIZE), Field("link_at", "u32", 4, role=OFFSET), Field("map_at", "u32", 4, role=OFFSET), Field("strings", "u32", 4, role=COUNT), Field("strings_at", "u32", 4, role=OFFSET)), _starts("6465780A"))
+PNG_HEADER = Layout("png_header", (Field("signature", "bytes", 8, role=SIGNATURE), Field("size", "u32", 4, True, SIZE), Field("type", "char", 4), Field("width", "u32", 4, True), Field("height", "u32", 4, True), Field("depth", "u8", 1), Field("colour", "u8", 1), Field("compression", "u8", 1), Field("filter", "u8", 1), Field("interlace", "u8", 1)), _starts("89504E470D0A1A0A"))
+GIF = Layout("gif_header", (Field("id", "char", 6, role=SIGNATURE), Field("width", "u16", 2), Field("height", "u16", 2), Field("flags", "u8", 1, role=FLAGS), Field("background", "u8", 1), Field("aspect", "u8", 1)), _starts("474946"))
+FLAC_INFO = Layout("flac_stream_info", (Field("id", "char", 4, role=SIGNATURE), Field("block", "u32", 4, True), Field("least_block", "u16", 2, True), Field("most_block", "u16", 2, True), Field("least_frame", "bytes", 3), Field("most_frame", "bytes", 3), Field("packed", "u64", 8, True), Field("md5", "bytes", 16, role=CHECKSUM)), _starts("664C6143"))
+SQLITE = Layout("sqlite_header", (Field("magic", "char", 16, role=SIGNATURE), Field("page_size", "u16", 2, True, SIZE), Field("write_version", "u8", 1), Field("read_version", "u8", 1), Field("reserved", "u8", 1, role=RESERVED), Field("fractions", "bytes", 3), Field("changes", "u32", 4, True, COUNT), Field("pages", "u32", 4, True, COUNT)), _starts("53514C69746520666F726D6174203300"))
+CAB = Layout("cab_header", (Field("id", "char", 4, role=SIGNATURE), Field("reserved1", "u32", 4, role=RESERVED), Field("size", "u32", 4, role=SIZE), Field("reserved2", "u32", 4, role=RESERVED), Field("files_at", "u32", 4, role=OFFSET), Field("reserved3", "u32", 4, role=RESERVED), Field("minor", "u8", 1), Field("major", "u8", 1), Field("folders", "u16", 2, role=COUNT), Field("files", "u16", 2, role=COUNT), Field("flags", "u16", 2, role=FLAGS), Field("set", "u16", 2, role=ID), Field("number", "u16", 2)), _starts("4D534346"))
+WAD = Layout("wad_header", (Field("id", "char", 4, role=SIGNATURE), Field("lumps", "u32", 4, role=COUNT), Field("directory_at", "u32", 4, role=OFFSET)))
+PCAP = Layout("pcap_header", (Field("magic", "u32", 4, role=SIGNATURE), Field("major", "u16", 2), Field("minor", "u16", 2), Field("zone", "i32", 4), Field("accuracy", "u32", 4), Field("snap_length", "u32", 4, role=SIZE), Field("link", "u32", 4)), _starts("D4C3B2A1"))
+MBR_ENTRY = Layout("mbr_entry", (Field("active", "u8", 1, role=FLAGS), Field("first_chs", "bytes", 3), Field("type", "u8", 1), Field("last_chs", "bytes", 3), Field("first_sector", "u32", 4, role=OFFSET), Field("sectors", "u32", 4, role=COUNT)))
+FAT_BOOT = Layout("fat_boot", (Field("jump", "bytes", 3), Field("oem", "char", 8), Field("sector", "u16", 2, role=SIZE), Field("cluster", "u8", 1), Field("reserved", "u16", 2, role=COUNT), Field("fats", "u8", 1, role=COUNT), Field("root_entries", "u16", 2, role=COUNT), Field("sectors", "u16", 2, role=COUNT), Field("media", "u8", 1), Field("fat_sectors", "u16", 2, role=SIZE)))
+EXT_SUPER = Layout("ext_super", (Field("inodes", "u32", 4, role=COUNT), Field("blocks", "u32", 4, role=COUNT), Field("reserved", "u32", 4, role=COUNT), Field("free_blocks", "u32", 4, role=COUNT), Field("free_inodes", "u32", 4, role=COUNT), Field("first_block", "u32", 4), Field("block_shift", "u32", 4)))
+ELF32 = Layout("elf32_header", (Field("ident", "bytes", 16, role=SIGNATURE), Field("type", "u16", 2), Field("machine", "u16", 2), Field("version", "u32", 4), Field("entry", "u32", 4, role=VA), Field("ph_at", "u32", 4, role=OFFSET), Field("sh_at", "u32", 4, role=OFFSET), Field("flags", "u32", 4, role=FLAGS), Field("eh_size", "u16", 2, role=SIZE), Field("ph_size", "u16", 2, role=SIZE), Field("ph_count", "u16", 2, role=COUNT), Field("sh_size", "u16", 2, role=SIZE), Field("sh_count", "u16", 2, role=COUNT), Field("sh_names", "u16", 2)), _starts("7F454C4601"))
+
+
+def from_spec(name: str, fields: list[dict], magic: str | None = None) -> Layout:
+    """A layout declared as data: dictionaries with name, kind, and optionally length, big, role; pads have no name."""
+    made = tuple(Field(f.get("name") or f"_pad{k}", f["kind"], f.get("length", 0), f.get("big", False), f.get("role", 0)) for k, f in enumerate(fields))
+    return Layout(name, made, _starts(magic) if magic else None)
+
+
+LAYOUTS = {x.name: x for x in (GZIP, TAR, AR_MEMBER, BZIP2, ZIP_LOCAL, DOS, COFF, SECTION, ELF64, BMP, WAV, DBF, NE, LE, MACHO, CLASS, DEX, PNG_HEADER, GIF, FLAC_INFO, SQLITE, CAB, WAD, PCAP, MBR_ENTRY, FAT_BOOT, EXT_SUPER, ELF32)}

@@ -233,3 +233,52 @@ def test_readers_survive_any_cut():
         for _, _, read in members.READERS.values():
             for n in {0, 1, 5, 12, 20, len(data) // 2, len(data) - 1, len(data)}:
                 assert all(m.offset + m.compressed <= max(n, 0) for m in read(data[:n]))
+
+
+def test_streams(spark):
+    from quarry.operators import streams
+
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 2, 0, 0, 0)) + chunk(b"tEXt", b"Author\0me")
+    rows = frame(spark, png, b"nothing")
+    got = {(r.key, r.value) for r in streams.stream(rows, "metadata", "id").collect()}
+    assert {("width", "3"), ("height", "2"), ("Author", "me")} <= got
+    fact = streams.facts(rows, "id").first()
+    assert fact.numbers["width"] == 3 and fact.texts == {"Author": "me"}
+    image = bytearray(pe().ljust(1536, b"\0"))
+    struct.pack_into("<II", image, 128 + 24 + 224 + 8, 512, 0x1000)  # virtual size and address of the section at 512
+    struct.pack_into("<II", image, 128 + 24 + 96 + 8, 0x1000, 40)
+    struct.pack_into("<5I", image, 512, 0x1040, 0, 0, 0x1080, 0x1040)
+    struct.pack_into("<III", image, 512 + 0x40, 0x1060, 0x80000007, 0)
+    image[512 + 0x62 : 512 + 0x66], image[512 + 0x80 : 512 + 0x85] = b"Func", b"a.dll"
+    assert streams.pe_imports.of(bytes(image)) == [{"library": "a.dll", "name": "Func", "ordinal": None}, {"library": "a.dll", "name": None, "ordinal": 7}]
+    assert streams.pe_imports.of(b"") == [] and streams.elf_symbols.of(b"\x7fELF") == [] and streams.pe_exports.of(pe()) == []
+    names, symbols = b"\0main\0", struct.pack("<IBBHQQ", 0, 0, 0, 0, 0, 0) + struct.pack("<IBBHQQ", 1, 2, 0, 0, 0x400000, 16)
+    head = b"\x7fELF\x02\x01\x01" + bytes(9) + struct.pack("<HHIQQQIHHHHHH", 2, 62, 1, 0, 0, 64, 0, 64, 0, 0, 64, 3, 2)
+    at = 64 + 3 * 64
+    section = lambda kind, where, size, link: struct.pack("<IIQQQQIIQQ", 0, kind, 0, 0, where, size, link, 0, 0, 0)
+    elf = head + section(0, 0, 0, 0) + section(2, at + len(names), len(symbols), 2) + section(3, at, len(names), 0) + names + symbols
+    assert streams.elf_symbols.of(elf) == [{"name": "main", "address": 0x400000, "size": 16, "kind": "function"}]
+
+
+def test_packets(spark):
+    from quarry.functions import packets, search
+
+    udp = struct.pack(">HHHH", 53, 1024, 8 + 4, 0) + b"data"
+    head = bytearray(struct.pack(">BBHHHBBH4s4s", 0x45, 0, 20 + len(udp), 7, 0, 64, 17, 0, bytes([10, 0, 0, 1]), bytes([10, 0, 0, 2])))
+    total = sum(struct.unpack(">10H", head))
+    total = (total & 0xFFFF) + (total >> 16)
+    struct.pack_into(">H", head, 10, ~total & 0xFFFF)
+    rows = frame(spark, bytes(head) + udp, bytes(head[:11]) + b"\0" + bytes(head[12:]) + udp)
+    got = rows.select(packets.ipv4(F.col("content")).alias("p")).withColumn("u", packets.udp(F.col("p.payload"))).collect()
+    assert (got[0].p.source, got[0].p.target, got[0].p.protocol, got[0].u.target, bytes(got[0].u.payload)) == ("10.0.0.1", "10.0.0.2", 17, 1024, b"data") and got[1].p is None
+    assert spark.range(1).select(packets.sequence_after(F.lit(5), F.lit(2**32 - 5)).alias("x")).first().x
+    found = frame(spark, b"k=1\nK=22").select(search.captures(F.col("content"), r"^(k)=(\d+)$", ignore_case=True, multi_line=True).alias("m")).first().m
+    assert [(m.start, m.end, m.groups) for m in found] == [(0, 3, ["k=1", "k", "1"]), (4, 8, ["K=22", "K", "22"])]
+
+
+def test_layouts_from_specs(spark):
+    own = layout.from_spec("own", [{"name": "a", "kind": "u16", "big": True}, {"kind": "bytes", "length": 1}, {"name": "b", "kind": "i8"}], "0102")
+    got = frame(spark, b"\1\2\0\xff", b"\1\2\0", b"\2\2\0\0").select(own.project(F.col("content")).alias("x")).collect()
+    assert (got[0].x.a, got[0].x.b, got[1].x, got[2].x) == (0x0102, -1, None, None)
+    sizes = {"cab_header": 36, "elf32_header": 52, "mach_header": 28, "png_header": 29, "pcap_header": 24, "mbr_entry": 16, "wad_header": 12, "gif_header": 13, "sqlite_header": 32}
+    assert {n: layout.LAYOUTS[n].size for n in sizes} == sizes
