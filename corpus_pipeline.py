@@ -14,24 +14,17 @@ stage's ``docs``.  All but the last return the columns of their ``docs``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm import fmindex, langid, mixing, simhash, tokenfile
-from quarry.llm.shared import materialize
+from quarry.llm.shared import free_name, materialize, quoted
 from quarry.llm.tables import table
 
 
-def _free_name(docs: DataFrame, name: str) -> str:
-    """``name``, or the first variant of it that is no column of ``docs``."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name = f"_{name}"
-    return name
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    name = _free_name(docs, "language")
+    name = free_name(docs, "language")
     found = langid.identify(docs, langid.fit(docs), name)
-    return found.where(f"not `{name}`.rejected").select(*[f"`{c}`" for c in docs.columns])
+    return found.where(~F.col(f"{name}.rejected")).select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +32,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    name = _free_name(docs, "benchmark")
+    name = free_name(docs, "benchmark")
     found = fmindex.find_phrases(docs, table(spark, sf_dir, "benchmark"), name)
-    return found.where(~fmindex.contaminated(name)).select(*[f"`{c}`" for c in docs.columns])
+    return found.where(~fmindex.contaminated(name)).select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

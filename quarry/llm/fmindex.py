@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import numbered
 from .textspans import ALNUM, Words, slices, text_bytes, xxh64
 
 WINDOW = 8
@@ -254,7 +255,8 @@ def merge_spans(spans: np.ndarray) -> np.ndarray:
 
 
 def _pass(docs: DataFrame, text_col: str, name: str, phrases: Phrases, merge: bool) -> DataFrame:
-    fields = [*docs.schema.fields] if merge else [*docs.schema.fields, T.StructField(name, T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("items", T.ArrayType(T.StringType()))]))]
+    plain = numbered(docs)
+    fields = [*plain.schema.fields] if merge else [*plain.schema.fields, T.StructField(name, T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("items", T.ArrayType(T.StringType()))]))]
     at = docs.columns.index(text_col)
     names = np.array(phrases.names, dtype=object)
 
@@ -282,7 +284,7 @@ def _pass(docs: DataFrame, text_col: str, name: str, phrases: Phrases, merge: bo
                 kept = part.columns[:-1] if merge else part.columns
                 yield pa.RecordBatch.from_arrays([*kept, found], [f.name for f in fields])
 
-    return docs.mapInArrow(run, T.StructType(fields))
+    return plain.mapInArrow(run, T.StructType(fields)).toDF(*docs.columns, *([] if merge else [name]))
 
 
 def find_phrases(docs: DataFrame, benchmark: DataFrame, name: str, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

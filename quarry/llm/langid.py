@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import numbered
 from .subword import LETTERS, Grams, labelled_sample, train_rows
 from .textspans import slices, text_bytes
 
@@ -146,7 +147,8 @@ def _lettered(texts: pa.Array, grams: np.ndarray, data: np.ndarray, offsets: np.
 def identify(docs: DataFrame, model: LangModel, name: str, text_col: str = "text") -> DataFrame:
     """``docs`` with a struct column ``name``: lang_pred, score, rejected."""
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, RESULT)])
+    plain = numbered(docs)
+    schema = T.StructType([*plain.schema.fields, T.StructField(name, RESULT)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = np.array([*model.labels, UNDETERMINED], dtype=object)
@@ -168,4 +170,4 @@ def identify(docs: DataFrame, model: LangModel, name: str, text_col: str = "text
             column = pa.StructArray.from_arrays([pa.array(labels[best], pa.string()), pa.array(p, pa.float64()), pa.array(rejected)], ["lang_pred", "score", "rejected"])
             yield pa.RecordBatch.from_arrays([*batch.columns, column], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, name)

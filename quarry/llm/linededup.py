@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import free_name, materialize, quoted
 
 WINDOW = 3
 
@@ -62,10 +62,11 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, name: str = "lines") -> DataFrame:
     """``docs`` with shortened texts and a struct column ``name``: n_lines, n_removed, stretches."""
     marks = materialize(repeated_stretches(docs.select("doc_id", "text")), "stretches")
-    marks = marks.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("stretches").alias("_cut"))
+    own_id, own_th, own_cut = (free_name(docs, n) for n in ("mark_id", "mark_th", "mark_cut"))
+    marks = marks.select(F.col("doc_id").alias(own_id), F.col("th").alias(own_th), F.col("stretches").alias(own_cut))
     # The merge hint keeps the plan the same at every size: a broadcast would only hold for small corpora.
-    met = docs.hint("merge").join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_th")), "left")
-    lines, cut = _lines(F.col("text")), F.col("_cut")
+    met = docs.hint("merge").join(marks, F.col("doc_id").eqNullSafe(F.col(own_id)) & F.xxhash64("text").eqNullSafe(F.col(own_th)), "left")
+    lines, cut = _lines(F.col("text")), F.col(own_cut)
 
     def between(x: Column, k: Column) -> Column:
         start = F.when(k == 0, 0).otherwise(F.element_at(cut, k)["end"] + 1)
@@ -76,4 +77,4 @@ def dedup_lines(docs: DataFrame, name: str = "lines") -> DataFrame:
     removed = F.coalesce(F.aggregate(cut, F.lit(0), lambda acc, s: acc + s["end"] - s["start"] + 1), F.lit(0))
     info = F.struct(F.when(F.col("text").isNotNull(), F.size(lines)).otherwise(0).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), cut.alias("stretches"))
     text = F.when(cut.isNull(), F.col("text")).otherwise(kept)
-    return met.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], info.alias(name))
+    return met.select(*[text.alias(c) if c == "text" else F.col(quoted(c)) for c in docs.columns], info.alias(name))

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, quoted
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_EPOCHS = 3
@@ -115,7 +115,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     which nothing is taken are dropped.  Other columns stay.
     """
     names = docs.columns
-    rows = materialize(docs.select(F.struct(*names).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    rows = materialize(docs.select(F.struct(*[F.col(quoted(n)) for n in names]).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
     sizes = materialize(sized(rows.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), F.col("doc.text").alias("text"))), "sizes")
     plan = materialize(targets(sizes), "targets")
     parts = pieces(sizes, plan).where("times > 0").groupBy("source", "shard", "row").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words", "times"))).alias("parts")).select("row", "parts")
@@ -127,4 +127,4 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     # The one-element array binds the words once for all pieces.
     text = F.transform(F.array(words), lambda tokens: F.array_join(F.transform(F.sequence(F.lit(1), F.array_max(F.transform("parts", lambda p: p["times"]))), lambda k: epoch(tokens, k)), "\n"))[0]
-    return met.select(*[text.alias(n) if n == "text" else F.col(f"doc.`{n}`").alias(n) for n in names])
+    return met.select(*[text.alias(n) if n == "text" else F.col("doc." + quoted(n)).alias(n) for n in names])

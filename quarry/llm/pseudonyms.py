@@ -40,6 +40,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free_name, quoted
+
 ROUNDS = 10
 DEFAULT_KEY = "quarry"
 DAYS_SIDE = 270  # 270 x 270 days from 1900-01-01
@@ -225,10 +227,13 @@ def pseudonym(m: Column, key: Column) -> Column:
 
 
 def pseudonymize(docs: DataFrame, name: str = "pii", text_col: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
-    """``docs`` with personal data in ``text_col`` replaced, and an array column ``name`` of the kinds replaced, in order."""
-    text = F.col(text_col)
-    found = docs.withColumn(name, F.when(text.rlike("[0-9@]"), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, F.lit(key)))).otherwise(F.array().cast("array<struct<kind:string,value:string>>")))
+    """``docs`` with personal data in ``text_col`` replaced, and an array column of the kinds replaced, in order.
+
+    It is called ``name``, with underscores before it if a column has that name.
+    """
+    text, name_ = F.col(text_col), free_name(docs, name)
+    found = docs.withColumn(name_, F.when(text.rlike("[0-9@]"), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, F.lit(key)))).otherwise(F.array().cast("array<struct<kind:string,value:string>>")))
     between = F.split(text, ANY, -1)
-    whole = F.when(F.size(name) > 0, F.array_join(F.zip_with(between, F.col(name), lambda a, p: F.concat(a, F.coalesce(p["value"], F.lit("")))), "")).otherwise(text)
-    kinds = F.transform(F.filter(name, lambda p: p["kind"].isNotNull()), lambda p: p["kind"])
-    return found.select(*[whole.alias(c) if c == text_col else F.col(c) for c in docs.columns], kinds.alias(name))
+    whole = F.when(F.size(name_) > 0, F.array_join(F.zip_with(between, F.col(name_), lambda a, p: F.concat(a, F.coalesce(p["value"], F.lit("")))), "")).otherwise(text)
+    kinds = F.transform(F.filter(name_, lambda p: p["kind"].isNotNull()), lambda p: p["kind"])
+    return found.select(*[whole.alias(c) if c == text_col else F.col(quoted(c)) for c in docs.columns], kinds.alias(name_))

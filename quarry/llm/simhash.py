@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize
+from .shared import free_name, materialize, quoted
 from .textspans import Words, slices, text_bytes, xxh64
 
 SHINGLE = 3
@@ -171,5 +171,5 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that are not a later member of a group; rows without id stay."""
-    later = groups.where("component_id is not null and doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_later")).distinct()
-    return docs.hint("merge").join(later, F.col(id_col) == F.col("_later"), "left_anti")
+    later = groups.where("component_id is not null and doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(free_name(docs, "later"))).distinct()
+    return docs.hint("merge").join(later, F.col(quoted(id_col)) == later[later.columns[0]], "left_anti")

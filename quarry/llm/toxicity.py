@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import numbered
 from .subword import Grams, labelled_sample, train_rows
 from .textspans import NOT_BLANK, slices, text_bytes
 
@@ -225,7 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, byte_bud
 def score(docs: DataFrame, model: ToxModel, name: str = "score", text_col: str = "text") -> DataFrame:
     """``docs`` with the column ``name``, a probability."""
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    plain = numbered(docs)
+    schema = T.StructType([*plain.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,4 +235,4 @@ def score(docs: DataFrame, model: ToxModel, name: str = "score", text_col: str =
             p = [model.scores(data, offsets[a : b + 1]) for a, b in slices(offsets)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(p) if p else np.zeros(0))], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, name)

@@ -8,15 +8,15 @@ from .common import corpus
 
 
 def write_tables(spark, folder, rows, items):
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, language int").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, language int, `later.row` int").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
 
 
 def test_stages(spark, tmp_path):
-    rows = [(r[0], r[1], r[2] and "en", *r[3:], k) for k, r in enumerate(corpus())]
+    rows = [(r[0], r[1], r[2] and "en", *r[3:], k, k) for k, r in enumerate(corpus())]
     leak = ["alpha beta gamma delta epsilon zeta eta theta iota", "kappa lambda mu nu xi omicron pi rho sigma"]
-    rows.append((500, rows[0][1] + " " + " ".join(leak), "en", "a", 1, 1))
-    rows.append((501, rows[1][1] + " more words " + leak[0] + " and a different ending of it all", "en", "a", 1, 1))
+    rows.append((500, rows[0][1] + " " + " ".join(leak), "en", "a", 1, 1, 1))
+    rows.append((501, rows[1][1] + " more words " + leak[0] + " and a different ending of it all", "en", "a", 1, 1, 1))
     folder = str(tmp_path)
     write_tables(spark, folder, rows, list(enumerate(leak)))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "SimHash near-dedup", "benchmark decontamination", "mixing sources", "token-ID output"]

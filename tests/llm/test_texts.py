@@ -29,10 +29,10 @@ def luhn(digits):
 
 
 def replaced(spark, *texts, key="k"):
-    rows = spark.createDataFrame([(k, t, "own") for k, t in enumerate(texts)], "doc_id long, text string, kind string")
+    rows = spark.createDataFrame([(k, t, "own") for k, t in enumerate(texts)], "doc_id long, text string, pii string")
     out = pseudonyms.pseudonymize(rows, key=key)
-    assert out.columns == ["doc_id", "text", "kind", "pii"]
-    return [(r.text, r.pii) for r in out.orderBy("doc_id").collect()]
+    assert out.columns == ["doc_id", "text", "pii", "_pii"]
+    return [(r.text, r._pii) for r in out.orderBy("doc_id").collect()]
 
 
 def test_pseudonyms_keep_formats(spark):
@@ -198,7 +198,7 @@ def test_pieces_are_safe_to_encode_apart():
 
 def test_line_dedup(spark):
     rows = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\ny"), (3, "a\nb"), (4, None), (5, ""), (6, "r\nr\nr\nr\nr\nend"), (7, "\n\n\n\n\n"), (8, "b\nc\nd\nq"), (None, "k\nl\nm"), (9, "k\nl\nm\nn"), (10, "\n".join(str(k) for k in range(5000)) + "\na\nb\nc")]
-    got = linededup.dedup_lines(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, h1 long")).orderBy(F.asc_nulls_first("doc_id")).collect()
+    got = linededup.dedup_lines(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, mark_id long")).orderBy(F.asc_nulls_first("doc_id")).collect()
     want = {1: "a\nb\nc\nd", 2: "x\ny", 3: "a\nb", 4: None, 5: "", 6: "r\nend", 7: "\n\n\n\n\n", 8: "q", None: "k\nl\nm", 9: "n", 10: "\n".join(str(k) for k in range(5000))}
     assert {r.doc_id: r.text for r in got} == want
     assert {r.doc_id: r.lines.n_removed for r in got if r.lines.n_removed} == {2: 3, 6: 4, 8: 3, 9: 3, 10: 3}
