@@ -3,7 +3,6 @@
 import datetime
 import hashlib
 
-from pyspark.sql import functions as F
 
 from quarry.operators import members
 from quarry.sources import files
