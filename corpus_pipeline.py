@@ -6,7 +6,8 @@ stage's ``docs``.  All but the last return the columns of their ``docs``.
 
 1. language ID: documents that it rejects go;
 2. SimHash near-dedup: one document of each group stays, the one with the least doc_id;
-3. benchmark decontamination: documents that hold passages of two or more benchmark items go;
+3. benchmark decontamination: documents that hold passages of two or more benchmark items go, and the words of a
+   single item's passage are cut out of the document that holds them;
 4. mixing: a document holds the words that the mix takes, repeats included; untaken ones go;
 5. token ids: what is left is written as ORC token files, and each document's entry is read back.
 """
@@ -21,6 +22,11 @@ from quarry.llm.shared import free_name, materialize, quoted
 from quarry.llm.tables import table
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    """``docs`` whose ``n_chars`` follow their texts."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     name = free_name(docs, "language")
     found = langid.identify(docs, langid.fit(docs), name)
@@ -34,11 +40,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     name = free_name(docs, "benchmark")
     found = fmindex.find_phrases(docs, table(spark, sf_dir, "benchmark"), name)
-    return found.where(~fmindex.contaminated(name)).select(*[F.col(quoted(c)) for c in docs.columns])
+    return _measured(fmindex.remove_spans(found.where(~fmindex.contaminated(name)), name))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(docs)
+    return _measured(mixing.mixed_documents(docs))
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

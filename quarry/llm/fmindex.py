@@ -308,3 +308,34 @@ def n_hit(name: str) -> Column:
 def contaminated(name: str, least: int = 2) -> Column:
     """Whether passages of at least ``least`` items occur."""
     return F.size(f"{name}.items") >= least
+
+
+def remove_spans(found: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """``found`` without the column ``name``, and without the words of its spans in the texts.
+
+    What stands between the words stays; texts without a span are passed through.
+    """
+    plain = numbered(found)
+    at, mark = found.columns.index(text_col), found.columns.index(name)
+    kept = [k for k in range(len(found.columns)) if k != mark]
+    schema = T.StructType([plain.schema.fields[k] for k in kept])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(k) for k in kept]
+            spans = batch.column(mark).field("spans")
+            hit = np.flatnonzero(np.diff(spans.offsets.to_numpy()))
+            if len(hit):
+                texts = batch.column(at).to_pylist()
+                for r in hit.tolist():
+                    data, offsets = text_bytes(pa.array([texts[r]], pa.large_string()))
+                    words, out, last = Words(data, offsets, ALNUM), bytearray(), 0
+                    raw = data.tobytes()
+                    for span in spans[r].as_py():
+                        out += raw[last : words.start[span["start"]]]
+                        last = int(words.end[span["end"] - 1])
+                    texts[r] = (bytes(out) + raw[last:]).decode()
+                columns[kept.index(at)] = pa.array(texts, batch.column(at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return plain.mapInArrow(run, schema).toDF(*[c for c in found.columns if c != name])

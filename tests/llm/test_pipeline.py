@@ -31,6 +31,8 @@ def test_stages(spark, tmp_path):
     assert set(ids["language ID"]) == {r[0] for r in rows} - {102, 103, 104}
     assert 100 not in ids["SimHash near-dedup"] and 3 in ids["SimHash near-dedup"]
     assert set(ids["SimHash near-dedup"]) - set(ids["benchmark decontamination"]) == {500}
+    cleaned = next(r for r in seen["benchmark decontamination"] if r.doc_id == 501)
+    assert cleaned.text == rows[1][1] + " more words  and a different ending of it all" and cleaned.n_chars == len(cleaned.text)
     assert sum(r.n_tokens for r in seen["token-ID output"]) == max(r.start + r.n_tokens for r in seen["token-ID output"])
     assert sorted(ids["token-ID output"], key=lambda x: (x is not None, x)) == sorted(ids["mixing sources"], key=lambda x: (x is not None, x))
 
