@@ -31,17 +31,24 @@ def head(data: Column, n: int = 4100) -> Column:
 
 def part(data: Column, offset: Column | int, length: Column | int) -> Column:
     """A checked range; -1 as length reads to the end.  Null if it is not inside."""
-    o = F.lit(offset) if isinstance(offset, int) else offset
-    n = F.lit(length) if isinstance(length, int) else length
-    n = F.when(n == -1, size(data) - o).otherwise(n)
-    return F.when((o >= 0) & (n >= 0) & (o + n <= size(data)), F.substring(data, (o + 1).cast("int"), n.cast("int")))
+    if isinstance(offset, int) and isinstance(length, int) and length >= 0:
+        return F.when(size(data) >= offset + length, F.substring(data, offset + 1, length)) if offset >= 0 else F.lit(None).cast("binary")
+
+    def inside(p: Column) -> Column:
+        o, n = p["o"], p["n"]
+        n = F.when(n == -1, size(data) - o).otherwise(n)
+        return F.when((o >= 0) & (n >= 0) & (o + n <= size(data)), F.substring(data, (o + 1).cast("int"), n.cast("int")))
+
+    # The one-element array binds place and length, which may be long expressions, once.
+    o, n = (F.lit(x) if isinstance(x, int) else x for x in (offset, length))
+    return F.transform(F.array(F.struct(o.try_cast("bigint").alias("o"), n.try_cast("bigint").alias("n"))), inside)[0]
 
 
 def unsigned(data: Column, offset: Column | int, width: int, big: bool = False) -> Column:
     """An unsigned integer of 1 to 8 bytes: BIGINT up to 7 bytes, DECIMAL(20,0) for 8."""
     raw = F.hex(part(data, offset, width))
     if not big and width > 1:
-        raw = F.concat(*[F.substring(raw, 2 * k + 1, 2) for k in reversed(range(width))])
+        raw = F.regexp_replace(raw, "(..)" * width, "".join(f"${k}" for k in range(width, 0, -1)))
     return F.conv(raw, 16, 10).cast("decimal(20,0)" if width == 8 else "bigint")
 
 

@@ -139,18 +139,20 @@ def mach_type(data: Column) -> Column:
 
 
 def _slice_check(data: Column, n: Column, record: int, big: bool, wide: bool):
-    """Whether a record of a fat header names a slice behind the table, aligned and inside the file."""
+    """How to read a record of a fat header, and whether it names a slice behind the table, aligned and inside the file."""
     width = 8 if wide else 4
 
-    def good(i: Column) -> Column:
+    def read(i: Column) -> Column:
         at = 8 + record * i
-        offset, size = b.unsigned(data, at + 8, width, big), b.unsigned(data, at + 8 + width, width, big)
-        align = b.unsigned(data, at + 8 + 2 * width, 4, big)
-        inside = (offset >= 8 + record * n) & (offset + size <= b.size(data))
-        aligned = (align <= 63) & (offset % F.pow(F.lit(2.0), align.cast("double")).cast("decimal(20,0)") == 0)
-        return (b.unsigned(data, at, 4, big) != 0) & (size >= 4) & aligned & inside & F.hex(b.part(data, offset.cast("bigint"), 4)).isin("FEEDFACE", "CEFAEDFE", "FEEDFACF", "CFFAEDFE")
+        return F.struct(b.unsigned(data, at, 4, big).alias("cpu"), b.unsigned(data, at + 8, width, big).alias("offset"), b.unsigned(data, at + 8 + width, width, big).alias("size"), b.unsigned(data, at + 8 + 2 * width, 4, big).alias("align"))
 
-    return good
+    def good(r: Column) -> Column:
+        offset, align = r["offset"], r["align"]
+        inside = (offset >= 8 + record * n) & (offset + r["size"] <= b.size(data))
+        aligned = (align <= 63) & (offset % F.pow(F.lit(2.0), F.least(align, F.lit(63)).cast("double")).cast("decimal(20,0)") == 0)
+        return (r["cpu"] != 0) & (r["size"] >= 4) & aligned & inside & F.hex(b.part(data, offset, 4)).isin("FEEDFACE", "CEFAEDFE", "FEEDFACF", "CFFAEDFE")
+
+    return read, good
 
 
 def fat_type(data: Column) -> Column:
@@ -162,8 +164,9 @@ def fat_type(data: Column) -> Column:
             big = k == 0
             n = b.unsigned(data, 4, 4, big)
             fits = b.at(data, 0, magic) & n.between(1, 4096) & (8 + record * n <= b.size(data))
-            records = F.sequence(F.lit(0), F.greatest(F.least(n, F.lit(4096)) - 1, F.lit(0)).cast("int"))
-            out = F.when(fits & F.coalesce(F.forall(records, _slice_check(data, n, record, big, wide)), F.lit(False)), name).otherwise(out)
+            read, good = _slice_check(data, n, record, big, wide)
+            records = F.transform(F.sequence(F.lit(0), F.greatest(F.least(n, F.lit(4096)) - 1, F.lit(0)).cast("int")), read)
+            out = F.when(fits & F.coalesce(F.forall(records, good), F.lit(False)), name).otherwise(out)
         return out
 
     return F.coalesce(kind(("CAFEBABE", "BEBAFECA"), 20, False, "MACHOFAT"), kind(("CAFEBABF", "BFBAFECA"), 32, True, "MACHOFAT64"))
