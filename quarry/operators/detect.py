@@ -143,14 +143,14 @@ def _slice_check(data: Column, n: Column, record: int, big: bool, wide: bool):
     width = 8 if wide else 4
 
     def read(i: Column) -> Column:
-        at = 8 + record * i
-        return F.struct(b.unsigned(data, at, 4, big).alias("cpu"), b.unsigned(data, at + 8, width, big).alias("offset"), b.unsigned(data, at + 8 + width, width, big).alias("size"), b.unsigned(data, at + 8 + 2 * width, 4, big).alias("align"))
+        row = F.substring(data, i * record + 9, F.lit(record))
+        return F.struct(b.unsigned(row, 0, 4, big).alias("cpu"), b.unsigned(row, 8, width, big).alias("offset"), b.unsigned(row, 8 + width, width, big).alias("size"), b.unsigned(row, 8 + 2 * width, 4, big).alias("align"))
 
     def good(r: Column) -> Column:
         offset, align = r["offset"], r["align"]
         inside = (offset >= 8 + record * n) & (offset + r["size"] <= b.size(data))
         aligned = (align <= 63) & (offset % F.pow(F.lit(2.0), F.least(align, F.lit(63)).cast("double")).cast("decimal(20,0)") == 0)
-        return (r["cpu"] != 0) & (r["size"] >= 4) & aligned & inside & F.hex(b.part(data, offset, 4)).isin("FEEDFACE", "CEFAEDFE", "FEEDFACF", "CFFAEDFE")
+        return (r["cpu"] != 0) & (r["size"] >= 4) & aligned & inside & F.hex(F.substring(data, (offset + 1).try_cast("int"), F.lit(4))).isin("FEEDFACE", "CEFAEDFE", "FEEDFACF", "CFFAEDFE")
 
     return read, good
 
