@@ -1,6 +1,7 @@
 """Repeated passages of three lines, in DataFrame operations only.
 
-Every three consecutive lines of a text are a window.  Windows are hashed (two
+Every three consecutive lines of a text are a window, and a text of one or two
+lines is a window of its own (unless ``short`` is off).  Windows are hashed (two
 64-bit hashes), the first of each is the one with the least (doc_id, text hash,
 position), and all later ones are removed: the positions they cover are merged
 into stretches, and a text keeps the lines between them.
@@ -10,8 +11,9 @@ ones are found by joining the windows with the repeated hashes only.  Both are
 written tables, so a window that fills a third of the corpus is split by the
 skew-join rule.  Texts are shuffled once, to meet their stretches.
 
-Defined cases: a null text stays null and an empty one empty; texts of fewer
-than three lines, and windows of blank lines, are left alone.  A line ends at
+Defined cases: a null text stays null and an empty one empty; windows of blank
+lines are left alone.  A short text meets whole short texts only, and a later
+copy of one becomes empty.  A line ends at
 each newline; a carriage return belongs to its line.  In a run of equal lines
 the first stays.  Rows without doc_id come first in the order.  Rows with the
 same doc_id and text share one outcome.  Other columns are kept.
@@ -31,37 +33,42 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _windows(docs: DataFrame) -> DataFrame:
-    """``(doc_id, th, at, h1, h2)``: one row for each window."""
+def _windows(docs: DataFrame, short: bool) -> DataFrame:
+    """``(doc_id, th, at, span, h1, h2)``: one row for each window of ``span`` lines."""
 
-    def window(x: Column, i: Column) -> Column:
-        lines = [F.element_at(x, i + k) for k in range(1, WINDOW + 1)]
-        blank = F.concat(*lines).rlike(r"\A\s*\z")
-        return F.when(~blank, F.struct(i.alias("at"), F.xxhash64(*lines).alias("h1"), F.xxhash64(F.lit(9), *lines).alias("h2")))
+    def found(at: Column, span: Column, parts: list[Column]) -> Column:
+        blank = F.concat(*parts).rlike(r"\A\s*\z")
+        return F.when(~blank, F.struct(at.alias("at"), span.alias("span"), F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(9), *parts).alias("h2")))
+
+    def threes(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(x) - WINDOW), lambda i: found(i, F.lit(WINDOW), [F.element_at(x, i + k) for k in range(1, WINDOW + 1)]))
 
     # The one-element array binds the lines once for all windows.
-    found = F.transform(F.array(_lines(F.col("text"))), lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - WINDOW), lambda i: window(x, i)))[0]
-    some = docs.where(F.col("text").isNotNull() & (F.size(_lines(F.col("text"))) >= WINDOW))
-    return some.select("doc_id", F.xxhash64("text").alias("th"), F.explode(found).alias("w")).where("w is not null").select("doc_id", "th", "w.*")
+    windows = F.transform(F.array(_lines(F.col("text"))), lambda x: F.when(F.size(x) < WINDOW, F.array(found(F.lit(0), F.size(x), [F.col("text")]))).otherwise(threes(x)))[0]
+    some = docs.where(F.col("text").isNotNull() if short else F.col("text").isNotNull() & (F.size(_lines(F.col("text"))) >= WINDOW))
+    return some.select("doc_id", F.xxhash64("text").alias("th"), F.explode(windows).alias("w")).where("w is not null").select("doc_id", "th", "w.*")
 
 
-def repeated_stretches(docs: DataFrame) -> DataFrame:
+def repeated_stretches(docs: DataFrame, short: bool = True) -> DataFrame:
     """``(doc_id, th, stretches)``: the merged positions of later occurrences, ends included."""
-    windows = materialize(_windows(docs), "windows")
+    windows = materialize(_windows(docs, short), "windows")
     place = F.struct("doc_id", "th", "at")
-    seen = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h1", "h2", "first")
+    seen = windows.groupBy("span", "h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("span", "h1", "h2", "first")
     repeated = materialize(seen, "repeated")
-    later = windows.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "th", "at").distinct()
+    later = windows.join(repeated, ["span", "h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "th", "at", "span").distinct()
     own = Window.partitionBy("doc_id", "th")
     gap = F.col("at") > F.lag("at").over(own.orderBy("at")) + WINDOW
     runs = later.withColumn("gap", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("run", F.sum("gap").over(own.orderBy("at")))
-    merged = runs.groupBy("doc_id", "th", "run").agg(F.min("at").alias("start"), (F.max("at") + WINDOW - 1).alias("end"))
+    merged = runs.groupBy("doc_id", "th", "run").agg(F.min("at").alias("start"), (F.max(F.col("at") + F.col("span")) - 1).alias("end"))
     return merged.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("stretches"))
 
 
-def dedup_lines(docs: DataFrame, name: str = "lines") -> DataFrame:
-    """``docs`` with shortened texts and a struct column ``name``: n_lines, n_removed, stretches."""
-    marks = materialize(repeated_stretches(docs.select("doc_id", "text")), "stretches")
+def dedup_lines(docs: DataFrame, name: str = "lines", short: bool = True) -> DataFrame:
+    """``docs`` with shortened texts and a struct column ``name``: n_lines, n_removed, stretches.
+
+    Without ``short``, texts of fewer than three lines are left alone.
+    """
+    marks = materialize(repeated_stretches(docs.select("doc_id", "text"), short), "stretches")
     own_id, own_th, own_cut = (free_name(docs, n) for n in ("mark_id", "mark_th", "mark_cut"))
     marks = marks.select(F.col("doc_id").alias(own_id), F.col("th").alias(own_th), F.col("stretches").alias(own_cut))
     # The merge hint keeps the plan the same at every size: a broadcast would only hold for small corpora.

@@ -14,7 +14,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from quarry.llm import fmindex, langid, linededup, mixing, pitmanyor, pseudonyms, tokenfile, toxicity
+from quarry.llm import fmindex, langid, linededup, mixing, pitmanyor, pseudonyms, queries, sql, tokenfile, toxicity
 from quarry.llm.subword import train_rows
 from quarry.llm.textspans import text_bytes
 
@@ -205,6 +205,22 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_line_dedup_of_short_texts(spark):
+    rows = [(1, "one line"), (2, "one line"), (3, "two\nlines"), (4, "two\nlines"), (5, "two"), (6, " \n"), (7, " \n"), (8, "one line\ntwo\nlines"), (None, "one line")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.lines.n_removed) for r in linededup.dedup_lines(docs).collect()}
+    assert got == {r[0]: (r[1], 0) for r in rows} | {1: ("", 1), 2: ("", 1), 4: ("", 2)}
+    assert all(r.lines.n_removed == 0 for r in linededup.dedup_lines(docs, short=False).collect())
+
+
+def test_whole_line_windows_against_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = sorted(con.execute(sql.LINE_WINDOWS_WHOLE).fetchall())
+    assert sorted(map(tuple, queries.line_windows_whole(spark, "/root/testdata/sf0.001").collect())) == want
+
+
 # ---- classifiers
 
 
