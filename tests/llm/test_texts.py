@@ -250,6 +250,17 @@ def test_language_id(spark):
     assert langid.identify(frame(spark, rows[:1]), empty, "f").first().f.lang_pred == "und"
 
 
+def test_language_id_rejects_what_was_not_learnt(spark):
+    rng = random.Random(6)
+    rows = sample_texts()
+    other = ["że", "wszystko", "człowiek", "jest", "który", "powiedział"]
+    unlearnt = [(2000 + k, " ".join(rng.choice(other) for _ in range(20)), None, "s", 0) for k in range(50)]
+    gibberish = [(3000 + k, " ".join("".join(rng.choice("bcdfghjkmpqvwxz") for _ in range(6)) for _ in range(20)), None, "s", 0) for k in range(50)]
+    docs = frame(spark, rows + unlearnt + gibberish)
+    got = {r.doc_id: r.found.rejected for r in langid.identify(docs, langid.fit(docs), "found").collect()}
+    assert all(got[r[0]] for r in unlearnt + gibberish) and not any(got[r[0]] for r in rows)
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     calm = ["table", "river", "window", "green", "walking", "paper", "sound"]
