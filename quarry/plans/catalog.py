@@ -486,6 +486,12 @@ def xml_escape(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", text.xml_escape(F.substring("html", 1, 300)).alias("escaped"))
 
 
+@query("SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')) AS escaped_md5 FROM pages")
+def xml_escape_whole(spark, sf_dir):
+    """Whole pages; ``xml_escape`` keeps to its SQL's first 300 characters."""
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(text.xml_escape(F.col("html"))).alias("escaped_md5"))
+
+
 @query("SELECT doc_id, strpos(text, 'the') - 1 AS at, coalesce(strpos(text, nullif(regexp_extract(text, '[0-9]+'), '')), 0) - 1 AS digits, len(regexp_extract_all(text, '[A-Z][a-z]+'))::INT AS words FROM documents")
 def js_strings(spark, sf_dir):
     rows, t = _table(spark, sf_dir, "documents"), F.col("text")
