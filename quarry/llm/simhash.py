@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import free_name, materialize, quoted
+from .shared import bounded_batches, free_name, materialize, quoted
 from .textspans import Words, slices, text_bytes, xxh64
 
 SHINGLE = 3
@@ -77,6 +77,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             joined = np.concatenate(fp) if fp else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(joined.view(np.int64))], ["doc_id", "fp"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 

@@ -44,7 +44,7 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def slices(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, limit: int = 512 << 10) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes, or of one longer row."""
     n, at = len(offsets) - 1, 0
     while at < n:

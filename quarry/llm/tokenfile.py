@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import scratch_path
+from .shared import bounded_batches, scratch_path
 from .textspans import PAD, slices, text_bytes, xxh64
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -209,6 +209,7 @@ def encode_sorted(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = E
                 )
                 before += int(cut[-1])
 
+    bounded_batches(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(run, FILE_SCHEMA)
 
