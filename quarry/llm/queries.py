@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,10 @@ from .tables import table
 
 
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get("spark.quarry.pii.key", pseudonyms.DEFAULT_KEY)
+    key = spark.conf.get("spark.quarry.pii.key", None)
+    if key is None:  # no key is written down anywhere: without one, pseudonyms link within this session
+        key = secrets.token_hex(32)
+        spark.conf.set("spark.quarry.pii.key", key)
     done = pseudonyms.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key=key)
     return done.select("doc_id", "text", F.size("pii").cast("long").alias("n_replaced"), F.array_join("pii", ",").alias("kinds"))
 
