@@ -40,19 +40,20 @@ def test_long_spans_hash_alike():
 
 
 def test_covering_family_misses_no_pair_within_the_radius():
-    masks = [m % (1 << 64) for m in simhash.covering_masks(3)]
-    assert len(masks) == 15
-    rng = np.random.default_rng(0)
-    for _ in range(3000):
-        x = sum(1 << int(b) for b in rng.choice(64, 3, replace=False))
-        assert any(x & m == 0 for m in masks)
+    for second in (False, True):
+        masks = [m % (1 << 64) for m in simhash.covering_masks(3, second=second)]
+        assert len(masks) == 15
+        rng = np.random.default_rng(0)
+        for _ in range(3000):
+            x = sum(1 << int(b) for b in rng.choice(64, 3, replace=False))
+            assert any(x & m == 0 for m in masks)
 
 
 def test_bucket_forest_connects_what_all_pairs_connect():
     rng = np.random.default_rng(1)
     centre = rng.integers(0, 2**63, 4, dtype=np.uint64)
     fp = np.unique(np.concatenate([c ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) for _ in range(40)], np.uint64) for c in centre]))
-    a, b = simhash.bucket_edges(np.zeros((len(fp), 2), np.int64), fp, np.arange(len(fp)), 3)
+    a, b = (np.searchsorted(fp, x) for x in simhash.bucket_edges(np.zeros((len(fp), 4), np.int64), fp, 3))
     near = [(i, j) for i, j in itertools.combinations(range(len(fp)), 2) if bin(int(fp[i] ^ fp[j])).count("1") <= 3]
     assert len(a) < len(fp) and plain_components(len(fp), zip(a, b, strict=True)) == plain_components(len(fp), near)
 
@@ -66,8 +67,22 @@ def test_simhash_groups(spark):
     least = {c: min(r[0] for r, x in zip(rows, label, strict=True) if x == c) for c in label}
     assert sorted((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got if r.doc_id is not None) == sorted((r[0], p, least[c]) for r, p, c in zip(rows, prints, label, strict=True))
     assert [r.component_id for r in got if r.doc_id is None] == [None]
-    kept = simhash.first_of_groups(frame(spark), simhash.simhash_groups(frame(spark)))
-    assert kept.columns == frame(spark).columns and {r.doc_id for r in kept.collect()} == {*least.values(), None}
+    kept = simhash.first_of_groups(frame(spark))
+    assert kept.columns == frame(spark).columns and sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [*((False, x) for x in sorted(least.values())), (True, None)]
+
+
+def test_crowded_buckets_are_split(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.integers(0, 2**63, 3, dtype=np.uint64)
+    fp = np.unique(np.concatenate([c ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in range(150)], np.uint64) for c in centre]))
+    near = [(i, j) for i, j in itertools.combinations(range(len(fp)), 2) if bin(int(fp[i] ^ fp[j])).count("1") <= 3]
+    classes = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    for large in (5, 4096):
+        edges = simhash.near_edges(classes, large=large).collect()
+        number = {int(x): k for k, x in enumerate(fp.view(np.int64))}
+        assert plain_components(len(fp), [(number[e.a], number[e.b]) for e in edges]) == plain_components(len(fp), near)
+    both = [m1 | m2 for m1 in simhash.covering_masks() for m2 in simhash.covering_masks(second=True)]
+    assert min(bin(m % (1 << 64)).count("1") for m in both) >= 44
 
 
 def test_simhash_of_nothing(spark):

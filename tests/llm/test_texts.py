@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import fmindex, langid, linededup, mixing, pitmanyor, pseudonyms, queries, sql, tokenfile, toxicity
+from quarry.llm.shared import materialize
 from quarry.llm.subword import train_rows
 from quarry.llm.textspans import text_bytes
 
@@ -247,7 +248,7 @@ def test_mixing(spark):
     for r in got:
         assert abs(r.target - target[source[r.doc_id]]) < 1e-6 and r.source_size == size[source[r.doc_id]] and 0 <= r.taken <= 3 * r["size"]
         taken[source[r.doc_id]] += r.taken
-    assert all(abs(taken[s] - target[s]) <= mixing.BLOCK_WORDS for s in order)
+    assert all(abs(taken[s] - target[s]) <= max(2, mixing.BLOCK_WORDS * size[s] / 30000) for s in order)
     assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(docs.repartition(3)).collect()))
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
@@ -261,6 +262,51 @@ def test_mixing(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+def highest_quotients(claims, caps, house):
+    seats = [0] * len(claims)
+    for _ in range(house):
+        open_ = [k for k in range(len(claims)) if seats[k] < caps[k]]
+        best = max(open_, key=lambda k: (claims[k] / (2 * seats[k] + 1), -k))
+        seats[best] += 1
+    return seats
+
+
+def test_apportionment_is_that_of_the_highest_quotients(spark):
+    rng, rows, want = random.Random(2), [], {}
+    for g in range(40):
+        n = rng.randint(1, 12)
+        claims = [rng.choice([0.0, 0.4, 0.5, 1.0, rng.random() * 5, rng.random() * 200]) for _ in range(n)]
+        caps = [max(1, int(c * rng.choice([1, 1.01, 3])) + rng.choice([0, 1])) for c in claims]
+        house = min(round(sum(claims)) + rng.choice([0, 0, 0, n // 3, -(n // 3)]), sum(c for c, x in zip(caps, claims, strict=True) if x))
+        house = max(0, house)
+        rows += [(g, k, claims[k], caps[k], house) for k in range(n)]
+        want |= {(g, k): s for k, s in enumerate(highest_quotients(claims, caps, house))} if sum(claims) else {(g, k): 0 for k in range(n)}
+    got = mixing.apportion(spark.createDataFrame(rows, "g int, k int, claim double, cap long, house long"), ["g"], ["k"]).collect()
+    assert {(r.g, r.k): r.seats for r in got} == want
+
+
+def test_quotas_of_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 300)
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    sizes = materialize(mixing.sized(frame(spark).select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "text")), "s")
+    plan = materialize(mixing.targets(sizes), "p")
+    got = mixing.quotas(mixing.dealt(sizes, plan), plan).orderBy("sid", "shard").collect()
+    rate = {r.sid: r.target / r.source_size for r in plan.collect()}
+    by_source, by_group = collections.Counter(), collections.Counter()
+    for r in got:
+        by_source[r.sid] += r.blocks
+        by_group[r.sid, r.shard // 3] += r.blocks
+    house = round(sum(n * rate[k] for k, n in by_source.items()))
+    seats = dict(zip(by_source, highest_quotients([n * rate[k] for k, n in by_source.items()], [3 * n for n in by_source.values()], house), strict=True))
+    assert sum(r.quota for r in got) == house and len(got) > 20
+    for sid in by_source:
+        groups = sorted(g for s, g in by_group if s == sid)
+        in_group = dict(zip(groups, highest_quotients([by_group[sid, g] * rate[sid] for g in groups], [3 * by_group[sid, g] for g in groups], seats[sid]), strict=True))
+        for g in groups:
+            shards = [r for r in got if r.sid == sid and r.shard // 3 == g]
+            assert [r.quota for r in shards] == highest_quotients([r.blocks * rate[sid] for r in shards], [3 * r.blocks for r in shards], in_group[g])
+
+
 # ---- token files
 
 
@@ -311,12 +357,15 @@ def test_line_dedup_of_short_texts(spark):
     assert all(r.lines.n_removed == 0 for r in linededup.dedup_lines(docs, short=False).collect())
 
 
-def test_whole_line_windows_against_sql(spark):
+def test_line_windows_against_sql(spark, tmp_path):
     duckdb = pytest.importorskip("duckdb")
-    con = duckdb.connect()
-    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
-    want = sorted(con.execute(sql.LINE_WINDOWS_WHOLE).fetchall())
-    assert sorted(map(tuple, queries.line_windows_whole(spark, "/root/testdata/sf0.001").collect())) == want
+    awkward = [(1, "a\nb\nc\nd"), (1, "a\nb\nc\nd"), (2, "a\nb\nc\nd"), (None, "b\nc\nd"), (None, "b\nc\nd"), (3, None), (3, None), (4, ""), (5, "x\ny"), (5, "x\ny"), (5, "q\na\nb\nc"), (6, "\n\n\n"), (6, "\n\n\n")]
+    spark.createDataFrame(awkward, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for folder, files in (("/root/testdata/sf0.001", "documents.parquet"), (str(tmp_path), "documents.parquet/*.parquet")):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/{files}'")
+        want = sorted(con.execute(sql.OP9).fetchall(), key=repr)
+        assert sorted(map(tuple, queries.op9_line_windows(spark, folder).collect()), key=repr) == want
 
 
 # ---- classifiers
@@ -425,10 +474,10 @@ def rounds(texts, ids, partitions=8, seed=11):
                 asked[bucket].append((k, raw))
         return {k: pitmanyor.Root(v) for k, v in sorted(asked.items())}
 
-    def told(by_bucket, counts, predictions):
+    def told(by_bucket, columns):
         replies = collections.defaultdict(list)
         for k, root in by_bucket.items():
-            for pid, raw in root.replies(k, counts(k), predictions(k)):
+            for pid, raw in root.replies(k, columns(k)):
                 replies[pid].append(raw)
         return {k: pitmanyor.answers(part, replies[k], partitions) for k, part in parts.items()}
 
@@ -443,8 +492,8 @@ def rounds(texts, ids, partitions=8, seed=11):
     d = tally.discounts()
     model = pitmanyor.Model(d, (1.0, tally.strength(1, d[1]), tally.strength(2, d[2])), sum(int(r.columns[0].sum()) for r in by_bucket.values()), sum(int((r.columns[0] > 0).sum()) for r in by_bucket.values()))
     seats, tables = (sum(f(r.columns[1]) for r in by_bucket.values()) for f in (np.sum, np.count_nonzero))
-    known = told(by_bucket, lambda k: [by_bucket[k].columns[0]], lambda k: [pitmanyor.root_prediction(by_bucket[k].columns[1], np.minimum(by_bucket[k].columns[1], 1), seats, tables, model)])
-    chains = {k: list(p.chain(known[k][1], model, np.random.default_rng([seed, k]))) for k, p in parts.items()}
+    known = told(by_bucket, lambda k: by_bucket[k].columns)
+    chains = {k: list(p.chain(pitmanyor.root_prediction(known[k][1], np.minimum(known[k][1], 1), seats, tables, model), model, np.random.default_rng([seed, k]))) for k, p in parts.items()}
     last = roots(lambda k, p: [p.seats(s) for s in chains[k]])
     drawn = {k: pitmanyor.root_tables(r, model, tables, seed, k) for k, r in last.items()}
     total = [(sum(r.columns[s].sum() for r in last.values()), sum(drawn[k][s].sum() for k in last)) for s in range(pitmanyor.SAMPLES)]
@@ -453,7 +502,8 @@ def rounds(texts, ids, partitions=8, seed=11):
         tally.add_seating(p, chains[k][-1])
     settled = pitmanyor.Model(d, (1.0, tally.strength(1, d[1]), tally.strength(2, d[2])), model.tokens, model.vocabulary)
     predict = lambda k: [pitmanyor.root_prediction(c, t, *total[s], settled) for s, (c, t) in enumerate(zip(last[k].columns, drawn[k], strict=True))]
-    p0 = told(last, lambda k: [], predict)
+    sent = told(last, lambda k: [*last[k].columns, *drawn[k]])
+    p0 = {k: [pitmanyor.root_prediction(v[s], v[pitmanyor.SAMPLES + s], *total[s], settled) for s in range(pitmanyor.SAMPLES)] for k, v in sent.items()}
     score = np.zeros(len(ids))
     for k, p in parts.items():
         mean = sum(p.lower(s, q, settled) for s, q in zip(chains[k], p0[k], strict=True)) / pitmanyor.SAMPLES
@@ -465,8 +515,8 @@ def rounds(texts, ids, partitions=8, seed=11):
 def test_scores_are_those_of_a_model_whose_predictions_sum_to_one(spark):
     rows = corpus()
     score, parts, chains, p0, model, total, words_ = rounds([r[1] for r in rows], [r[0] for r in rows], int(spark.conf.get("spark.sql.shuffle.partitions")))
-    got = sorted((r.doc_id is not None, r.doc_id, round(r.score, 6)) for r in pitmanyor.score_documents(frame(spark).repartition(3)).collect())
-    assert got == sorted((r[0] is not None, r[0], round(s, 6)) for r, s in zip(rows, score, strict=True))
+    got = sorted((r.doc_id is not None, r.doc_id, round(r.score, 4)) for r in pitmanyor.score_documents(frame(spark).repartition(3)).collect())
+    assert got == sorted((r[0] is not None, r[0], round(s, 4)) for r, s in zip(rows, score, strict=True))
     (d0, d2, d3), (e0, e2, e3) = model.d, model.e
     for s in range(pitmanyor.SAMPLES):
         known = {w: v[1 + s] for w, v in words_.items() if v[0] > 0}
