@@ -2,21 +2,23 @@
 
 Every three consecutive lines of a text are a window, and a text of one or two
 lines is a window of its own (unless ``short`` is off).  Windows are hashed (two
-64-bit hashes), the first of each is the one with the least (doc_id, text hash,
+64-bit hashes), the first of each is the one with the least (doc_id, row,
 position), and all later ones are removed: the positions they cover are merged
 into stretches, and a text keeps the lines between them.
 
 The first occurrence is a grouped minimum, combined before the shuffle; later
 ones are found by joining the windows with the repeated hashes only.  Both are
 written tables, so a window that fills a third of the corpus is split by the
-skew-join rule.  Texts are shuffled once, to meet their stretches.
+skew-join rule.  Texts are written once with a number for each row, and shuffled
+once by it, to meet their stretches.
 
 Defined cases: a null text stays null and an empty one empty; windows of blank
 lines are left alone.  A short text meets whole short texts only, and a later
-copy of one becomes empty.  A line ends at
-each newline; a carriage return belongs to its line.  In a run of equal lines
-the first stays.  Rows without doc_id come first in the order.  Rows with the
-same doc_id and text share one outcome.  Other columns are kept.
+copy of one becomes empty.  A line ends at each newline; a carriage return
+belongs to its line; very long texts are read whole.  In a run of equal lines
+the first stays.  Rows without doc_id come first in the order; rows that share a
+doc_id, repeated rows too, follow each other as they stand in the table.  An
+empty table stays empty.  Other columns are kept.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ def _lines(text: Column) -> Column:
 
 
 def _windows(docs: DataFrame, short: bool) -> DataFrame:
-    """``(doc_id, th, at, span, h1, h2)``: one row for each window of ``span`` lines."""
+    """``(doc_id, row, at, span, h1, h2)``: one row for each window of ``span`` lines."""
 
     def found(at: Column, span: Column, parts: list[Column]) -> Column:
         blank = F.concat(*parts).rlike(r"\A\s*\z")
@@ -46,21 +48,21 @@ def _windows(docs: DataFrame, short: bool) -> DataFrame:
     # The one-element array binds the lines once for all windows.
     windows = F.transform(F.array(_lines(F.col("text"))), lambda x: F.when(F.size(x) < WINDOW, F.array(found(F.lit(0), F.size(x), [F.col("text")]))).otherwise(threes(x)))[0]
     some = docs.where(F.col("text").isNotNull() if short else F.col("text").isNotNull() & (F.size(_lines(F.col("text"))) >= WINDOW))
-    return some.select("doc_id", F.xxhash64("text").alias("th"), F.explode(windows).alias("w")).where("w is not null").select("doc_id", "th", "w.*")
+    return some.select("doc_id", "row", F.explode(windows).alias("w")).where("w is not null").select("doc_id", "row", "w.*")
 
 
 def repeated_stretches(docs: DataFrame, short: bool = True) -> DataFrame:
-    """``(doc_id, th, stretches)``: the merged positions of later occurrences, ends included."""
+    """``(row, stretches)`` of ``docs(row, doc_id, text)``: the merged positions of later occurrences, ends included."""
     windows = materialize(_windows(docs, short), "windows")
-    place = F.struct("doc_id", "th", "at")
+    place = F.struct("doc_id", "row", "at")
     seen = windows.groupBy("span", "h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("span", "h1", "h2", "first")
     repeated = materialize(seen, "repeated")
-    later = windows.join(repeated, ["span", "h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "th", "at", "span").distinct()
-    own = Window.partitionBy("doc_id", "th")
+    later = windows.join(repeated, ["span", "h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("row", "at", "span")
+    own = Window.partitionBy("row")
     gap = F.col("at") > F.lag("at").over(own.orderBy("at")) + WINDOW
     runs = later.withColumn("gap", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("run", F.sum("gap").over(own.orderBy("at")))
-    merged = runs.groupBy("doc_id", "th", "run").agg(F.min("at").alias("start"), (F.max(F.col("at") + F.col("span")) - 1).alias("end"))
-    return merged.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("stretches"))
+    merged = runs.groupBy("row", "run").agg(F.min("at").alias("start"), (F.max(F.col("at") + F.col("span")) - 1).alias("end"))
+    return merged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("stretches"))
 
 
 def dedup_lines(docs: DataFrame, name: str = "lines", short: bool = True) -> DataFrame:
@@ -68,11 +70,12 @@ def dedup_lines(docs: DataFrame, name: str = "lines", short: bool = True) -> Dat
 
     Without ``short``, texts of fewer than three lines are left alone.
     """
-    marks = materialize(repeated_stretches(docs.select("doc_id", "text"), short), "stretches")
-    own_id, own_th, own_cut = (free_name(docs, n) for n in ("mark_id", "mark_th", "mark_cut"))
-    marks = marks.select(F.col("doc_id").alias(own_id), F.col("th").alias(own_th), F.col("stretches").alias(own_cut))
+    own_row, mark_row, own_cut = (free_name(docs, n) for n in ("own_row", "mark_row", "mark_cut"))
+    rows = materialize(docs.withColumn(own_row, F.monotonically_increasing_id()), "rows")
+    marks = materialize(repeated_stretches(rows.select("doc_id", "text", F.col(quoted(own_row)).alias("row")), short), "stretches")
+    marks = marks.select(F.col("row").alias(mark_row), F.col("stretches").alias(own_cut))
     # The merge hint keeps the plan the same at every size: a broadcast would only hold for small corpora.
-    met = docs.hint("merge").join(marks, F.col("doc_id").eqNullSafe(F.col(own_id)) & F.xxhash64("text").eqNullSafe(F.col(own_th)), "left")
+    met = rows.hint("merge").join(marks, F.col(own_row) == F.col(mark_row), "left")
     lines, cut = _lines(F.col("text")), F.col(own_cut)
 
     def between(x: Column, k: Column) -> Column:
