@@ -12,12 +12,16 @@ table: no pair within the radius is missed.
 
 Equal fingerprints are one class before any candidate is made.  In a bucket the
 operator emits a spanning forest of the links, at most one edge for each
-member, never the pairs.
+member, never the pairs.  A bucket of more than ``LARGE`` members is split by a
+second family of masks, so what meets agrees in the bits of two masks; fewer
+than 2**20 fingerprints can, and in practice those that do are far fewer.
 
 Defined cases: a null or blank text has the zero fingerprint and links like any
-other.  Rows that share a doc_id each get their own row.  A row without doc_id
-is fingerprinted; its component is that of its fingerprint, or null if no row
-with a doc_id has that fingerprint.  Other columns are ignored.
+other; very long texts are read whole.  Rows that share a doc_id each get their
+own row, and so do repeated rows.  A row without doc_id is fingerprinted and
+links; a component without any doc_id is null.  An empty table gives an empty
+result.  Other columns are ignored.  doc_id is an integer, or text that holds
+one.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -36,6 +40,7 @@ from .textspans import Words, slices, text_bytes, xxh64
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
+LARGE = 4096
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -67,23 +72,25 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE,
     return out
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` for every row; reads the two columns only."""
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``(doc_id, row, fp)`` for every row; reads these columns only (row is null if none is named)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
+            data, offsets = text_bytes(batch.column(2))
             fp = [fingerprints(data, offsets[a : b + 1]) for a, b in slices(offsets)]
             joined = np.concatenate(fp) if fp else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(joined.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(joined.view(np.int64))], ["doc_id", "row", "fp"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    row = F.col(quoted(row_col)) if row_col else F.lit(None)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row.cast("long").alias("row"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, row long, fp long")
 
 
-def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
-    """One mask for each non-zero code of radius+1 bits, as signed 64-bit numbers."""
-    codes = [1 + i % (2 ** (radius + 1) - 1) for i in range(bits)]
+def covering_masks(radius: int = RADIUS, bits: int = 64, second: bool = False) -> list[int]:
+    """One mask for each non-zero code of radius+1 bits, as signed 64-bit numbers; a ``second`` family deals codes differently."""
+    n = 2 ** (radius + 1) - 1
+    codes = [1 + (7 * i + i // n if second else i) % n for i in range(bits)]
     masks = []
     for v in range(1, 2 ** (radius + 1)):
         mask = sum(1 << i for i, m in enumerate(codes) if bin(m & v).count("1") % 2)
@@ -112,10 +119,10 @@ def _forest(fp: np.ndarray, radius: int, tile: int = 1 << 22) -> tuple[np.ndarra
     return (np.concatenate(child), np.concatenate(parent)) if child else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def bucket_edges(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int, small: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Linking edges within runs of equal ``key``, as two arrays of ``rep``."""
+def bucket_edges(key: np.ndarray, fp: np.ndarray, radius: int, small: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Linking edges within runs of equal ``key`` (rows), as two arrays of fingerprints."""
     if not len(key):
-        return rep[:0], rep[:0]
+        return fp[:0], fp[:0]
     start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
     size = np.diff(np.r_[start, len(key)])
     a, b = [], []
@@ -123,54 +130,84 @@ def bucket_edges(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int,
     for d in range(1, small):
         i = np.flatnonzero((run[:-d] <= small) & (key[:-d] == key[d:]).all(1)) if len(key) > d else np.zeros(0, np.int64)
         i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= radius]
-        a.append(rep[i])
-        b.append(rep[i + d])
+        a.append(fp[i])
+        b.append(fp[i + d])
     for s, n in zip(start[size > small], size[size > small], strict=True):
         child, parent = _forest(fp[s : s + n], radius)
-        a.append(rep[s + child])
-        b.append(rep[s + parent])
+        a.append(fp[s + child])
+        b.append(fp[s + parent])
     return np.concatenate(a), np.concatenate(b)
 
 
-def near_edges(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``(a, b)`` edges that connect all ``classes(fp, rep)`` within the radius.
+def near_edges(classes: DataFrame, radius: int = RADIUS, large: int = LARGE) -> DataFrame:
+    """``(a, b)`` edges that connect all ``classes(fp)`` within the radius.
 
-    Each class goes to one bucket of every table; a task meets its buckets in
-    sorted order and holds one bucket (12 bytes a member) at a time.
+    Each class goes to one bucket of every table, or to one of each table of the second family if that bucket is large;
+    a task meets its buckets in sorted order and holds one bucket and one batch at a time.
     """
-    masks = F.array(*[F.lit(m).cast("long") for m in covering_masks(radius)])
-    keyed = classes.select("fp", "rep", F.posexplode(masks).alias("t", "mask")).select(F.col("t").cast("long").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp", "rep")
+
+    def masks(second: bool) -> Column:
+        return F.array(*[F.lit(m).cast("long") for m in covering_masks(radius, second=second)])
+
+    keyed = classes.select("fp", F.posexplode(masks(False)).alias("t", "mask")).select(F.col("t").cast("long").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp")
+    crowded = materialize(keyed.groupBy("t", "part").agg(F.count("*").alias("n")).where(F.col("n") > large).select("t", "part", F.lit(True).alias("crowded")), "crowded")
+    if crowded.isEmpty():
+        dealt = keyed.select("t", "part", F.lit(-1).cast("long").alias("t2"), F.lit(0).cast("long").alias("part2"), "fp")
+    else:
+        again = F.when(F.col("crowded"), masks(True)).otherwise(F.array(F.lit(0).cast("long")))
+        dealt = keyed.join(crowded, ["t", "part"], "left").select("t", "part", "fp", F.posexplode(again).alias("t2", "mask2"))
+        dealt = dealt.select("t", "part", F.col("t2").cast("long").alias("t2"), F.col("fp").bitwiseAND(F.col("mask2")).alias("part2"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: np.ndarray) -> pa.RecordBatch:
-            a, b = bucket_edges(rows[:, :2], np.ascontiguousarray(rows[:, 2]).view(np.uint64), rows[:, 3], radius)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            rows = np.concatenate(held)
+            a, b = bucket_edges(rows[:, :4], np.ascontiguousarray(rows[:, 4]).view(np.uint64), radius)
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-        held = np.zeros((0, 4), np.int64)
         for batch in batches:
             rows = np.column_stack([c.to_numpy() for c in batch.columns])
-            rows = np.concatenate([held, rows])
-            same = (rows[:, :2] == rows[-1, :2]).all(1)
-            whole = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            held = rows[whole:]
-            if whole:
-                yield out(rows[:whole])
-        if len(held):
-            yield out(held)
-
-    return keyed.repartition("t", "part").sortWithinPartitions("t", "part").mapInArrow(run, "a long, b long")
+            if not len(rows):
+                continue
+            last = int(np.argmin((rows[::-1, :4] == rows[-1, :4]).all(1))) if not (rows[:, :4] == rows[-1, :4]).all() else len(rows)
+            if last < len(rows):  # a bucket ends in this batch
+                held.append(rows[: len(rows) - last])
+                yield out()
+                held = [rows[len(rows) - last :]]
+            elif held and (held[-1][-1, :4] != rows[0, :4]).any():
+                yield out()
+                held = [rows]
+            else:
+                held.append(rows)
+        if held:
+            yield out()
+
+    place = ["t", "part", "t2", "part2"]
+    return dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long")
+
+
+def _grouped(fps: DataFrame, radius: int) -> DataFrame:
+    """``(fp, component_id, keep)`` of each fingerprint; keep is the row of the least (doc_id, row) of its component."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min(order).alias("first")), "classes")
+    parts = connected_components(near_edges(classes.select("fp"), radius))
+    rooted = materialize(classes.join(parts, classes.fp == parts.node, "left").select("fp", "rep", "first", F.coalesce("component", "fp").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.min("first").alias("first")).select("root", "component_id", F.col("first.row").alias("keep"))
+    return materialize(rooted.select("fp", "root").join(least, "root").select("fp", "component_id", "keep"), "named")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row of ``docs``."""
     fps = materialize(with_fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "classes")
-    parts = connected_components(near_edges(classes, radius))
-    named = materialize(classes.join(parts, classes.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "named")
-    return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    return fps.join(_grouped(fps, radius).select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that are not a later member of a group; rows without id stay."""
-    later = groups.where("component_id is not null and doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(free_name(docs, "later"))).distinct()
-    return docs.hint("merge").join(later, F.col(quoted(id_col)) == later[later.columns[0]], "left_anti")
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of ``docs`` for each group of linked texts: that of the least doc_id, of equal ids the first; rows without id come last."""
+    own, kept = free_name(docs, "own_row"), free_name(docs, "kept_row")
+    rows = materialize(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    groups = _grouped(materialize(with_fingerprints(rows, id_col, text_col, own), "fingerprints"), radius)
+    keep = groups.select(F.col("keep").alias(kept)).distinct()
+    met = rows.hint("merge").join(keep, F.col(own) == F.col(kept), "left_semi")
+    return met.select(*[F.col(quoted(c)) for c in docs.columns])
