@@ -5,7 +5,7 @@ and returns a DataFrame; it is written as Parquet and read again as the next
 stage's ``docs``.  All but the last return the columns of their ``docs``.
 
 1. language ID: documents that it rejects go;
-2. SimHash near-dedup: one document of each group stays, the one with the least doc_id;
+2. SimHash near-dedup: one row of each group stays, the one with the least doc_id, and of repeated rows one;
 3. benchmark decontamination: documents that hold passages of two or more benchmark items go, and the words of a
    single item's passage are cut out of the document that holds them;
 4. mixing: a document holds the words that the mix takes, repeats included; untaken ones go;
@@ -34,7 +34,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.first_of_groups(docs, simhash.simhash_groups(docs))
+    return simhash.first_of_groups(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
