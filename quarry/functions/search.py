@@ -199,9 +199,18 @@ def guarded_rlike(text: Column, literal: str, pattern: str) -> Column:
     return F.when(F.contains(text, F.lit(literal)), text.rlike(pattern)).otherwise(False)
 
 
-def any_name_matches(names: Column, pattern: str) -> Column:
-    """Whether some name has a non-empty match."""
-    return F.exists(names, lambda n: F.length(F.regexp_extract(n, pattern, 0)) > 0)
+def any_name_matches(names: Column, pattern: str, literal: str | None = None) -> Column:
+    """Whether some name has a non-empty match.
+
+    With a ``literal`` that every match holds, the regex runs on names with it only, so that names which are built to
+    make it go back cost one search.
+    """
+
+    def hit(n: Column) -> Column:
+        found = F.length(F.regexp_extract(n, pattern, 0)) > 0
+        return found if literal is None else F.when(F.contains(n, F.lit(literal)), found).otherwise(False)
+
+    return F.exists(names, hit)
 
 
 def captures(data: Column, pattern: str, ignore_case: bool = False, multi_line: bool = False, first_only: bool = False) -> Column:

@@ -6,6 +6,7 @@ import functools
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +32,36 @@ def per_value(returns: T.DataType | str) -> Callable[[Callable[..., Any]], Calla
     return wrap
 
 
+def per_batch(returns: T.DataType | str) -> Callable[[Callable[[pa.Array], pa.Array]], Callable[..., Column]]:
+    """An Arrow UDF of one column from a function of a whole batch; nulls are the function's to handle."""
+
+    def wrap(f: Callable[[pa.Array], pa.Array]) -> Callable[..., Column]:
+        @functools.wraps(f)
+        def column(arg: Column) -> Column:
+            kind = T._parse_datatype_string(returns) if isinstance(returns, str) else returns
+
+            def call(a: pa.Array) -> pa.Array:
+                return f(a)
+
+            return F.arrow_udf(call, kind)(arg)
+
+        column.of = f
+        return column
+
+    return wrap
+
+
+def value_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary or string column as one array, and where each row begins and the last ends; null is empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
+    if column.null_count:
+        column = column.fill_null(b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return (np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)), offsets
+
+
 def _batched(f: Callable[..., Any], kind: pa.DataType) -> Callable[..., pa.Array]:
     def run(*columns: pa.Array) -> pa.Array:
         rows = zip(*(c.to_pylist() for c in columns), strict=True)

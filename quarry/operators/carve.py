@@ -26,6 +26,10 @@ class Anchor:
 ANCHORS = tuple(Anchor(k, bytes.fromhex(m), o) for k, (m, o, _) in READERS.items() if len(m) >= 6)
 
 
+#: Bytes behind the last member that belong to a format.
+TRAILERS = {"GZIP": 8}
+
+
 def find_embedded(data: bytes, anchors: tuple[Anchor, ...] = ANCHORS, limit: int = 0) -> list[dict]:
     """Validated formats in a content, first come first served, going on after the end of each.
 
@@ -39,7 +43,7 @@ def find_embedded(data: bytes, anchors: tuple[Anchor, ...] = ANCHORS, limit: int
         members = _listed(data[start:], anchors[k].kind)
         if not members:
             continue
-        size = max(m.offset + m.compressed for m in members)
+        size = max(m.offset + m.compressed for m in members) + TRAILERS.get(anchors[k].kind, 0)
         out.append({"offset": start, "size": size, "file_type": anchors[k].kind, "members": len(members)})
         resume = start + max(size, 1)
         if limit and len(out) >= limit:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import bytes as b
+from quarry.functions.udf import per_value
 
 #: Well-known signatures: type, family, offset, bytes, priority (the lower is tried first).
 RULES = (
@@ -217,24 +218,84 @@ def rib_spis_type(data: Column) -> Column:
     return F.when(rib, "RIB").when(spis, "SPIS")
 
 
+#: Magic numbers of compiled Python by version: first, last, version.
+PYC_MAGICS = (
+    (20121, 20121, "1.5"), (50428, 50428, "1.6"), (50823, 50823, "2.0"), (60202, 60202, "2.1"), (60717, 60717, "2.2"), (62011, 62021, "2.3"), (62041, 62061, "2.4"), (62071, 62131, "2.5"), (62151, 62161, "2.6"), (62171, 62211, "2.7"),
+    (3000, 3131, "3.0"), (3141, 3151, "3.1"), (3160, 3180, "3.2"), (3190, 3230, "3.3"), (3250, 3310, "3.4"), (3320, 3351, "3.5"), (3360, 3379, "3.6"), (3390, 3394, "3.7"), (3400, 3413, "3.8"), (3420, 3425, "3.9"),
+    (3430, 3439, "3.10"), (3450, 3495, "3.11"), (3500, 3531, "3.12"), (3550, 3571, "3.13"),
+)
+
+
+def pyc_version(data: Column) -> Column:
+    """The Python version of compiled code; null if it is none."""
+    magic, out = b.u16le(data, 0), F.lit(None).cast("string")
+    for low, high, version in PYC_MAGICS:
+        out = F.when(magic.between(low, high), version).otherwise(out)
+    return F.when((b.size(data) >= 4) & b.at(data, 2, "0D0A"), out)
+
+
+def pyc_type(data: Column) -> Column:
+    return F.when(pyc_version(data).isNotNull(), "PYC")
+
+
+@per_value("string")
+def _archive_kind(data: bytes):
+    """ZIP by what its members are named, and a gzip stream by whether it is a package's tar."""
+    import io
+    import tarfile
+    import zipfile
+    import zlib
+
+    if data[:2] == b"PK":
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                names = set(z.namelist())
+        except (zipfile.BadZipFile, OSError, ValueError, NotImplementedError):
+            return None
+        if "AndroidManifest.xml" in names:
+            return "APK"
+        if any(n.startswith("Payload/") and ".app/" in n for n in names):
+            return "IPA"
+        return "JAR" if "META-INF/MANIFEST.MF" in names else "ZIP"
+    try:
+        head = zlib.decompressobj(31).decompress(data, 1 << 20)
+    except zlib.error:
+        return None
+    try:
+        with tarfile.open(fileobj=io.BytesIO(head), mode="r:") as t:
+            for m in t:
+                if m.name == "package/package.json":
+                    return "NPM"
+    except (tarfile.TarError, EOFError, ValueError):
+        pass
+    return "GZIP"
+
+
+def archive_type(data: Column) -> Column:
+    """APK, IPA, JAR, ZIP, NPM or GZIP for archives that can be read; other contents never reach Python."""
+    return _archive_kind(F.when(b.at(data, 0, "504B0304") | b.at(data, 0, "504B0506") | b.at(data, 0, "1F8B08"), data))
+
+
 def com_type(data: Column, name: Column) -> Column:
     return F.when(F.lower(name).like("%.com") & (F.octet_length(data).between(1, 65280)), "COM")
 
 
+STEPS = (pe_type, elf_type, fat_type, mach_type, java_type, dex_type, pyc_type, pdf_type, image_type, amiga_atari_iso_type, rib_spis_type, dos_type)
+
+
 def ladder(data: Column, name: Column | None = None) -> Column:
-    """The type by structure, in order; ``BINARY`` if nothing fits."""
-    steps = [pe_type, elf_type, fat_type, mach_type, java_type, dex_type, pdf_type, image_type, amiga_atari_iso_type, rib_spis_type, dos_type]
-    return F.coalesce(*[s(data) for s in steps], *([com_type(data, name)] if name is not None else []), F.lit(UNKNOWN))
+    """The type by structure, in order; ``BINARY`` if nothing fits.  ``archive_type`` opens what this leaves."""
+    return F.coalesce(*[s(data) for s in STEPS], *([com_type(data, name)] if name is not None else []), F.lit(UNKNOWN))
 
 
 def type_set(data: Column) -> Column:
     """All types whose check fits, sorted."""
-    found = [s(data) for s in (pe_type, elf_type, fat_type, mach_type, java_type, dex_type, pdf_type, image_type, amiga_atari_iso_type, rib_spis_type, dos_type)]
+    found = [s(data) for s in STEPS]
     return F.array_sort(F.array_compact(F.array(*found)))
 
 
 #: Which types a rule for one type also covers.
-PARENTS = {"PE32": "PE", "PE64": "PE", "PE": "MSDOS", "NE": "MSDOS", "LE": "MSDOS", "LX": "MSDOS", "DOS4G": "MSDOS", "DOS16M": "MSDOS", "ELF32": "ELF", "ELF64": "ELF", "MACHO32": "MACHO", "MACHO64": "MACHO", "JAR": "ZIP", "APK": "JAR", "IPA": "ZIP", "MSDOS": "BINARY", "ELF": "BINARY", "MACHO": "BINARY", "ZIP": "BINARY"}
+PARENTS = {"PE32": "PE", "PE64": "PE", "PE": "MSDOS", "NE": "MSDOS", "LE": "MSDOS", "LX": "MSDOS", "DOS4G": "MSDOS", "DOS16M": "MSDOS", "ELF32": "ELF", "ELF64": "ELF", "MACHO32": "MACHO", "MACHO64": "MACHO", "JAR": "ZIP", "APK": "JAR", "IPA": "ZIP", "NPM": "GZIP", "MSDOS": "BINARY", "ELF": "BINARY", "MACHO": "BINARY", "ZIP": "BINARY"}
 
 
 def ancestors(file_type: str) -> list[str]:

@@ -1,14 +1,17 @@
 """Members of containers, and regions within regions.
 
 ``list_members`` turns a container into rows (index, name, offset, sizes,
-method, checksum); ``extract`` adds the decoded bytes.  Both run as Arrow UDFs
-behind the signature of the type, so a content that has the wrong first bytes
-never reaches Python.  ``recurse`` opens containers in containers level by level.
+method, checksum); ``extract`` adds the decoded bytes and a status.  Both run as
+Arrow UDFs behind the signature of the type, so a content that has the wrong
+first bytes never reaches Python.  ``recurse`` opens containers in containers, all
+levels of a content in one call.  Listings are whole unless a limit is asked for,
+and then say whether there was more.
 """
 
 from __future__ import annotations
 
 import io
+import itertools
 import struct
 import tarfile
 import zipfile
@@ -24,8 +27,9 @@ from quarry.functions.codecs import DECODERS, decode_bytes
 from quarry.functions.udf import per_value
 
 MEMBER = "struct<index:int,name:string,offset:bigint,compressed_size:bigint,uncompressed_size:bigint,method:string,crc32:bigint,mtime:bigint>"
-MAX_MEMBERS = 100_000
-MAX_MEMBER_SIZE = 256 << 20
+#: What a BINARY value of Spark can hold; longer members are listed, and extracted as ``failed``.
+MAX_MEMBER_SIZE = (1 << 31) - 64
+STEP = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -55,17 +59,18 @@ def gzip_members(data: bytes) -> Iterator[Member]:
                 name = data[p:end].decode("latin-1") if bit == 8 else name
                 p = end + 1
         p += 2 * bool(flags & 2)
-        d, size = zlib.decompressobj(-15), 0
+        # Some input and 1 MiB of output at a time: a member's size is not bounded, and nothing of it is kept.
+        d, size, fed = zlib.decompressobj(-15), 0, p
         try:
-            rest = data[p:]
-            while rest and not d.eof:
-                size += len(d.decompress(rest, 1 << 20))
-                rest = d.unconsumed_tail
-                if size > MAX_MEMBER_SIZE:
-                    return
+            while fed < len(data) and not d.eof:
+                rest = data[fed : fed + STEP]
+                fed += len(rest)
+                while rest and not d.eof:
+                    size += len(d.decompress(rest, 1 << 20))
+                    rest = d.unconsumed_tail
         except zlib.error:
             return
-        end = len(data) - len(d.unused_data)
+        end = fed - len(d.unused_data)
         if not d.eof or end + 8 > len(data):
             return
         crc, length = struct.unpack_from("<II", data, end)
@@ -286,13 +291,14 @@ def container_type(data: Column) -> Column:
     return out
 
 
-def _listed(data: bytes, kind: str, limit: int = MAX_MEMBERS) -> list[Member]:
-    out = []
-    for m in READERS[kind][2](data):
-        if len(out) >= limit:
-            break
-        out.append(m)
-    return out
+def kind_of(data: bytes) -> str | None:
+    """The first reader whose signature fits."""
+    return next((k for k, (magic, offset, _) in READERS.items() if data.startswith(bytes.fromhex(magic), offset)), None)
+
+
+def _listed(data: bytes, kind: str, limit: int = 0) -> list[Member]:
+    """All members, or the first ``limit`` of them."""
+    return list(itertools.islice(READERS[kind][2](data), limit or None))
 
 
 def _row(k: int, m: Member) -> dict:
@@ -308,23 +314,31 @@ def member_bytes(data: bytes, m: Member) -> bytes | None:
 
 
 @per_value(f"array<{MEMBER}>")
-def _members(data: bytes, kind: str):
-    return [_row(k, m) for k, m in enumerate(_listed(data, kind))]
+def _members(data: bytes, kind: str, limit: int):
+    return [_row(k, m) for k, m in enumerate(_listed(data, kind, limit))]
 
 
-@per_value("array<struct<index:int,name:string,content:binary>>")
+@per_value("array<struct<index:int,name:string,content:binary,status:string>>")
 def _extracted(data: bytes, kind: str):
-    return [{"index": k, "name": m.name, "content": member_bytes(data, m)} for k, m in enumerate(_listed(data, kind))]
+    rows = [(k, m, member_bytes(data, m)) for k, m in enumerate(_listed(data, kind))]
+    return [{"index": k, "name": m.name, "content": c, "status": "failed" if c is None else "ok"} for k, m, c in rows]
+
 
+def list_members(contents: DataFrame, key: str, data: str = "content", kind: str | None = None, limit: int = 0) -> DataFrame:
+    """One row for each member of each container, in the container's order.
 
-def list_members(contents: DataFrame, key: str, data: str = "content", kind: str | None = None) -> DataFrame:
-    """One row for each member of each container, in the container's order."""
+    With a ``limit``, the first so many of each container, and a column ``truncated`` that tells whether there are more.
+    """
     typed = contents.withColumn("container", F.lit(kind) if kind else container_type(F.col(data))).where("container is not null")
-    return typed.select(key, "container", F.explode(_members(F.col(data), F.col("container"))).alias("m")).select(key, "container", "m.*")
+    found = _members(F.col(data), F.col("container"), F.lit(limit + 1 if limit else 0))
+    if not limit:
+        return typed.select(key, "container", F.explode(found).alias("m")).select(key, "container", "m.*")
+    listed = typed.select(key, "container", found.alias("f"))
+    return listed.select(key, "container", F.explode(F.slice("f", 1, limit)).alias("m"), (F.size("f") > limit).alias("truncated")).select(key, "container", "m.*", "truncated")
 
 
 def extract(contents: DataFrame, key: str, data: str = "content", kind: str | None = None) -> DataFrame:
-    """One row for each member with its decoded bytes; null where decoding or a checksum fails."""
+    """One row for each member with its decoded bytes; null, and ``failed``, where decoding or a checksum fails."""
     typed = contents.withColumn("container", F.lit(kind) if kind else container_type(F.col(data))).where("container is not null")
     return typed.select(key, "container", F.explode(_extracted(F.col(data), F.col("container"))).alias("m")).select(key, "container", "m.*")
 
@@ -332,22 +346,37 @@ def extract(contents: DataFrame, key: str, data: str = "content", kind: str | No
 def is_valid(data: Column, kind: str) -> Column:
     """Whether a content has the format's signature and at least one readable member."""
     magic, offset, _ = READERS[kind]
-    return F.when(b.at(data, offset, magic), F.size(_members(data, F.lit(kind))) > 0).otherwise(False)
+    return F.when(b.at(data, offset, magic), F.size(_members(data, F.lit(kind), F.lit(1))) > 0).otherwise(False)
+
+
+REGION = "struct<path:array<int>,depth:int,name:string,content:binary>"
+
+
+@per_value(f"array<{REGION}>")
+def _regions(data: bytes, max_depth: int):
+    out, level = [], [([], data)]
+    for depth in range(1, max_depth + 1):
+        inner = []
+        for path, content in level:
+            kind = kind_of(content)
+            for k, m in enumerate(_listed(content, kind) if kind else ()):
+                got = member_bytes(content, m)
+                if got is not None:
+                    out.append({"path": [*path, k], "depth": depth, "name": m.name, "content": got})
+                    inner.append(([*path, k], got))
+        level = inner
+    return out
 
 
 def recurse(contents: DataFrame, key: str, data: str = "content", max_depth: int = 4) -> DataFrame:
     """All regions reachable through containers: key, path of member numbers, depth, name, content.
 
-    One pass for each level; a level without containers adds no rows.
+    Every content is opened once, with all its levels; contents that are no container stay out of Python.
     """
-    level = contents.select(F.col(key), F.array().cast("array<int>").alias("path"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("name"), F.col(data).alias("content"))
-    found = level
-    for depth in range(1, max_depth + 1):
-        typed = level.withColumn("container", container_type(F.col("content"))).where("container is not null")
-        inner = typed.select(key, "path", F.explode(_extracted(F.col("content"), F.col("container"))).alias("m"))
-        level = inner.where("m.content is not null").select(key, F.concat("path", F.array("m.index")).alias("path"), F.lit(depth).alias("depth"), F.col("m.name").alias("name"), F.col("m.content").alias("content"))
-        found = found.unionByName(level)
-    return found
+    rows = contents.select(F.col(key), F.col(data).alias("_data"))
+    whole = F.struct(F.array().cast("array<int>").alias("path"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("name"), F.col("_data").alias("content")).cast(REGION)
+    inner = _regions(F.when(container_type(F.col("_data")).isNotNull(), F.col("_data")), F.lit(max_depth))
+    return rows.select(key, F.explode(F.concat(F.array(whole), F.coalesce(inner, F.array().cast(f"array<{REGION}>")))).alias("r")).select(key, "r.*")
 
 
 def pack_tar(rows: list[tuple[str, bytes]]) -> bytes:

@@ -73,20 +73,29 @@ def islands(rows: DataFrame, key: str, position: str) -> DataFrame:
     return rows.withColumn("_run", F.col(position) - F.row_number().over(w)).groupBy(key, "_run").agg(F.min(position).alias("start"), F.max(position).alias("end"), F.count("*").alias("length")).drop("_run")
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: str, salts: int = 16) -> DataFrame:
-    """An inner join whose hot keys are spread: left rows by a hash of the row, right rows to all salts."""
-    a = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
-    c = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+def salted_join(left: DataFrame, right: DataFrame, on: str, salts: int = 16, hot_rows: int = 1_000_000) -> DataFrame:
+    """An inner join whose hot keys are spread: left rows by a hash of the row, right rows to all salts.
+
+    Hot are the keys of more than ``hot_rows`` left rows; all others are joined as they are, and no right row is copied for them.
+    """
+    hot = left.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(on, F.lit(True).alias("_hot"))
+    luck = F.pmod(F.xxhash64(*left.columns), F.lit(salts))
+    a = left.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), luck).otherwise(F.lit(0).cast("bigint"))).drop("_hot")
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+    c = right.join(hot, on, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0).cast("bigint"))))).drop("_hot")
     return a.join(c, [on, "_salt"]).drop("_salt")
 
 
-def tree_paths(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """``(id, depth, path)`` of an ordered tree given as id, parent_id, ordinal; a recursive query."""
+def tree_paths(nodes: DataFrame) -> DataFrame:
+    """``(id, depth, path)`` of an ordered tree given as id, parent_id, ordinal; a recursive query.
+
+    A tree deeper than the session's ``spark.sql.cteRecursionLevelLimit`` is an error, not a shorter answer.
+    """
     spark = nodes.sparkSession
     nodes.select("id", "parent_id", "ordinal").createOrReplaceTempView("_tree_nodes")
-    return spark.sql(f"""
+    return spark.sql("""
         WITH RECURSIVE walk(id, depth, path) AS (
           SELECT id, 0, array(ordinal) FROM _tree_nodes WHERE parent_id IS NULL
           UNION ALL
-          SELECT n.id, w.depth + 1, array_append(w.path, n.ordinal) FROM _tree_nodes n JOIN walk w ON n.parent_id = w.id WHERE w.depth < {max_depth})
+          SELECT n.id, w.depth + 1, array_append(w.path, n.ordinal) FROM _tree_nodes n JOIN walk w ON n.parent_id = w.id)
         SELECT id, depth, path FROM walk""")

@@ -59,9 +59,8 @@ def _bytes_sql(table: str = "documents", key: str = "doc_id", column: str = "tex
   FROM documents d LEFT JOIN s USING (doc_id)""")
 def scan_documents(spark, sf_dir):
     """The basic report: size, digests, entropy, printable share and structural type of each content."""
-    rows = _contents(spark, sf_dir).withColumn("counts", stats.histogram(F.col("content")))
-    data, counts = F.col("content"), F.col("counts")
-    return rows.select("doc_id", b.size(data).cast("long").alias("n_bytes"), F.md5(data).alias("md5"), F.sha2(data, 256).alias("sha256"), F.round(stats.entropy(counts), 6).alias("entropy"), F.round(stats.printable_ratio(counts), 6).alias("printable"), detect.ladder(data).alias("file_type"))
+    rows, data = _contents(spark, sf_dir).withColumn("s", stats.byte_statistics(F.col("content"))), F.col("content")
+    return rows.select("doc_id", b.size(data).cast("long").alias("n_bytes"), F.md5(data).alias("md5"), F.sha2(data, 256).alias("sha256"), F.round("s.entropy", 6).alias("entropy"), F.round("s.printable", 6).alias("printable"), detect.ladder(data).alias("file_type"))
 
 
 @query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents")
@@ -106,17 +105,16 @@ def doc_byte_hist(spark, sf_dir):
     any_value(mode)::INT AS mode, coalesce(sum(c.n) FILTER (c.v = 32), 0)::BIGINT AS blanks
   FROM c JOIN m USING (doc_id) GROUP BY 1""")
 def doc_byte_moments(spark, sf_dir):
-    rows = _contents(spark, sf_dir).where(F.octet_length("content") > 0).withColumn("c", stats.histogram(F.col("content")))
-    c = F.col("c")
-    rows = rows.withColumn("m", stats.mean(c))
-    return rows.select("doc_id", stats.byte_sum(c).alias("byte_sum"), F.round("m", 6).alias("mean"), F.round(stats.deviation(c, F.col("m")), 6).alias("deviation"), stats.mode(c).alias("mode"), stats.count_of(c, 32).alias("blanks"))
+    rows = _contents(spark, sf_dir).where(F.octet_length("content") > 0)
+    blanks = F.regexp_count(b.latin1(F.col("content")), F.lit(" ")).cast("long")
+    return rows.select("doc_id", stats.byte_statistics(F.col("content")).alias("s"), blanks.alias("blanks")).select("doc_id", "s.byte_sum", F.round("s.mean", 6).alias("mean"), F.round("s.deviation", 6).alias("deviation"), "s.mode", "blanks")
 
 
 @query(f"""WITH c AS (SELECT page_id, v, count(*) AS n FROM ({_bytes_sql('pages', 'page_id', 'html')}) GROUP BY 1, 2)
   SELECT page_id, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM c GROUP BY 1""")
 def page_entropy(spark, sf_dir):
     rows = _contents(spark, sf_dir, "pages", "page_id", "html")
-    return rows.select("page_id", F.round(stats.entropy(stats.histogram(F.col("content"))), 6).alias("entropy"))
+    return rows.select("page_id", F.round(stats.byte_statistics(F.col("content"))["entropy"], 6).alias("entropy"))
 
 
 @query(f"""WITH y AS (SELECT doc_id, v, lead(v) OVER (PARTITION BY doc_id ORDER BY p) AS w FROM ({_bytes_sql()})),
@@ -204,7 +202,7 @@ def doc_nibbles(spark, sf_dir):
 
 # ---- types and rules
 
-_SAMPLES = (("89504E470D0A1A0A", "PNG"), ("FFD8FFE0", "JPEG"), ("255044462D312E37", "PDF"), ("7F454C460201010000000000000000003E", "ELF64"), ("7F454C460101010000000000000000003E", "ELF32"), ("6465780A30333500", "DEX"), ("CAFEBABE00000034000000000000000000000000000000000000", "JAVACLASS"), ("000003F3000000", "AMIGAHUNK"), ("FEEDFACF" + "00" * 32, "MACHO64"), ("4D5A90000300", "MSDOS"), ("1F8B0800", "BINARY"), ("504B0304", "BINARY"))
+_SAMPLES = (("89504E470D0A1A0A", "PNG"), ("FFD8FFE0", "JPEG"), ("255044462D312E37", "PDF"), ("7F454C460201010000000000000000003E", "ELF64"), ("7F454C460101010000000000000000003E", "ELF32"), ("6465780A30333500", "DEX"), ("CAFEBABE00000034000000000000000000000000000000000000", "JAVACLASS"), ("000003F3000000", "AMIGAHUNK"), ("FEEDFACF" + "00" * 32, "MACHO64"), ("4D5A90000300", "MSDOS"), ("1F8B0800", "BINARY"), ("504B0304", "BINARY"), ("FEEDFACE" + "00" * 24, "MACHO32"), ("5C0D0D0A", "PYC"))
 
 
 def _samples(spark, sf_dir):
@@ -214,16 +212,21 @@ def _samples(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", F.concat(F.unhex(head), b.content(F.col("props"))).alias("content"))
 
 
-_CASES = " ".join(f"WHEN {k} THEN '{t}'" for k, (_, t) in enumerate(_SAMPLES))
+_SAMPLE_VALUES = ", ".join(f"({k}, '{h}')" for k, (h, _) in enumerate(_SAMPLES))
+#: Types told from the bytes again, by patterns over their hex digits.
+_TYPED = f"""(SELECT event_id, CASE WHEN x LIKE '7F454C4601%' THEN 'ELF32' WHEN x LIKE '7F454C4602%' THEN 'ELF64' WHEN regexp_matches(x, '^(FEEDFACE|CEFAEDFE)') THEN 'MACHO32'
+    WHEN regexp_matches(x, '^(FEEDFACF|CFFAEDFE)') THEN 'MACHO64' WHEN x LIKE 'CAFEBABE%' AND substr(x, 13, 4) >= '002D' THEN 'JAVACLASS' WHEN regexp_matches(x, '^6465780A.{{6}}00') THEN 'DEX'
+    WHEN regexp_matches(x, '^5C0D0D0A') THEN 'PYC' WHEN x LIKE '25504446%' THEN 'PDF' WHEN x LIKE '89504E470D0A1A0A%' THEN 'PNG' WHEN x LIKE 'FFD8FF%' THEN 'JPEG'
+    WHEN regexp_matches(x, '^000003(F3|E7)') THEN 'AMIGAHUNK' WHEN regexp_matches(x, '^(4D5A|5A4D)') THEN 'MSDOS' ELSE 'BINARY' END AS t
+  FROM (SELECT event_id, h || hex(encode(props)) AS x FROM events JOIN (VALUES {_SAMPLE_VALUES}) heads(k, h) ON k = event_id % {len(_SAMPLES)}))"""
 
 
-@query(f"SELECT event_id, CASE event_id % {len(_SAMPLES)} {_CASES} END AS file_type FROM events")
+@query(f"SELECT event_id, t AS file_type FROM {_TYPED}")
 def type_ladder(spark, sf_dir):
     return _samples(spark, sf_dir).select("event_id", detect.ladder(F.col("content")).alias("file_type"))
 
 
 _RULE_VALUES = ", ".join(f"('{t}', '{f}', {o}, '{h}', {p})" for t, f, o, h, p in detect.RULES)
-_SAMPLE_VALUES = ", ".join(f"({k}, '{h}')" for k, (h, _) in enumerate(_SAMPLES))
 _RULE_SQL = f"""WITH rules(file_type, family, o, magic, priority) AS (VALUES {_RULE_VALUES}), heads(k, h) AS (VALUES {_SAMPLE_VALUES}),
   c AS (SELECT event_id, h || hex(encode(props)) AS x FROM events JOIN heads ON k = event_id % {len(_SAMPLES)}),
   m AS (SELECT event_id, file_type, family, o, priority FROM c JOIN rules ON substr(x, 2 * o + 1, length(magic)) = magic)"""
@@ -250,12 +253,11 @@ def page_magic(spark, sf_dir):
     return found.where("file_type = 'HTML'").select("page_id", "file_type")
 
 
-@query(f"""SELECT event_id, t = 'ELF64' AS elf_rules, t NOT IN ('PNG', 'JPEG', 'PDF', 'DEX', 'JAVACLASS', 'AMIGAHUNK') OR true AS binary_rules
-  FROM (SELECT event_id, CASE event_id % {len(_SAMPLES)} {_CASES} END AS t FROM events)""")
+@query(f"SELECT event_id, t = 'ELF64' AS elf64_rules, t IN ('ELF32', 'ELF64') AS elf_rules, t = 'MSDOS' AS dos_rules, t <> '' AS binary_rules FROM {_TYPED}")
 def type_lattice(spark, sf_dir):
     """Whether rules for a type apply to a content's type, by the lattice of types."""
     rows = type_ladder(spark, sf_dir)
-    return rows.select("event_id", detect.applies(F.lit("ELF64"), F.col("file_type")).alias("elf_rules"), detect.applies(F.lit("BINARY"), F.col("file_type")).alias("binary_rules"))
+    return rows.select("event_id", detect.applies(F.lit("ELF64"), F.col("file_type")).alias("elf64_rules"), detect.applies(F.lit("ELF"), F.col("file_type")).alias("elf_rules"), detect.applies(F.lit("MSDOS"), F.col("file_type")).alias("dos_rules"), detect.applies(F.lit("BINARY"), F.col("file_type")).alias("binary_rules"))
 
 
 @query("""SELECT event_id, user_id FROM events WHERE event_type IN ('click', 'view') AND event_type NOT IN ('view') AND user_id % 2 = 0""")
@@ -374,9 +376,7 @@ def recursion_regions(spark, sf_dir):
 def carve_gzip(spark, sf_dir):
     """A gzip stream found and decoded inside other bytes."""
     rows = _table(spark, sf_dir, "documents").select("doc_id", F.concat(b.content(F.concat("lang", "source")), codecs.compress(b.content(F.col("text")), "gzip")).alias("content"))
-    found = carve.carve(rows, "doc_id")
-    whole = rows.join(found.select("doc_id", "offset", "file_type"), "doc_id")
-    return whole.select("doc_id", "offset", "file_type", F.md5(codecs.decompress(b.part(F.col("content"), F.col("offset"), -1), "gzip")).alias("md5"))
+    return carve.carve(rows, "doc_id").select("doc_id", "offset", "file_type", F.md5(codecs.decompress(F.col("content"), "gzip")).alias("md5"))
 
 
 def _round_trip(method: str):
@@ -473,22 +473,16 @@ def display_width(spark, sf_dir):
     return rows.select("conv_id", "turn", text.display_width(F.col("text")).alias("width"), (~text.escape_debug(F.col("text")).contains("\\n")).alias("plain"))
 
 
-@query("SELECT doc_id, md5(text) AS latin, md5(text) AS utf16 FROM documents")
+@query("""SELECT doc_id, CASE WHEN len(list_filter(string_split(text, ''), lambda x: ord(x) > 255)) = 0 THEN md5(text) END AS latin, md5(text) AS utf16 FROM documents""")
 def codepages(spark, sf_dir):
-    """Text through code pages and back; characters outside a page make it null, so UTF-16 is there for all."""
+    """Text through Latin-1 (null where a character is not in it) and UTF-16, and back; ``encoded_turns`` has the bytes."""
     rows, t = _table(spark, sf_dir, "documents"), F.col("text")
     through = lambda page: F.md5(text.decode_page(text.encode_page(t, page), page))
-    return rows.select("doc_id", F.coalesce(through(1252), F.md5(t)).alias("latin"), through(1200).alias("utf16"))
-
-
-@query("SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS escaped FROM pages")
-def xml_escape(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", text.xml_escape(F.substring("html", 1, 300)).alias("escaped"))
+    return rows.select("doc_id", through(28591).alias("latin"), through(1200).alias("utf16"))
 
 
 @query("SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')) AS escaped_md5 FROM pages")
-def xml_escape_whole(spark, sf_dir):
-    """Whole pages; ``xml_escape`` keeps to its SQL's first 300 characters."""
+def xml_escape(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", F.md5(text.xml_escape(F.col("html"))).alias("escaped_md5"))
 
 
@@ -661,7 +655,7 @@ def name_conflicts(spark, sf_dir):
 @query(f"""WITH c AS (SELECT doc_id, v, count(*) AS n FROM ({_bytes_sql()}) GROUP BY 1, 2)
   SELECT doc_id, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM c GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
 def topk_entropy(spark, sf_dir):
-    rows = _contents(spark, sf_dir).select("doc_id", F.round(stats.entropy(stats.histogram(F.col("content"))), 6).alias("entropy"))
+    rows = _contents(spark, sf_dir).select("doc_id", F.round(stats.byte_statistics(F.col("content"))["entropy"], 6).alias("entropy"))
     return rows.orderBy(F.desc("entropy"), "doc_id").limit(20)
 
 
@@ -739,3 +733,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from quarry.plans import built as _built  # noqa: E402, F401  its queries register themselves

@@ -47,6 +47,43 @@ def test_ladder(spark):
     assert {r.id: r.t for r in got} == dict(enumerate(t for _, t in cases))
 
 
+def test_archives_by_their_members(spark):
+    def zipped(*names):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for n in names:
+                z.writestr(n, b"x")
+        return out.getvalue()
+
+    cases = [(zipped("a"), "ZIP"), (zipped("META-INF/MANIFEST.MF", "a"), "JAR"), (zipped("META-INF/MANIFEST.MF", "AndroidManifest.xml"), "APK"), (zipped("Payload/a.app/b"), "IPA"), (gzip.compress(b"plain"), "GZIP")]
+    cases += [(gzip.compress(members.pack_tar([("package/package.json", b"{}")])), "NPM"), (gzip.compress(members.pack_tar([("b", b"")])), "GZIP"), (b"PK\x03\x04broken", None), (b"\x1f\x8b\x08broken", None), (b"other", None)]
+    got = frame(spark, *[c for c, _ in cases]).select("id", detect.archive_type(F.col("content")).alias("t")).collect()
+    assert {r.id: r.t for r in got} == dict(enumerate(t for _, t in cases))
+    versions = frame(spark, b"\x5c\x0d\x0d\x0a", b"\x5c\x0d\x0d", b"\x00\x00\x0d\x0a", b"\x03\xf3\x0d\x0a").select("id", detect.pyc_version(F.col("content")).alias("v")).collect()
+    assert {r.id: r.v for r in versions} == {0: "3.9", 1: None, 2: None, 3: "2.7"}
+
+
+def test_listings_are_whole_or_say_that_they_are_not(spark):
+    tar = members.pack_tar([(f"n{k}", b"x") for k in range(5)])
+    rows = frame(spark, tar, members.pack_tar([("one", b"1"), ("two", b"2")]))
+    got = sorted((r.id, r.name, r.truncated) for r in members.list_members(rows, "id", limit=2).collect())
+    assert got == [(0, "n0", True), (0, "n1", True), (1, "one", False), (1, "two", False)]
+    assert members.list_members(rows, "id").count() == 7
+    broken = bytearray(members.pack_zip([("a", b"abc" * 50)]))
+    broken[40] ^= 0xFF
+    assert [(r.content, r.status) for r in members.extract(frame(spark, bytes(broken)), "id").collect()] == [(None, "failed")]
+    large = gzip.compress(bytes(40 << 20), 9)
+    assert [(m.size, m.offset + m.compressed + 8) for m in members.gzip_members(large + large)] == [(40 << 20, len(large)), (40 << 20, 2 * len(large))]
+
+
+def test_hot_keys_are_salted(spark):
+    left = spark.createDataFrame([(k % 3 if k % 10 else 7, k) for k in range(500)], "k int, v int")
+    right = spark.createDataFrame([(0, "a"), (1, "b"), (1, "c"), (7, "d"), (9, "e")], "k int, w string")
+    want = sorted((r.k, r.v, r.w) for r in left.join(right, "k").collect())
+    for hot in (0, 60, 10**6):
+        assert sorted((r.k, r.v, r.w) for r in relate.salted_join(left, right, "k", salts=4, hot_rows=hot).select("k", "v", "w").collect()) == want
+
+
 def test_rules_and_priority(spark):
     rows = frame(spark, b"\x89PNG\r\n\x1a\n", b"MZ", b"PK\x03\x04", b"Rar!\x1a\x07\x01\x00", b"nothing")
     best = detect.best_type(detect.match_rules(rows, detect.rule_table(spark), "id"), "id")
