@@ -2,9 +2,10 @@
 
 Vectors are scaled to length 1, where cosine >= c means a distance of at most
 t = sqrt(2 - 2c).  A cover tree has nested levels with halving radii: every
-point of a level stays a point of the next, and points of a level are further
-apart than its radius while every point below a node lies within the node's own
-covering radius.  Two trees are traversed together from the top: a pair of nodes
+point of a level stays a point of the next, all points of a level are further
+apart than its radius (the last level holds every vector), and a point hangs
+under the nearest point of the level above, which is within that level's radius;
+every point below a node lies within the node's own covering radius.  Two trees are traversed together from the top: a pair of nodes
 whose centres are further apart than t plus both covering radii is dropped with
 all that is below it, a pair that is surely within t is counted as a whole, and
 the others are opened.  At the bottom the cosine itself, in double precision,
@@ -21,10 +22,14 @@ vectors are all about equally far apart, so few block pairs can be dropped: the
 work grows with the square of the number of different vectors, as any exact
 method's does there, and the trees save what is below their nodes.)
 
+What the driver holds, and how often a tree is sent, grows with the pairs of
+blocks that may link, at worst the square of their number: see the README.
+
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing; vectors of different lengths don't link.  Rows
-that share a vec_id are separate vectors, alike if they are equal.  A row
-without vec_id takes no part; its component is null.
+that share a vec_id, and repeated rows, are separate vectors, alike if they are
+equal.  A row without vec_id links like any other; a component without any
+vec_id is null.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -70,74 +75,68 @@ class CoverTree:
     def __init__(self, x: np.ndarray):
         self.x = x
         n = len(x)
-        at = np.zeros(n, np.int64)  # the node of the last level that covers each row
-        points = np.zeros(1, np.int64)
-        away = distances(x[:1], x)[0]
-        raw = [(points, np.zeros(1, np.int64), at.copy(), away)]
+        points, near, away = np.zeros(1, np.int64), np.zeros(n, np.int64), distances(x[:1], x)[0]
+        nets = [(points, near)]  # each net holds the one before it, and every row's nearest point of it
         radius = 1.0
         while away.max(initial=0.0) > LEAF_RADIUS and len(points) < n:
-            points, parent, at, away = self._next(points, at, away, radius)
-            raw.append((points, parent, at.copy(), away))
+            points, near, away = self._next(points, near.copy(), away, radius)
+            nets.append((points, near))
             radius /= 2
         if len(points) < n:  # the last level holds every row
-            raw.append((np.r_[points, np.setdiff1d(np.arange(n), points)],) + self._leaves(points, at, n))
-        self.order = np.lexsort([r[2] for r in reversed(raw)])
-        self.levels = []
-        for points, parent, at, away in raw:
+            nets.append((np.r_[points, np.setdiff1d(np.arange(n), points)], near))
+        # A point hangs under the nearest point of the level above it (itself, if it is there already).
+        parents = [np.zeros(1, np.int64)]
+        for (old, close), (new, _) in zip(nets, nets[1:], strict=False):
+            parents.append(np.r_[np.arange(len(old)), close[new[len(old) :]]])
+        at = np.empty(n, np.int64)
+        at[nets[-1][0]] = np.arange(len(nets[-1][0]))
+        if len(nets[-1][0]) < n:
+            at = nets[-1][1]
+        nodes = [at]
+        for parent in reversed(parents[1:]):
+            nodes.append(parent[nodes[-1]])
+        nodes.reverse()
+        self.order = np.lexsort(nodes[::-1])
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n)
+        self.levels, self.children = [], []
+        for (points, _), parent, at in zip(nets, parents, nodes, strict=True):
+            away = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", x, x[points[at]]), 0))
+            away[points] = 0.0
             cover = np.zeros(len(points))
             np.maximum.at(cover, at, away)
-            sizes = np.bincount(at, minlength=len(points))
-            place = np.empty(n, np.int64)
-            place[self.order] = np.arange(n)
             first = np.full(len(points), n)
             np.minimum.at(first, at, place)
-            self.levels.append((points, parent, cover, first, first + sizes))
-        self.children = []
+            self.levels.append((points, parent, cover, first, first + np.bincount(at, minlength=len(points))))
         for (points, *_), (_, parent, *_) in zip(self.levels, self.levels[1:], strict=False):
             order = np.argsort(parent, kind="stable")
             self.children.append((order, np.searchsorted(parent[order], np.arange(len(points) + 1))))
 
-    @staticmethod
-    def _leaves(points: np.ndarray, at: np.ndarray, n: int):
-        rest = np.setdiff1d(np.arange(n), points)
-        own = np.empty(n, np.int64)
-        own[points] = np.arange(len(points))
-        own[rest] = len(points) + np.arange(len(rest))
-        return np.r_[at[points], at[rest]], own, np.zeros(n)
-
-    def _next(self, points: np.ndarray, at: np.ndarray, away: np.ndarray, radius: float):
-        """The next level: under each node, a greedy net of ``radius`` that begins with the node's point."""
-        new, parent = [points], [np.arange(len(points))]
-        node, dist = at.copy(), away.copy()
+    def _next(self, points: np.ndarray, near: np.ndarray, away: np.ndarray, radius: float):
+        """``points`` with a greedy net of ``radius`` added: no two of a level are within it, and every row is within it of one."""
+        away, found = away.copy(), [points]
         count = len(points)
-        loose = np.flatnonzero(dist > radius)
-        order = loose[np.argsort(at[loose], kind="stable")]
-        cut = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]]) if len(order) else np.zeros(0, np.int64)
-        for rows in np.split(order, cut[1:]) if len(order) else []:
-            over, found = at[rows[0]], []
-            while len(rows):
-                # Some candidates at once: the first that no earlier one covers are new points.
-                lot = rows[:256]
-                near = distances(self.x[lot], self.x[lot]) <= radius
-                take, covered = [], np.zeros(len(lot), bool)
-                for k in range(len(lot)):
-                    if not covered[k]:
-                        take.append(k)
-                        covered |= near[k]
-                chosen = lot[take]
-                d = distances(self.x[rows], self.x[chosen])
-                best = d.argmin(1)
-                close = d[np.arange(len(rows)), best]
-                hit = close <= radius
-                node[rows[hit]], dist[rows[hit]] = count + best[hit], close[hit]
-                node[chosen], dist[chosen] = count + np.arange(len(chosen)), 0.0
-                hit[np.isin(rows, chosen)] = True
-                found.append(chosen)
-                count += len(chosen)
-                rows = rows[~hit]
-            new += found
-            parent.append(np.full(sum(map(len, found)), over))
-        return np.concatenate(new), np.concatenate(parent), node, dist
+        loose = np.flatnonzero(away > radius)
+        while len(loose):
+            # Some candidates at once: the first that no earlier one covers are new points.
+            lot = loose[:256]
+            close = distances(self.x[lot], self.x[lot]) <= radius
+            take, covered = [], np.zeros(len(lot), bool)
+            for k in range(len(lot)):
+                if not covered[k]:
+                    take.append(k)
+                    covered |= close[k]
+            chosen = lot[take]
+            d = distances(self.x, self.x[chosen])
+            best = d.argmin(1)
+            d = d[np.arange(len(d)), best]
+            closer = d < away
+            near[closer], away[closer] = count + best[closer], d[closer]
+            near[chosen], away[chosen] = count + np.arange(len(chosen)), 0.0
+            found.append(chosen)
+            count += len(chosen)
+            loose = loose[away[loose] > radius]
+        return np.concatenate(found), near, away
 
 
 class Links:
@@ -318,12 +317,12 @@ def _classes(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame,
     """Rows ``(vec_id, h1, h2)`` and classes ``(rep, n, h1, h2, v, dim)`` of equal vectors that can link."""
     v = F.col(vec_col)
     infinite = F.lit(float("inf"))
-    fit = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < infinite)) & F.exists(v, lambda x: x != 0)
+    fit = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < infinite)) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.coalesce(fit, F.lit(False)), v).alias("v"))
-    rows = materialize(rows.select("vec_id", "v", F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("h1"), F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(5), "v")).alias("h2")), "vectors")
-    # The vector follows its class's id through a join: only ids and hashes are grouped.
-    groups = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    met = groups.join(rows.select(F.col("vec_id").alias("rep"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), "v"), ["rep"]).where("h1 = g1 and h2 = g2").dropDuplicates(["rep", "h1", "h2"])
+    rows = materialize(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v", F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("h1"), F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(5), "v")).alias("h2")), "vectors")
+    # The vector follows its class's first row through a join: only ids and hashes are grouped.
+    groups = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.min("row").alias("row"), F.count("*").alias("n"))
+    met = groups.join(rows.select("row", "v"), "row")
     classes = met.select(F.monotonically_increasing_id().alias("cid"), "rep", "n", "h1", "h2", "v", F.size("v").alias("dim"))
     return rows.select("vec_id", "h1", "h2"), materialize(classes, "classes")
 
@@ -335,7 +334,7 @@ def vector_links(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     t = float(np.sqrt(2 - 2 * threshold))
 
     # Pivots: spread-out rows of a bounded sample of each length of vectors.
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").select("dim", "v").limit(SAMPLE).toArrow()
+    sample = classes.orderBy(F.xxhash64("h1"), "h1", "h2").select("dim", "v").limit(SAMPLE).toArrow()
     pivots: dict[int, np.ndarray] = {}
     dims = np.array(sample["dim"].to_pylist(), np.int64)
     for dim in np.unique(dims).tolist():
@@ -384,7 +383,7 @@ def vector_links(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
         meets = partners[table["dim"][0].as_py(), table["cell"][0].as_py()]
         return pa.table({"block": pa.array([block], pa.int64()), "tree": pa.array([raw], pa.large_binary()).cast(pa.binary()), "meets": pa.array([meets], pa.list_(pa.int64()))})
 
-    spots = dealt.select("cid", "n", "v", "dim", "cell", F.abs(F.xxhash64("rep", F.lit(3)) % 1000003).alias("luck")).mapInArrow(number, f"cid long, n long, v {kind}, dim int, cell long, block long")
+    spots = dealt.select("cid", "n", "v", "dim", "cell", F.abs(F.xxhash64("v", F.lit(3)) % 1000003).alias("luck")).mapInArrow(number, f"cid long, n long, v {kind}, dim int, cell long, block long")
     trees = materialize(spots.groupBy("block").applyInArrow(grow, "block long, tree binary, meets array<long>"), "trees")
 
     def meet(table: pa.Table) -> pa.Table:
@@ -417,5 +416,5 @@ def vector_links(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     labels = parts.join(least, "component").select(F.col("node").alias("cid"), "component_id")
     named = materialize(classes.select("cid", "rep", "h1", "h2").join(counts, "cid", "left").join(labels, "cid", "left").select("h1", "h2", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")), "named")
     out = rows.join(named, ["h1", "h2"], "left")
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
+    component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

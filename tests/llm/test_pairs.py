@@ -118,7 +118,12 @@ def test_cover_tree_levels_halve_and_cover():
         for p, c, a, b in zip(points, cover, first, last, strict=True):
             assert p in tree.order[a:b] and covertree.distances(x[p : p + 1], x[tree.order[a:b]]).max() <= c + covertree.SLACK
         if 0 < k < len(tree.levels) - 1:
-            assert cover.max() <= 2.0 ** (1 - k) + covertree.SLACK
+            assert cover.max() <= 2.0 ** (2 - k) + covertree.SLACK
+            apart = covertree.distances(x[points], x[points])
+            assert apart[~np.eye(len(points), dtype=bool)].min() > 2.0 ** (1 - k) - covertree.SLACK
+    for (above, *_), (points, parent, *_) in zip(tree.levels, tree.levels[1:], strict=False):
+        assert (points[: len(above)] == above).all() and (parent[: len(above)] == np.arange(len(above))).all()
+    assert sorted(tree.levels[-1][0].tolist()) == list(range(400))
 
 
 def test_vector_links(spark):
@@ -127,13 +132,13 @@ def test_vector_links(spark):
     rows = [(k, (base[k % 12] + (0.05 * rng.normal(size=5) if k >= 12 else 0)).tolist(), 0) for k in range(60)]
     rows += [(60, rows[0][1], 1), (61, None, 1), (62, [0.0] * 5, 1), (63, [1.0, float("nan"), 0.0, 0.0, 0.0], 1), (64, [1.0, None, 0.0, 0.0, 0.0], 1), (65, [], 1), (66, rows[1][1][:4], 1), (None, rows[0][1], 1), (67, [float("inf"), 0.0, 0.0, 0.0, 0.0], 1), (68, rows[2][1], 2), (68, rows[2][1], 2)]
     got = covertree.vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
-    good = [(i, np.array(v, np.float32)) for i, v, _ in rows if i is not None and v and len(v) == 5 and None not in v and np.isfinite(v).all() and any(v)]
+    good = [(i, np.array(v, np.float32)) for i, v, _ in rows if v and len(v) == 5 and None not in v and np.isfinite(v).all() and any(v)]
     x = covertree.unit(np.stack([v for _, v in good]))
     near = x @ x.T >= 0.95
     label = plain_components(len(good), np.argwhere(near).tolist())
-    least = {c: min(good[k][0] for k in range(len(good)) if label[k] == c) for c in label}
+    least = {c: min(good[k][0] for k in range(len(good)) if label[k] == c and good[k][0] is not None) for c in label}
     want = [(good[k][0], int(near[k].sum()) - 1, least[label[k]], good[k][0] == least[label[k]]) for k in range(len(good))]
-    want += [(k, 0, k, True) for k in (61, 62, 63, 64, 65, 66, 67)] + [(None, 0, None, False)]
+    want += [(k, 0, k, True) for k in (61, 62, 63, 64, 65, 66, 67)]
     assert sorted(map(repr, got)) == sorted(f"Row(vec_id={w[0]}, n_links={w[1]}, component_id={w[2]}, kept={w[3]})" for w in want)
 
 
