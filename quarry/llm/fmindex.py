@@ -10,12 +10,15 @@ are merged into word spans for each document.
 
 Documents never leave their task: there is no shuffle, and memory is bounded by
 a shard (or one longer document) and a block of phrases.  The phrase set is a
-stated query set; it is shipped in blocks of at most ``block_bytes`` of text
-and each block is searched in turn, so its size is bounded however large it is.
-
-Defined cases: a null or empty text has no words; benchmark rows without id or
-without words are skipped; rows that share an item_id are one item; repeated
-document rows each get their own result.
+stated query set, shipped in blocks of at most ``block_bytes`` of text (or one
+longer item).  If there are several, each is searched by a job of its own, so
+neither the driver nor a task ever holds two.
+
+Defined cases: a null or empty text has no words; very long texts are read
+whole; benchmark rows without id or without words are skipped, and with an empty
+benchmark nothing is found; rows that share an item_id are one item; repeated
+document rows each get their own result; an empty table gives an empty result;
+other columns are kept.
 """
 
 from __future__ import annotations
@@ -28,14 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import numbered
+from .shared import free_name, materialize, numbered, quoted
 from .textspans import ALNUM, Words, slices, text_bytes, xxh64
 
 WINDOW = 8
 SAMPLE = 4
-SHARD_BYTES = 2 << 20
-BLOCK_BYTES = 8 << 20
-FOUND = "array<struct<start:int,end:int>>"
+SHARD_BYTES = 1 << 20
+BLOCK_BYTES = 2 << 20
 
 
 class WaveletMatrix:
@@ -184,7 +186,7 @@ class Phrases:
         for r in np.flatnonzero(count):
             size = min(window, int(count[r]))
             starts = begin[r] + np.arange(count[r] - size + 1)
-            by_length.setdefault(size, []).append((symbol[starts[:, None] + np.arange(size)] + 1, np.full(len(starts), of_row[r])))
+            by_length.setdefault(size, []).append(((symbol[starts[:, None] + np.arange(size)] + 1).astype(np.int32), np.full(len(starts), of_row[r])))
         self.lengths = {}
         for size, parts in sorted(by_length.items()):
             rows, which = np.unique(np.concatenate([p for p, _ in parts]), axis=0, return_inverse=True)
@@ -254,9 +256,21 @@ def merge_spans(spans: np.ndarray) -> np.ndarray:
     return np.column_stack([spans[first, 0], spans[first, 1], np.maximum.reduceat(spans[:, 2], first)])
 
 
-def _pass(docs: DataFrame, text_col: str, name: str, phrases: Phrases, merge: bool) -> DataFrame:
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+_FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", _SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
+
+
+def _column(count: np.ndarray, spans: np.ndarray, items: list[list[str]]) -> pa.StructArray:
+    """The result column of some rows; ``spans`` are merged (row, start, end)."""
+    cut = np.searchsorted(spans[:, 0], np.arange(len(count) + 1))
+    pairs = pa.StructArray.from_arrays([pa.array(spans[:, k].astype(np.int32)) for k in (1, 2)], ["start", "end"])
+    return pa.StructArray.from_arrays([pa.array(count.astype(np.int64)), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pairs), pa.array(items, pa.list_(pa.string()))], ["n_words", "spans", "items"])
+
+
+def _pass(docs: DataFrame, text_col: str, name: str, phrases: Phrases) -> DataFrame:
+    """``docs`` with what one block of phrases finds."""
     plain = numbered(docs)
-    fields = [*plain.schema.fields] if merge else [*plain.schema.fields, T.StructField(name, T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("items", T.ArrayType(T.StringType()))]))]
+    schema = T.StructType([*plain.schema.fields, T.StructField(name, _FOUND)])
     at = docs.columns.index(text_col)
     names = np.array(phrases.names, dtype=object)
 
@@ -264,41 +278,56 @@ def _pass(docs: DataFrame, text_col: str, name: str, phrases: Phrases, merge: bo
         for batch in batches:
             data, offsets = text_bytes(batch.column(at))
             for a, b in slices(offsets, SHARD_BYTES):
-                part = batch.slice(a, b - a)
                 count, spans, owners = search_shard(data, offsets[a : b + 1], phrases)
-                if merge:
-                    old = part.column(part.num_columns - 1)
-                    seen = old.field("spans").combine_chunks() if isinstance(old, pa.ChunkedArray) else old.field("spans")
-                    flat, size = seen.flatten(), np.diff(seen.offsets.to_numpy())
-                    rows = np.repeat(np.arange(b - a), size)
-                    spans = np.concatenate([spans, np.column_stack([rows, flat.field("start").to_numpy(), flat.field("end").to_numpy()]).reshape(-1, 3)])
-                spans = merge_spans(spans)
                 item = [[] for _ in range(b - a)]
                 for r, i in owners:
                     item[r].append(names[i])
-                if merge:
-                    item = [sorted({*x, *y}) for x, y in zip(item, old.field("items").to_pylist(), strict=True)]
-                cut = np.searchsorted(spans[:, 0], np.arange(b - a + 1))
-                pairs = pa.StructArray.from_arrays([pa.array(spans[:, k].astype(np.int32)) for k in (1, 2)], ["start", "end"])
-                found = pa.StructArray.from_arrays([pa.array(count.astype(np.int64)), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pairs), pa.array(item, pa.list_(pa.string()))], ["n_words", "spans", "items"])
-                kept = part.columns[:-1] if merge else part.columns
-                yield pa.RecordBatch.from_arrays([*kept, found], [f.name for f in fields])
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, _column(count, merge_spans(spans), item)], schema.names)
+
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, name)
 
-    return plain.mapInArrow(run, T.StructType(fields)).toDF(*docs.columns, *([] if merge else [name]))
+
+def _united(found: DataFrame) -> DataFrame:
+    """``(row, found)`` of ``(row, n_words, spans, items)``: the blocks' findings in one row for each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column(2)
+            flat, row = spans.flatten(), np.repeat(np.arange(batch.num_rows), np.diff(spans.offsets.to_numpy()))
+            merged = merge_spans(np.column_stack([row, flat.field("start").to_numpy(), flat.field("end").to_numpy()]).reshape(-1, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _column(batch.column(1).to_numpy(), merged, [sorted(x) for x in batch.column(3).to_pylist()])], ["row", "found"])
+
+    grouped = found.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return grouped.mapInArrow(run, T.StructType([T.StructField("row", T.LongType()), T.StructField("found", _FOUND)]))
 
 
 def find_phrases(docs: DataFrame, benchmark: DataFrame, name: str, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with a struct column ``name``: n_words, merged spans (word ranges), items found."""
+    """``docs`` with a struct column ``name``: n_words, merged spans (word ranges), items found.
+
+    With several blocks of phrases, the texts are written once with a number for each row, every block is searched by a
+    job of its own that writes what it finds, and these findings meet their rows at the end.
+    """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col("text")).where("item is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item") + 16)).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
-    out, merge = docs, False
-    for k in range(blocks):
+
+    def phrases(k: int) -> Phrases:
         rows = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
-        block = [(r["item"], r["text"]) for r in rows.collect()]  # at most about block_bytes
-        if block or k == 0:
-            out, merge = _pass(out, text_col, name, Phrases(block or [("", "")], window), merge), True
-    return out
+        return Phrases([(r["item"], r["text"]) for r in rows.collect()] or [("", "")], window)  # at most about block_bytes
+
+    if blocks == 1:
+        return _pass(docs, text_col, name, phrases(0))
+    own, other = free_name(docs, "own_row"), free_name(docs, "found_row")
+    rows = materialize(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    texts, found = rows.select(F.col(own).alias("row"), F.col(quoted(text_col)).alias("text")), None
+    for k in range(blocks):
+        part = _pass(texts, "text", "found", phrases(k))
+        part = part.where(F.size("found.items") > 0) if k else part  # the first block gives every row its number of words
+        part = materialize(part.select("row", "found.n_words", "found.spans", "found.items"), "found")
+        found = part if found is None else found.unionByName(part)
+    united = _united(found).select(F.col("row").alias(other), F.col("found").alias(name))
+    return rows.hint("merge").join(united, F.col(own) == F.col(other)).select(*[F.col(quoted(c)) for c in docs.columns], F.col(quoted(name)))
 
 
 def n_hit(name: str) -> Column:
