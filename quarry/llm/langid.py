@@ -2,7 +2,7 @@
 
 The model is trained by stochastic gradient descent in numpy on a bounded
 sample of labelled rows (``PER_LABEL`` rows of each language, ``BYTE_BUDGET``
-bytes), then its temperature and its score threshold are calibrated on a
+bytes, of which no language falls below ``LEAST_ROWS`` rows that it has), then its temperature and its score threshold are calibrated on a
 fifth of the sample that was not trained on.  As averaging and softmax input
 are linear, embeddings and weights are folded into one table of logits by
 bucket, which is all that the executors get (buckets x languages, 4 bytes
@@ -19,7 +19,9 @@ With one language nothing can be held out, and no text is rejected for its fit.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0;
 with no labelled row at all every text is ``und``.  Rows without doc_id are
-never learnt from, and are scored like any other.
+never learnt from, and are scored like any other.  Very long texts are read
+whole, repeated rows get equal results, of languages that score alike the first
+by name is given, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .textspans import LOWER, PAD
 
+#: Rows of a label that a byte budget leaves alone.
+LEAST_ROWS = 50
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 #: Bytes that words are made of: ASCII letters and all bytes from 0x80.
@@ -77,20 +79,28 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def sample_rates(stats: dict[str, tuple[int, int]], per_label: int, byte_budget: int) -> dict[str, float]:
+    """The share of each label's rows that is taken, given their number and bytes."""
+    rows = {k: min(n, per_label) for k, (n, _) in stats.items()}
+    least = {k: min(r, LEAST_ROWS) for k, r in rows.items()}
+    each = {k: b / n for k, (n, b) in stats.items()}
+    more = sum((rows[k] - least[k]) * each[k] for k in stats)
+    share = min(1.0, max(0.0, byte_budget - sum(least[k] * each[k] for k in stats)) / max(more, 1.0))
+    return {k: (least[k] + share * (rows[k] - least[k])) / stats[k][0] for k in stats}
+
+
 def labelled_sample(rows: DataFrame, label: str, per_label: int, byte_budget: int) -> pa.Table:
     """A sample of ``rows(doc_id, text, <label>)`` that does not depend on their order.
 
-    About ``per_label`` rows of each label, chosen by a hash of doc_id, and in
-    all about ``byte_budget`` bytes of text at most.
+    About ``per_label`` rows of each label, chosen by a hash of doc_id.  If they are
+    more than ``byte_budget`` bytes of text, labels with more than ``LEAST_ROWS``
+    rows give up rows above that number, all the same share of them.
     """
     rows = rows.select(F.col("doc_id"), F.col("text"), F.col(label).cast("string").alias("label")).where("doc_id is not null and text is not null and label is not null")
     stats = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()
     if not stats:
         return pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "label": pa.array([], pa.string())})
-    wanted = {r["label"]: min(1.0, per_label / r["n"]) for r in stats}
-    size = sum(wanted[r["label"]] * r["b"] for r in stats)
-    shrink = min(1.0, byte_budget / max(size, 1.0))
     scale = 1 << 30
-    pairs = [x for k, v in sorted(wanted.items()) for x in (F.lit(k), F.lit(int(v * shrink * scale)))]
+    pairs = [x for k, v in sorted(sample_rates({r["label"]: (r["n"], r["b"]) for r in stats}, per_label, byte_budget).items()) for x in (F.lit(k), F.lit(int(v * scale)))]
     kept = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < F.create_map(*pairs)[F.col("label")])
     return kept.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])

@@ -5,7 +5,9 @@ go through a linear softmax.  Embeddings and softmax are trained jointly in
 numpy.  Labels are on documents, so training is multiple-instance: in a toxic
 document the ``TOP`` most toxic distinct words stand for it, in a clean one
 every word is an example of the other class, and the choice is repeated as the
-model improves.  A word that was never seen, a misspelling or another ending,
+model improves.  A word that clean documents hold too can be chosen if its share
+among toxic ones is ``PURE`` of both shares, so a mislabelled document or a quote
+does not remove it; its clean occurrences are examples against it.  A word that was never seen, a misspelling or another ending,
 shares n-gram vectors with those that were.
 
 A text's score is a logistic function of its two highest word scores, fitted
@@ -14,11 +16,14 @@ labels' true proportion.  Averaging and softmax input are linear, so the
 executors get one table of logits by bucket (4 bytes each).  Every whole text
 is scored in its own task; nothing is shuffled.
 
+Very long texts are read whole.
+
 Defined cases: null and empty texts, and texts without a word, get the score of
 a text whose words are all clean; if only one label, or none, can be learnt from,
 every score is the share of toxic rows (0 without any).  Labels of documents
 that do not exist, and null labels, are ignored; several labels of one document
-count as several rows.
+count as several rows, and repeated rows are scored alike; of words with equal
+scores the first stands for a text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,6 +51,7 @@ EPOCHS = 6
 TOP = 2
 FLOOR = -12.0
 THRESHOLD = 0.3
+PURE = 0.75
 
 
 @dataclass
@@ -184,8 +190,12 @@ def train(sample: pa.Table, share: float, seed: int = 23) -> ToxModel:
     guess = np.log((seen[1] + 0.5) / (len(toxic) + 1)) - np.log((seen[0] + 0.5) / (len(clean) + 1))
     z = bags.mean(guess)
     in_clean = np.unique(np.concatenate([rows[r] for r in clean])) if len(clean) else np.zeros(0, np.int64)
-    mark = np.zeros(len(grams), bool)
-    mark[in_clean] = True
+    # The share of a word's occurrences (by documents, classes weighing alike) that are in toxic documents.
+    held = np.zeros((2, len(grams)))
+    for r in fit:
+        held[y[r], rows[r]] += 1
+    held /= np.array([[max(1, len(clean))], [max(1, len(toxic))]])
+    mark = held[1] < PURE * (held[0] + held[1])
     table, bias = guess.astype(np.float32), 0.0
     for _ in range(ROUNDS):
         score = np.where(mark, -np.inf, z)
