@@ -13,8 +13,8 @@ the mean log-probability of its n-grams in the language that is predicted, less
 what is usual there, and is damped to nothing in very short texts (``DAMP``).
 Its threshold is calibrated on the sample in folds, against held-out languages:
 each row is fitted by the other folds, and also with its own language left out.
-It lies halfway between what these reach and what right rows do not go below,
-or at the latter where they overlap.
+It lies halfway between what these reach and what the sample's rows do not go
+below (all but ``FALSE_REJECTION`` of them), or at the latter where they overlap.
 With one language nothing can be held out, and no text is rejected for its fit.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0;
@@ -92,8 +92,11 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def _typical(x: list[tuple[np.ndarray, np.ndarray, float]], y: np.ndarray, folds: list[np.ndarray], n: int) -> tuple[np.ndarray, float]:
-    """Log-probabilities of n-grams in each language less the usual one, and the least fit that is not rejected."""
+def _typical(x: list[tuple[np.ndarray, np.ndarray, float]], y: np.ndarray, folds: list[np.ndarray], n: int, best: np.ndarray) -> tuple[np.ndarray, float]:
+    """Log-probabilities of n-grams in each language less the usual one, and the least fit that is not rejected.
+
+    ``best`` is the language that the softmax predicts for each row.
+    """
 
     def count(rows: np.ndarray) -> np.ndarray:
         out = np.zeros((n, 1 << BITS))
@@ -113,8 +116,8 @@ def _typical(x: list[tuple[np.ndarray, np.ndarray, float]], y: np.ndarray, folds
     usual = np.array([np.average(mean[y == k, k], weights=grams[y == k] + 1e-9) for k in range(n)])
     typical = (log_share(every) - usual[:, None]).T.astype(np.float32)
     fits = (mean - usual) * (grams / (grams + DAMP))[:, None]
-    right = np.flatnonzero((fits.argmax(1) == y) & (grams > 0))
-    own = fits[right, y[right]]
+    right = np.flatnonzero(grams > 0)
+    own = fits[right, best[right]]  # of every row, mixed and noisy ones too: it is what rejection will look at
     fits[np.arange(len(y)), y] = -np.inf
     other = fits[right].max(1)[grams[right] > DAMP]
     if n < 2 or not len(other):
@@ -170,7 +173,8 @@ def train(sample: pa.Table, seed: int = 17) -> LangModel:
     k = int(FALSE_REJECTION * (len(sure) + 1))
     uniform = min(float(np.quantile(sure, FALSE_REJECTION)), 1.2 / max(2, len(names))) if len(sure) else 0.0
     threshold = max(uniform, float(sure[k - 1])) if k else uniform
-    typical, floor = _typical(x, y, np.array_split(order, min(5, len(y))), len(names))
+    best = np.concatenate([(dense(rows) @ emb @ w + bias).argmax(1) for rows in np.array_split(np.arange(len(y)), max(1, len(y) // 64))])
+    typical, floor = _typical(x, y, np.array_split(order, min(5, len(y))), len(names), best)
     return LangModel(names, (emb @ w * t).astype(np.float32), bias * t, threshold, typical, floor)
 
 
