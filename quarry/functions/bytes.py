@@ -80,6 +80,38 @@ def u32be(data: Column, offset: Column | int) -> Column:
     return unsigned(data, offset, 4, True)
 
 
+def c_string(data: Column, offset: Column | int, limit: int = 65536) -> Column:
+    """The text up to the next zero byte; null without one within ``limit`` bytes, or for broken UTF-8."""
+    raw = F.substring(data, (F.lit(offset) if isinstance(offset, int) else offset) + 1, F.lit(limit + 1))
+    end = F.position(literal("00"), raw)
+    text = F.substring(raw, F.lit(1), (end - 1).cast("int"))
+    return F.when((end > 0) & F.is_valid_utf8(text.cast("string")), text.cast("string"))
+
+
+def crc_unmasked(masked: Column) -> Column:
+    """The CRC-32C behind its masked form: a constant is taken off, and 15 bits are rotated back."""
+    v = F.pmod(masked.cast("bigint") - 0xA282EAD8, F.lit(1 << 32))
+    return F.floor(v / (1 << 17)) + (v % (1 << 17)) * (1 << 15)
+
+
+def all_zero(data: Column, offset: int, count: int) -> Column:
+    """Whether ``count`` bytes are there and all are zero."""
+    return F.coalesce(part(data, offset, count) == F.unhex(F.repeat(F.lit("00"), count)), F.lit(False))
+
+
+def bits_before_end(data: Column, skip: Column | int, count: int) -> Column:
+    """``count`` bits of a stream that is read from its end: its last set bit marks where it begins; null if there are too few.
+
+    For streams of up to seven bytes, as a number.
+    """
+    n = size(data)
+    padded = F.concat(data, F.unhex(F.lit("0000000000000000")))
+    v = unsigned(padded, 0, 7).cast("bigint")
+    mark = F.length(F.bin(v)) - 1
+    left = mark - (F.lit(skip) if isinstance(skip, int) else skip) - count
+    return F.when((n.between(1, 7)) & (v > 0) & (left >= 0), F.floor(v / F.pow(F.lit(2.0), left.cast("double"))).cast("bigint") % (1 << count))
+
+
 def literal(hexes: str) -> Column:
     return F.unhex(F.lit(hexes))
 

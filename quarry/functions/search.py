@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .bytes import latin1
 from .udf import per_value
 
-_TOKEN = re.compile(r"(?P<hex>[0-9a-f]+)|(?P<any>\.+|\*+)|(?P<cls>%%|%&|!%|_%)|(?P<find>\++[0-9a-f]+)|(?P<jump>\$+)|(?P<addr>#+(?:\[[0-9a-f]*\])?)")
+_TOKEN = re.compile(r"(?P<hex>[0-9a-f]+)|(?P<any>\.+|\*+)|(?P<cls>%%|%&|!%|_%)|(?P<find>\++[0-9a-f]+)|(?P<jump>\$+)|(?P<addr>#+(?:\[[0-9a-f]*\]#*)?)")
 _CLASSES = {"%%": r"[\x20-\x7e]", "%&": r"[0-9]", "!%": r"[^\x20-\x7e]", "_%": r"[^\x00\x20-\x7e]"}
 _SIZES = (1, 2, 4, 8)
 
@@ -78,10 +78,10 @@ def parse(signature: str) -> list[Step] | None:
                 return None
             steps.append(Step("find", bytes.fromhex(digits)))
         elif kind in ("jump", "addr"):
-            marks = len(got) - len(got.lstrip("$#"))
+            marks = got.count("$") + got.count("#")  # a base may stand between or behind the marks
             if marks % 2 or marks // 2 not in _SIZES:
                 return None
-            base = got[marks + 1 : -1] if kind == "addr" and len(got) > marks else ""
+            base = got[got.index("[") + 1 : got.index("]")] if "[" in got else ""
             steps.append(Step(kind, size=marks // 2, base=int(base, 16) if base else 0))
         at += len(got)
     return steps

@@ -123,6 +123,13 @@ def entropy(counts: Column) -> Column:
     return F.when(n > 0, F.greatest(F.log2(n) - s / n, F.lit(0.0))).otherwise(0.0)
 
 
+def entropy_by_ln(counts: Column) -> Column:
+    """The same by natural logarithms of the shares: equal but for the last bits; 0 for no bytes."""
+    n = total(counts).cast("double")
+    s = F.aggregate(F.filter(counts, lambda c: c > 0), F.lit(0.0), lambda acc, c: acc - c / n * F.ln(c / n))
+    return F.when(n > 0, F.greatest(s / math.log(2), F.lit(0.0))).otherwise(0.0)
+
+
 def serial_correlation(sums: Column, n: Column) -> Column:
     """Correlation of neighbours from their sums; -100000 for no bytes or where it is 0/0."""
     scale = n * sums["square_sum"] - sums["byte_sum"] * sums["byte_sum"]

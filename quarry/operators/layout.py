@@ -28,6 +28,7 @@ class Field:
     length: int = 0
     big: bool = False
     role: int = 0
+    display: Callable[[Column], Column] | None = None
 
     @property
     def width(self) -> int:
@@ -71,6 +72,18 @@ class Layout:
             whole = whole & F.coalesce(self.guard(data, at), F.lit(False))
         return F.when(whole, F.struct(*[f.read(data, at + offsets[f.name]).alias(f.name) for f in self.fields]))
 
+    def shown(self, data: Column, at: Column | int = 0) -> Column:
+        """A struct of all fields as texts: bytes in hex, numbers in decimal, and what a field's ``display`` makes of its value."""
+        row = self.project(data, at)
+
+        def text(f: Field) -> Column:
+            value = row[f.name]
+            if f.display is not None:
+                return f.display(value).cast("string")
+            return F.hex(value) if f.kind == "bytes" else value.cast("string")
+
+        return F.when(row.isNotNull(), F.struct(*[text(f).alias(f.name) for f in self.fields]))
+
     def records(self, data: Column, at: Column | int, count: Column) -> Column:
         """An array of ``count`` records that follow each other."""
         at = F.lit(at) if isinstance(at, int) else at

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import bytes as b
-from quarry.functions.codecs import DECODERS, decode_bytes
+from quarry.functions.codecs import DECODERS, ENCODERS, decode_bytes
 from quarry.functions.udf import per_value
 
 MEMBER = "struct<index:int,name:string,offset:bigint,compressed_size:bigint,uncompressed_size:bigint,method:string,crc32:bigint,mtime:bigint>"
@@ -408,7 +408,26 @@ def pack_cpio(rows: list[tuple[str, bytes]]) -> bytes:
     return bytes(out)
 
 
-PACKERS = {"tar": pack_tar, "zip": pack_zip, "cpio": pack_cpio}
+def _compressed_tar(kind: str) -> Callable[[list[tuple[str, bytes]]], bytes]:
+    def run(rows: list[tuple[str, bytes]]) -> bytes:
+        return ENCODERS[kind](pack_tar(rows))
+
+    return run
+
+
+PACKERS = {"tar": pack_tar, "zip": pack_zip, "cpio": pack_cpio, **{f"tar_{k}": _compressed_tar(m) for k, m in (("gz", "gzip"), ("bz2", "bzip2"), ("xz", "xz"), ("zstd", "zstd"))}}
+#: Readers by the extension of a file's name.
+EXTENSIONS = {
+    "gz": "GZIP", "tgz": "GZIP", "zip": "ZIP", "jar": "ZIP", "apk": "ZIP", "tar": "TAR", "a": "AR", "deb": "AR", "cpio": "CPIO", "warc": "WARC", "fa": "FASTA", "fasta": "FASTA", "dbf": "DBF", "cab": "CAB", "bz2": "BZIP2", "xz": "XZ", "zst": "ZSTD", "z": "COMPRESS",
+}
+
+
+def reader_for(data: Column, name: Column | None = None, file_type: Column | None = None) -> Column:
+    """The reader of a content: by its type if that has one, else by its signature, else by its name's extension."""
+    by_type = F.when(file_type.isin(*READERS), file_type) if file_type is not None else F.lit(None).cast("string")
+    pairs = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])
+    by_name = F.try_element_at(pairs, F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))) if name is not None else F.lit(None).cast("string")
+    return F.coalesce(by_type, container_type(data), by_name)
 
 
 def pack(names: Column, contents: Column, kind: str) -> Column:

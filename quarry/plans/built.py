@@ -10,9 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarry.functions import bytes as b
-from quarry.functions import digests, packets, search, text, transforms
-from quarry.operators import detect, formats, layout, members
-from quarry.plans.catalog import _bytes_sql, _contents, _table, query
+from quarry.functions import codecs, digests, packets, search, stats, text, transforms
+from quarry.operators import detect, formats, layout, match, members, registry
+from quarry.plans.catalog import _TURNS, _bytes_sql, _contents, _conversation_files, _table, query
+from quarry.sources import snapshots
 
 
 def _hex(value: Column | int, n: int) -> Column:
@@ -184,8 +185,6 @@ def fasta_sequences(spark, sf_dir):
 @query("SELECT conv_id, CASE conv_id % 5 WHEN 0 THEN 'JAR' WHEN 1 THEN 'APK' WHEN 2 THEN 'IPA' WHEN 3 THEN 'ZIP' ELSE 'NPM' END AS file_type FROM (SELECT DISTINCT conv_id FROM conversations)")
 def archive_subtypes(spark, sf_dir):
     """Archives by what their members are named."""
-    from quarry.functions import codecs
-
     first = F.element_at(F.array(*[F.lit(n) for n in ("META-INF/MANIFEST.MF", "AndroidManifest.xml", "Payload/a.app/x", "a.txt", "package/package.json")]), (F.col("conv_id") % 5 + 1).cast("int"))
     names, files = F.array(F.lit("b.txt"), first), F.array(raw("b"), raw("a"))
     rows = _table(spark, sf_dir, "conversations").select("conv_id").distinct()
@@ -198,8 +197,6 @@ def archive_subtypes(spark, sf_dir):
   WHERE "index" < 2""")
 def limited_members(spark, sf_dir):
     """The first two members of each container, and whether there are more."""
-    from quarry.plans.catalog import _conversation_files
-
     packed = _conversation_files(spark, sf_dir).select("conv_id", members.pack(F.col("names"), F.col("files"), "tar").alias("content"))
     return members.list_members(packed, "conv_id", limit=2).select("conv_id", "index", "truncated")
 
@@ -280,8 +277,6 @@ def archive_name_walk(spark, sf_dir):
 @query(f"SELECT doc_id, sum(xor(v, 90) * (p % 251 + 1))::BIGINT AS masked, sum(((v * 8) % 256 + v // 32) * (p % 251 + 1))::BIGINT AS turned FROM ({_bytes_sql()}) GROUP BY 1")
 def transformed_bytes(spark, sf_dir):
     """Bytes masked and bytes rotated, weighed by their place."""
-    from quarry.functions import stats
-
     rows, data = _contents(spark, sf_dir).where(F.octet_length("content") > 0), F.col("content")
     weigh = lambda kind, operand: stats.weighted_sum(transforms.byte_transform(data, kind, 1, operand))
     return rows.select("doc_id", weigh("xor", 0x5A).alias("masked"), weigh("rotate_left", 3).alias("turned"))
@@ -295,3 +290,136 @@ def encoded_turns(spark, sf_dir):
     """Texts in Latin-1 (null where a character is not in it) and in UTF-16, byte by byte."""
     rows, t = _table(spark, sf_dir, "conversations"), F.col("text")
     return rows.select("conv_id", "turn", F.hex(text.encode_page(t, 28591)).alias("latin"), F.hex(text.encode_page(t, 1200)).alias("wide"))
+
+
+# ---- rules and types
+
+
+@query("SELECT l_orderkey, l_linenumber, 'r' || s_nationkey AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey AND l_linenumber = s_nationkey % 7 + 1")
+def const_rules(spark, sf_dir):
+    """Facts that hold both values of a rule."""
+    facts = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("value1"), F.col("l_linenumber").cast("long").alias("value2"))
+    rules = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("r"), F.col("s_nationkey")).alias("name"), F.col("s_suppkey").alias("value1"), (F.col("s_nationkey") % 7 + 1).cast("long").alias("value2"))
+    return match.const_matches(facts, rules).select("l_orderkey", "l_linenumber", "name")
+
+
+@query("""SELECT p_partkey, n_name AS rule FROM part JOIN nation ON p_size % 25 = n_nationkey
+  AND CASE WHEN p_partkey % 2 = 0 THEN p_brand = 'Brand#' || (n_nationkey % 5 + 1) || (n_nationkey % 3 + 1) ELSE p_partkey % 4 = n_nationkey % 4 AND n_nationkey % 2 = 1 END""")
+def resource_rules(spark, sf_dir):
+    """Resources whose type is a number and whose item is a name or a number, with the rules for both."""
+    key, nation = F.col("p_partkey"), F.col("n_nationkey")
+    named = key % 2 == 0
+    resources = _table(spark, sf_dir, "part").select("p_partkey", F.lit(None).cast("string").alias("type_name"), (F.col("p_size") % 25).alias("type_id"), F.when(named, F.col("p_brand")).alias("item_name"), F.when(~named, key % 4).alias("item_id"))
+    rules = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("rule"), F.lit(None).cast("string").alias("type_name"), nation.alias("type_id"), F.explode(F.array(F.struct(F.concat(F.lit("Brand#"), nation % 5 + 1, nation % 3 + 1).alias("name"), F.lit(None).cast("long").alias("id")), F.struct(F.lit(None).cast("string").alias("name"), F.when(nation % 2 == 1, nation % 4).cast("long").alias("id")))).alias("i"))
+    return match.resource_matches(resources, rules.select("rule", "type_name", "type_id", F.col("i.name").alias("item_name"), F.col("i.id").alias("item_id"))).select("p_partkey", "rule")
+
+
+@query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') AND user_id % 2 = 0 THEN upper(event_type) END AS label FROM events")
+def names_by_kind(spark, sf_dir):
+    """A table looked up by name and kind."""
+    rows = _table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("name"), (F.col("user_id") % 2).cast("int").alias("kind"))
+    names = spark.createDataFrame([("click", 0, "CLICK"), ("view", 0, "VIEW"), ("view", 7, "OTHER")], "name string, kind int, label string")
+    return match.named(rows, names).select("event_id", "label")
+
+
+@query("SELECT s_suppkey, 'any' AS rule FROM supplier WHERE s_nationkey = 3 UNION ALL SELECT s_suppkey, 'one' FROM supplier WHERE s_nationkey = 5 AND s_suppkey % 65536 = 7")
+def tool_rules(spark, sf_dir):
+    """Rich headers that name a rule's tool, in any build or in one."""
+    rich = _table(spark, sf_dir, "supplier").select("s_suppkey", F.array(F.struct(F.col("s_nationkey").alias("id"), (F.col("s_suppkey") % 65536).cast("int").alias("build")), F.struct(F.lit(900).alias("id"), F.lit(1).alias("build"))).alias("tools"))
+    rules = spark.createDataFrame([("any", 3, None), ("one", 5, 7), ("none", 901, None)], "rule string, tool int, build int")
+    return match.tool_matches(rich, rules, "s_suppkey")
+
+
+@query(f"SELECT conv_id, conv_id IN (SELECT conv_id FROM {_TURNS} WHERE \"index\" = 3) AS fourth FROM (SELECT DISTINCT conv_id FROM conversations)")
+def archives_with_member(spark, sf_dir):
+    """Archives that hold a file of a name, and those that don't."""
+    packed = _conversation_files(spark, sf_dir).select("conv_id", members.pack(F.col("names"), F.col("files"), "tar").alias("content"))
+    listed = members.list_members(packed, "conv_id").select("conv_id", "index", "name")
+    fourth = listed.where("index = 3").select("conv_id", F.lit("fourth").alias("name"))
+    every = packed.select("conv_id")
+    have, lack = (match.with_member(every, fourth, "conv_id", ["fourth"], absent=a).withColumn("fourth", F.lit(not a)) for a in (False, True))
+    return have.unionByName(lack)
+
+
+@query("SELECT user_id, list_sort(list_intersect(list(DISTINCT event_type), ['click', 'error', 'none'])) AS there, len(list_filter(list(DISTINCT event_type), lambda x: x <> 'click'))::INT AS others FROM events GROUP BY 1")
+def requested_types(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("kinds"))
+    wanted = F.array(*[F.lit(t) for t in ("click", "error", "none")])
+    return rows.select("user_id", F.array_sort(match.available(wanted, F.col("kinds"))).alias("there"), F.size(match.without_inspection(F.col("kinds"), F.array(F.lit("click")))).alias("others"))
+
+
+@query("SELECT s_suppkey, t AS file_type FROM supplier, (VALUES ('PE32'), ('MSDOS')) v(t) WHERE s_nationkey % 2 = 0 UNION ALL SELECT s_suppkey, 'MSDOS' FROM supplier WHERE s_nationkey % 2 = 1")
+def detected_types(spark, sf_dir):
+    """All types whose check fits, one row each."""
+    pe = F.concat(raw("MZ"), zeros(58), le(64, 4), raw("PE"), zeros(2), zeros(20), le(0x10B, 2), zeros(16))
+    content = F.when(F.col("s_nationkey") % 2 == 0, pe).otherwise(F.concat(raw("MZ"), zeros(70)))
+    return match.detected(_table(spark, sf_dir, "supplier").select("s_suppkey", content.alias("content")), "s_suppkey")
+
+
+@query(f"SELECT conv_id, 'TAR: ' || count(*) || ' members, ' || sum(octet_length(encode(text)))::BIGINT || ' bytes, first ' || arg_min(name, \"index\") AS line FROM {_TURNS} GROUP BY 1")
+def container_information(spark, sf_dir):
+    packed = _conversation_files(spark, sf_dir).select("conv_id", members.pack(F.col("names"), F.col("files"), "tar").alias("content"))
+    return match.information(members.list_members(packed, "conv_id"), "conv_id")
+
+
+@query(f"SELECT conv_id, \"index\", md5(text) AS md5, k AS kind FROM {_TURNS}, (VALUES ('tar_gz'), ('tar_bz2'), ('tar_xz'), ('tar_zstd')) v(k)")
+def written_tars(spark, sf_dir):
+    """Archives written in four ways, and what stands in them two levels down."""
+    out = None
+    for kind in ("tar_gz", "tar_bz2", "tar_xz", "tar_zstd"):
+        packed = _conversation_files(spark, sf_dir).select("conv_id", members.pack(F.col("names"), F.col("files"), kind).alias("content"))
+        inner = members.recurse(packed, "conv_id", max_depth=2).where("depth = 2").select("conv_id", F.element_at("path", -1).alias("index"), F.md5("content").alias("md5"), F.lit(kind).alias("kind"))
+        out = inner if out is None else out.unionByName(inner)
+    return out
+
+
+@query("SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN 'ZIP' WHEN 1 THEN 'GZIP' ELSE 'TAR' END AS reader FROM (SELECT DISTINCT conv_id FROM conversations)")
+def chosen_readers(spark, sf_dir):
+    """By type, by signature, and by the extension of a name."""
+    key = F.col("conv_id") % 3
+    content = F.when(key == 1, codecs.compress(raw("x"), "gzip")).otherwise(raw("nothing"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id").distinct().select("conv_id", content.alias("content"))
+    return rows.select("conv_id", members.reader_for(F.col("content"), F.when(key == 2, "a/b.TAR").otherwise("a/b"), F.when(key == 0, "ZIP")).alias("reader"))
+
+
+@query(f"SELECT conv_id, \"index\", name FROM {_TURNS}")
+def typed_scan(spark, sf_dir):
+    """A scan whose type is given instead of found."""
+    packed = _conversation_files(spark, sf_dir).select("conv_id", members.pack(F.col("names"), F.col("files"), "zip").alias("content"))
+    return registry.scan("members", packed, "conv_id", file_type="ZIP").select("conv_id", "index", "name")
+
+
+# ---- ranges, wires and numbers
+
+
+@query("""SELECT doc_id, o AS "offset", 16::BIGINT AS size, substr(hex(encode(text)), (2 * o + 1)::INT, 32) AS bytes FROM documents, (VALUES (0::BIGINT), (40)) v(o) WHERE octet_length(encode(text)) >= o + 16""")
+def content_ranges(spark, sf_dir):
+    """Ranges of contents as a snapshot keeps them."""
+    return snapshots.ranges_of(_contents(spark, sf_dir), "doc_id", [(0, 16), (40, 16)]).select("doc_id", "offset", "size", F.hex("content").alias("bytes"))
+
+
+@query("SELECT c_custkey, c_name AS name, c_custkey AS crc, c_custkey % 2 = 0 AS blank, c_custkey % 65536 AS low, c_custkey // 65536 % 16 AS high FROM customer")
+def wire_fields(spark, sf_dir):
+    """A text up to its zero, a masked CRC, a stretch of zeros, and a bit stream read from its end."""
+    key = F.col("c_custkey")
+    masked = F.pmod(F.floor(key / 2**15) + (key % 2**15) * 2**17 + 0xA282EAD8, F.lit(1 << 32))
+    content = F.concat(raw(F.col("c_name")), zeros(1), F.when(key % 2 == 0, zeros(4)).otherwise(be(1, 4)))
+    stream = le(F.lit(1 << 21) + key % 2**20, 3)
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", content.alias("content"), masked.alias("masked"), stream.alias("stream"), F.octet_length("c_name").alias("n"))
+    tail = F.substring(F.col("content"), F.col("n") + 2, F.lit(4))
+    return rows.select("c_custkey", b.c_string(F.col("content"), 0).alias("name"), b.crc_unmasked(F.col("masked")).cast("long").alias("crc"), b.all_zero(tail, 0, 4).alias("blank"), b.bits_before_end(F.col("stream"), 5, 16).cast("long").alias("low"), b.bits_before_end(F.col("stream"), 1, 4).cast("long").alias("high"))
+
+
+@query(f"""WITH c AS (SELECT page_id, v, count(*) AS n FROM ({_bytes_sql('pages', 'page_id', 'html')}) GROUP BY 1, 2), t AS (SELECT page_id, sum(n) AS t FROM c GROUP BY 1)
+  SELECT page_id, round(sum(-n / t * ln(n / t)) / ln(2), 6) AS entropy FROM c JOIN t USING (page_id) GROUP BY 1""")
+def page_entropy_by_ln(spark, sf_dir):
+    rows = _contents(spark, sf_dir, "pages", "page_id", "html").select("page_id", stats.histogram(F.col("content")).alias("counts"))
+    return rows.select("page_id", F.round(stats.entropy_by_ln(F.col("counts")), 6).alias("entropy"))
+
+
+@query("SELECT p_partkey, 'BM' AS id, (p_partkey + 54)::VARCHAR AS file_size, p_size || ' px' AS width FROM part")
+def shown_fields(spark, sf_dir):
+    """A layout whose fields are shown as texts, one by its own rule."""
+    fields = (layout.Field("id", "char", 2), layout.Field("file_size", "u32", 4), layout.Field("width", "u32", 4, display=lambda v: F.concat(v.cast("string"), F.lit(" px"))))
+    content = F.concat(raw("BM"), le(F.col("p_partkey") + 54, 4), le(F.col("p_size"), 4))
+    return _table(spark, sf_dir, "part").select("p_partkey", layout.Layout("picture", fields).shown(content).alias("s")).select("p_partkey", "s.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,8 +83,17 @@ class _ArchiveReader(DataSourceReader):
                     break
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    staged: str
+    part: str
+
+
 class _ArchiveWriter(DataSourceWriter):
-    """Writes (name, content) rows as one archive for each partition; ``kind`` is tar, zip or cpio."""
+    """Writes (name, content) rows as one archive for each partition; ``kind`` is one of ``members.PACKERS``.
+
+    The folder must be one that driver and executors share; parts get their names when all of them are written.
+    """
 
     def __init__(self, options):
         self.path, self.kind = options["path"], options.get("kind", "tar")
@@ -94,13 +104,32 @@ class _ArchiveWriter(DataSourceWriter):
         from pyspark import TaskContext
 
         rows = [(r["name"], bytes(r["content"])) for r in iterator]
-        if rows:
-            os.makedirs(self.path, exist_ok=True)
-            part = os.path.join(self.path, f"part-{TaskContext.get().partitionId():05d}.{self.kind}")
-            with open(part + ".tmp", "wb") as f:
-                f.write(members.PACKERS[self.kind](rows))
-            os.replace(part + ".tmp", part)
-        return WriterCommitMessage()
+        if not rows:
+            return _Written("", "")
+        os.makedirs(self.path, exist_ok=True)
+        part = os.path.join(self.path, f"part-{TaskContext.get().partitionId():05d}.{self.kind}")
+        staged = f"{part}.{TaskContext.get().taskAttemptId()}.tmp"
+        with open(staged, "wb") as f:
+            f.write(members.PACKERS[self.kind](rows))
+        return _Written(staged, part)
+
+    def commit(self, messages) -> None:
+        """All parts are there: they get their names."""
+        import os
+
+        for m in messages:
+            if m is not None and m.staged:
+                os.replace(m.staged, m.part)
+
+    def abort(self, messages) -> None:
+        """The job failed: what was staged goes."""
+        import contextlib
+        import os
+
+        for m in messages:
+            if m is not None and m.staged:
+                with contextlib.suppress(FileNotFoundError):
+                    os.remove(m.staged)
 
 
 def register_sources(spark: SparkSession) -> None:

@@ -3,9 +3,11 @@
 import datetime
 import hashlib
 
+import pytest
 
 from quarry.operators import members
-from quarry.sources import files
+from quarry.__main__ import main
+from quarry.sources import files, snapshots
 from quarry.streaming import jobs
 
 
@@ -23,6 +25,40 @@ def test_files_and_archive_source(spark, tmp_path):
     assert sorted((r.name, bytes(r.content)) for r in back.collect()) == [("x", b"one"), ("y", b"two")]
 
 
+def test_failed_archives_leave_nothing(spark, tmp_path):
+    files.register_sources(spark)
+    rows = spark.createDataFrame([("a", bytearray(b"1")), ("b", None)], "name string, content binary").repartition(2, "name")
+    with pytest.raises(Exception):
+        rows.write.format("archive").option("path", str(tmp_path / "out")).mode("append").save()
+    assert not list((tmp_path / "out").glob("*.tar"))
+    rows.where("content is not null").write.format("archive").option("path", str(tmp_path / "fine")).option("kind", "tar_gz").mode("append").save()
+    assert [f.name.split(".", 1)[1] for f in (tmp_path / "fine").iterdir()] == ["tar_gz"]
+
+
+def test_snapshots_stay(spark, tmp_path):
+    rows = spark.createDataFrame([(1, bytearray(b"0123456789")), (2, bytearray(b"01"))], "id long, content binary")
+    path = str(tmp_path / "s")
+    snapshots.persist(snapshots.ranges_of(rows, "id", [(2, 3), (0, 2), (-1, 2)]), path)
+    assert sorted((r.id, r.offset, bytes(r.content)) for r in snapshots.opened(spark, path).collect()) == [(1, 0, b"01"), (1, 2, b"234"), (2, 0, b"01")]
+    with pytest.raises(Exception, match="(?i)exist"):
+        snapshots.persist(rows, path)
+
+
+def test_console(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.tar").write_bytes(members.pack_tar([("x", b"one")]))
+    assert main(["list", str(tmp_path / "in")], spark) == 0 and "TAR" in capsys.readouterr().out
+    assert main(["test", str(tmp_path / "in")], spark) == 0
+    assert main(["extract", str(tmp_path / "in"), "--out", str(tmp_path / "out")], spark) == 0 and spark.read.parquet(str(tmp_path / "out")).count() == 1
+    broken = bytearray(members.pack_zip([("a", b"abc" * 50)]))
+    broken[33] ^= 0xFF
+    (tmp_path / "in/b.zip").write_bytes(broken)
+    assert main(["test", str(tmp_path / "in")], spark) == 1
+    with pytest.raises(SystemExit) as wrong:
+        main(["extract", "x"], spark)
+    assert wrong.value.code == 2
+
+
 def test_sub_views(spark):
     rows = spark.createDataFrame([(1, 2, bytearray(b"abcd")), (2, -1, bytearray(b"abcd")), (3, 2, bytearray(b"abcd"))], "offset int, size int, content binary")
     assert [r.content and bytes(r.content) for r in files.sub_views(rows).orderBy("offset").collect()] == [b"bc", b"cd", None]
