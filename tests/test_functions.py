@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +30,15 @@ def test_crc_check_values(name, value):
     assert f"{digests.crc_of(spec, CHECK):0{spec.width // 4}x}" == value
 
 
+@pytest.mark.parametrize("name", sorted(digests.CRCS))
+def test_crcs_of_whole_batches(name):
+    rng, spec = np.random.default_rng(1), digests.CRCS[name]
+    rows = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (0, 1, 2, 3, 7, 8, 9, 255, 256, 257, 1000, 5000, 0, 512)]
+    offsets = np.cumsum([3, *map(len, rows)])
+    got = digests.crc_rows(spec, np.frombuffer(b"xyz" + b"".join(rows), np.uint8), offsets)
+    assert got.tolist() == [digests.crc_of(spec, r) for r in rows]
+
+
 def test_digest_vectors():
     assert digests.md2_of(b"") == "8350e5a3e24c153df2275c9f80692773"
     assert digests.md2_of(b"abc") == "da853b0d3f88d99b30283a69e6ded6bb"
@@ -56,7 +66,7 @@ def test_statistics_edges(spark):
 
 @pytest.mark.parametrize(
     ("signature", "valid"),
-    [("4D5A", True), ("4d 5a", True), ("'MZ'", True), ("'MZ", False), ("4", False), ("4D..5A", True), ("4.5A", False), ("4D?? 5A", True), ("**", True), ("***", False), ("%%", True), ("%&", True), ("%", False), ("!%", True), ("_%", True), ("!", False), ("+4D5A", True), ("+", False), ("+4", False), ("$$", True), ("$", False), ("$$$$$$", False), ("####", True), ("####[400000]", True), ("##[", False), ("zz", False), ("", False)],
+    [("4D5A", True), ("4d 5a", True), ("'MZ'", True), ("'MZ", False), ("4", False), ("4D..5A", True), ("4.5A", False), ("4D?? 5A", True), ("**", True), ("***", False), ("%%", True), ("%&", True), ("%", False), ("!%", True), ("_%", True), ("!", False), ("+4D5A", True), ("+", False), ("+4", False), ("$$", True), ("$", False), ("$$$$$$", False), ("####", True), ("####[400000]", True), ("##[", False), ("#[10]#", True), ("#[10]", False), ("zz", False), ("", False)],
 )
 def test_signature_rules(signature, valid):
     assert search.is_valid(signature) is valid
