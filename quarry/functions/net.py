@@ -123,7 +123,10 @@ def is_permutation(domain: Column, target: str, kinds: int = ALL_KINDS) -> Colum
     def run(name: str):
         return permutation_kind(name, target, kinds) != 0
 
-    return F.when(F.abs(F.length(domain) - len(target)) <= max(4, len(target)), run(domain)).otherwise(False)
+    # A lookalike has a label about as long as the target's, or is so short that its labels together may be.
+    n = len((split_domain(target) or {"domain": target})["domain"])
+    near = F.exists(F.split(domain, r"\."), lambda label: F.length(label).between(n - 1, 2 * n)) | (F.length(domain) <= 2 * n + 24)
+    return F.coalesce(run(F.when(near, domain)), F.when(domain.isNotNull(), False))
 
 
 def host(url: Column) -> Column:

@@ -200,9 +200,25 @@ def _extended(data: Column, magic: str) -> Column:
     return b.at(data, 0, "4D5A") & (b.size(data) >= 64) & (o >= 64) & (b.part(data, o, 2) == b.literal(magic))
 
 
+def _ne_fits(data: Column) -> Column:
+    """Whether the header and the segment table of a 16-bit executable lie inside the file."""
+    o = b.u32le(data, 0x3C)
+    segments, table = b.u16le(data, o + 0x1C), b.u16le(data, o + 0x22)
+    return (o + 64 <= b.size(data)) & segments.between(1, 254) & (table >= 64) & (o + table + 8 * segments <= b.size(data))
+
+
+def _linear_fits(data: Column) -> Column:
+    """Whether a linear executable is little-endian, with a known processor, whole pages and an object table inside the file."""
+    o = b.u32le(data, 0x3C)
+    page, table, objects = b.u32le(data, o + 0x28), b.u32le(data, o + 0x40), b.u32le(data, o + 0x44)
+    sane = (b.u16le(data, o + 2) == 0) & b.u16le(data, o + 8).between(1, 6) & page.isin(512, 1024, 2048, 4096, 8192, 16384, 32768, 65536)
+    return (o + 0xAC <= b.size(data)) & sane & objects.between(1, 4096) & (table >= 0xAC) & (o + table + 24 * objects <= b.size(data))
+
+
 def dos_type(data: Column) -> Column:
     """Extended executables, the first that fits, and plain MSDOS."""
-    fits = [F.when(_extended(data, m), n) for m, n in (("4E45", "NE"), ("4C45", "LE"), ("4C58", "LX"))]
+    checks = (("4E45", "NE", _ne_fits), ("4C45", "LE", _linear_fits), ("4C58", "LX", _linear_fits))
+    fits = [F.when(_extended(data, m) & F.coalesce(check(data), F.lit(False)), n) for m, n, check in checks]
     stub = F.substring(data, 1, 4096)
     extenders = [F.when(b.at(data, 0, "4D5A") & (F.position(F.encode(F.lit(t), "UTF-8"), stub) > 0), n) for t, n in (("DOS/4G", "DOS4G"), ("DOS/16M", "DOS16M"))]
     return F.coalesce(*fits, *extenders, F.when(b.at(data, 0, "4D5A") | b.at(data, 0, "5A4D"), "MSDOS"))

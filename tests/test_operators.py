@@ -47,6 +47,23 @@ def test_ladder(spark):
     assert {r.id: r.t for r in got} == dict(enumerate(t for _, t in cases))
 
 
+def extended(kind, **changes):
+    """A DOS program with an NE, LE or LX header at 64."""
+    data = bytearray(512)
+    data[:2], data[64:66] = b"MZ", kind
+    struct.pack_into("<I", data, 60, 64)
+    fields = {"NE": {0x1C: ("<H", 2), 0x22: ("<H", 64)}}.get(kind.decode(), {8: ("<H", 2), 0x28: ("<I", 4096), 0x40: ("<I", 0xAC), 0x44: ("<I", 3)})
+    for at, (form, value) in fields.items():
+        struct.pack_into(form, data, 64 + at, changes.get(f"x{at:x}", value))
+    return bytes(data)
+
+
+def test_extended_programs_are_checked(spark):
+    cases = [(extended(b"NE"), "NE"), (extended(b"NE", x1c=0), "MSDOS"), (extended(b"NE", x22=500), "MSDOS"), (extended(b"LE"), "LE"), (extended(b"LX"), "LX"), (extended(b"LX", x8=9), "MSDOS"), (extended(b"LE", x28=1000), "MSDOS"), (extended(b"LX", x44=4000), "MSDOS"), (extended(b"LE")[:100], "MSDOS")]
+    got = frame(spark, *[c for c, _ in cases]).select("id", detect.ladder(F.col("content")).alias("t")).collect()
+    assert {r.id: r.t for r in got} == dict(enumerate(t for _, t in cases))
+
+
 def test_archives_by_their_members(spark):
     def zipped(*names):
         out = io.BytesIO()
