@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import free_name, materialize, quoted
+from .shared import free_name, materialize, quoted, release
 
 WINDOW = 3
 
@@ -52,7 +52,7 @@ def _windows(docs: DataFrame, short: bool) -> DataFrame:
 
 
 def repeated_stretches(docs: DataFrame, short: bool = True) -> DataFrame:
-    """``(row, stretches)`` of ``docs(row, doc_id, text)``: the merged positions of later occurrences, ends included."""
+    """``(row, stretches)`` of ``docs(row, doc_id, text)``: the merged positions of later occurrences, ends included; a written table."""
     windows = materialize(_windows(docs, short), "windows")
     place = F.struct("doc_id", "row", "at")
     seen = windows.groupBy("span", "h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("span", "h1", "h2", "first")
@@ -62,7 +62,10 @@ def repeated_stretches(docs: DataFrame, short: bool = True) -> DataFrame:
     gap = F.col("at") > F.lag("at").over(own.orderBy("at")) + WINDOW
     runs = later.withColumn("gap", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("run", F.sum("gap").over(own.orderBy("at")))
     merged = runs.groupBy("row", "run").agg(F.min("at").alias("start"), (F.max(F.col("at") + F.col("span")) - 1).alias("end"))
-    return merged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("stretches"))
+    out = materialize(merged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("stretches")), "stretches")
+    release(windows)
+    release(repeated)
+    return out
 
 
 def dedup_lines(docs: DataFrame, name: str = "lines", short: bool = True) -> DataFrame:
@@ -72,7 +75,7 @@ def dedup_lines(docs: DataFrame, name: str = "lines", short: bool = True) -> Dat
     """
     own_row, mark_row, own_cut = (free_name(docs, n) for n in ("own_row", "mark_row", "mark_cut"))
     rows = materialize(docs.withColumn(own_row, F.monotonically_increasing_id()), "rows")
-    marks = materialize(repeated_stretches(rows.select("doc_id", "text", F.col(quoted(own_row)).alias("row")), short), "stretches")
+    marks = repeated_stretches(rows.select("doc_id", "text", F.col(quoted(own_row)).alias("row")), short)
     marks = marks.select(F.col("row").alias(mark_row), F.col("stretches").alias(own_cut))
     # The merge hint keeps the plan the same at every size: a broadcast would only hold for small corpora.
     met = rows.hint("merge").join(marks, F.col(own_row) == F.col(mark_row), "left")

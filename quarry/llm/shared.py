@@ -13,12 +13,14 @@ BATCH_BYTES = 2 << 20
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir`` where the cluster names one.  Only a session
-    without that setting (a local test) gets a folder of its own.
+    It is ``spark.checkpoint.dir`` where the cluster names one.  Only a local
+    session, a test, gets a folder of its own; elsewhere the setting is needed.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = spark.conf.get("spark.quarry.scratch", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="quarry-")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import bounded_batches, free_name, materialize, quoted
+from .shared import bounded_batches, free_name, materialize, quoted, release
 from .textspans import Words, slices, text_bytes, xxh64
 
 SHINGLE = 3
@@ -194,7 +194,10 @@ def _grouped(fps: DataFrame, radius: int) -> DataFrame:
     parts = connected_components(near_edges(classes.select("fp"), radius))
     rooted = materialize(classes.join(parts, classes.fp == parts.node, "left").select("fp", "rep", "first", F.coalesce("component", "fp").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.min("first").alias("first")).select("root", "component_id", F.col("first.row").alias("keep"))
-    return materialize(rooted.select("fp", "root").join(least, "root").select("fp", "component_id", "keep"), "named")
+    named = materialize(rooted.select("fp", "root").join(least, "root").select("fp", "component_id", "keep"), "named")
+    release(classes)
+    release(rooted)
+    return named
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
