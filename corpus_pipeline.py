@@ -10,6 +10,10 @@ stage's ``docs``.  All but the last return the columns of their ``docs``.
    single item's passage are cut out of the document that holds them;
 4. mixing: a document holds the words that the mix takes, repeats included; untaken ones go;
 5. token ids: what is left is written as ORC token files, and each document's entry is read back.
+
+Defined cases: null and empty texts, and texts without a letter, go in stage 1; very long texts are read whole; of
+repeated rows one stays in stage 2, and rows without doc_id are documents like any other; without benchmark items
+stage 3 keeps all; an empty table gives an empty result; extra columns, whatever their names, are kept up to stage 4.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import fmindex, langid, mixing, simhash, tokenfile
-from quarry.llm.shared import free_name, materialize, quoted
+from quarry.llm.shared import free_name, materialize, quoted, release
 from quarry.llm.tables import table
 
 
@@ -64,7 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), "stage")
+        if before is not None:
+            release(before)  # the stage before, which nothing reads any more
+        before = docs
     return docs
