@@ -11,19 +11,28 @@ all that is below it, a pair that is surely within t is counted as a whole, and
 the others are opened.  At the bottom the cosine itself, in double precision,
 decides.
 
+Where covering radii are above t, nothing can be counted as a whole, and in many
+dimensions hardly a pair of nodes is dropped, so a traversal begins at the level
+where they are within t.  Its pairs of nodes are sifted in single precision by
+their distance in the ``SIFT`` directions in which vectors of a bounded sample
+differ most: it is never above their distance, so what is too far there is
+dropped, and the rest is compared in full.
+
 Distribution: equal vectors are one class.  Classes go to the nearest of a
 bounded number of pivots, a spread-out part of a bounded sample, and a pivot's
 classes are cut into blocks of about ``BLOCK`` rows by a hash, however many they
-are.  A block's tree is grown once.  Pairs of pivots that are further apart than
-the threshold and both covering radii are dropped; each pair of blocks that
-remains is part of the work of a tile of ``TILE`` by ``TILE`` blocks, which reads their trees once.  A task emits a number of links
-and one edge for each vector, never the pairs.  (In many dimensions unrelated
-vectors are all about equally far apart, so few block pairs can be dropped: the
-work grows with the square of the number of different vectors, as any exact
-method's does there, and the trees save what is below their nodes.)
-
-What the driver holds, and how often a tree is sent, grows with the pairs of
-blocks that may link, at worst the square of their number: see the README.
+are.  A block's tree is grown once; the trees of blocks of about ``GROUP_BYTES``
+in all are a group, a forest that is traversed as one tree.  Groups meet by a
+product of the table that holds them, so no tree is shuffled or written again;
+groups whose pivots are all further apart than the threshold and both covering
+radii don't meet, and pairs of trees whose roots are don't either.  A meeting
+emits a number of links and one edge for each vector, never the pairs.  (In many
+dimensions unrelated vectors are all about equally far apart, so few pairs of
+trees can be dropped: the work grows with the square of the number of different
+vectors, and what the trees save is below their nodes.)
+
+What the driver holds grows with the pairs of groups that may link, at worst the
+square of their number: see the README.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing; vectors of different lengths don't link.  Rows
@@ -43,14 +52,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize
+from .shared import bounded_batches, materialize, release
 
 THRESHOLD = 0.95
 BLOCK = 4096
-TILE = 4
+GROUP_BYTES = 4 << 20
+GROUPS = 4
 SAMPLE = 4096
 PIVOTS = 256
 SLACK = 1e-6
+SIFT = 24
+SIFT_SLACK = 1e-5
+SIFT_ROWS, SIFT_COLUMNS = 512, 2048
 LEAF_RADIUS = 2.0**-6
 
 
@@ -108,6 +121,11 @@ class CoverTree:
             first = np.full(len(points), n)
             np.minimum.at(first, at, place)
             self.levels.append((points, parent, cover, first, first + np.bincount(at, minlength=len(points))))
+        self.cuts = [np.array([0, len(points)]) for points, *_ in self.levels]
+        self._hang()
+
+    def _hang(self) -> None:
+        """Each node's children, from their parents."""
         for (points, *_), (_, parent, *_) in zip(self.levels, self.levels[1:], strict=False):
             order = np.argsort(parent, kind="stable")
             self.children.append((order, np.searchsorted(parent[order], np.arange(len(points) + 1))))
@@ -139,6 +157,25 @@ class CoverTree:
         return np.concatenate(found), near, away
 
 
+class Forest(CoverTree):
+    """Trees side by side, as one whose levels hold the nodes of all: ``cuts[k]`` says where each tree's nodes of level k begin."""
+
+    def __init__(self, trees: list[CoverTree]):
+        self.x = np.concatenate([t.x for t in trees])
+        rows = np.cumsum([0] + [len(t.x) for t in trees])
+        self.order = np.concatenate([t.order + r for t, r in zip(trees, rows, strict=False)])
+        self.levels, self.children, self.cuts = [], [], [np.arange(len(trees) + 1)]
+        for k in range(max(len(t.levels) for t in trees)):
+            parts = []
+            for tree, row, above in zip(trees, rows, self.cuts[-1], strict=False):
+                points, parent, cover, first, last = tree.levels[min(k, len(tree.levels) - 1)]
+                parts.append((points + row, (parent if k < len(tree.levels) else np.arange(len(points))) + above, cover, first + row, last + row))
+            self.levels.append(tuple(np.concatenate(column) for column in zip(*parts, strict=True)))
+            self.cuts.append(np.cumsum([0] + [len(part[0]) for part in parts]))
+        del self.cuts[0]
+        self._hang()
+
+
 class Links:
     """What a dual traversal finds: links of each row, and a forest over both sides' rows."""
 
@@ -172,11 +209,18 @@ def _expand(a: np.ndarray, b: np.ndarray, ka, kb) -> tuple[np.ndarray, np.ndarra
     return ca[fa[a][pair] + within // nb[pair]], cb[fb[b][pair] + within % nb[pair]]
 
 
-def dual_traversal(left: CoverTree, right: CoverTree, weight_l: np.ndarray, weight_r: np.ndarray, threshold: float, same: bool, lot: int = 1 << 20) -> Links:
-    """Links between the rows of two trees (of one tree with itself if ``same``).
+def coordinates(x: np.ndarray) -> np.ndarray | None:
+    """The directions in which rows like ``x`` differ most, as columns; none if they have few coordinates."""
+    return np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :SIFT] if x.shape[1] > SIFT else None
+
+
+def dual_traversal(left: CoverTree, right: CoverTree, weight_l: np.ndarray, weight_r: np.ndarray, threshold: float, same: bool, lot: int = 1 << 22, basis: np.ndarray | None = None) -> Links:
+    """Links between the rows of two trees or forests (of one with itself if ``same``).
 
-    Rows are numbered left first; a row's count is the weight of the rows it links with.
+    Rows are numbered left first; a row's count is the weight of the rows it links with.  ``basis`` holds orthonormal
+    columns; which they are matters for speed only.  ``lot`` bounds the coordinates that are gathered at once.
     """
+    lot = max(4096, lot // max(1, left.x.shape[1]))
     t = float(np.sqrt(2 - 2 * threshold))
     nl = len(left.x)
     shift = 0 if same else nl
@@ -242,7 +286,7 @@ def dual_traversal(left: CoverTree, right: CoverTree, weight_l: np.ndarray, weig
         pa_, _, ra, _, _ = level(left, k)
         pb_, _, rb, _, _ = level(right, k)
         out, other = [], right.x[pb_[at_r]].T
-        step = max(1, 4 * lot // max(1, len(at_r)))
+        step = max(1, 8 * lot // max(1, len(at_r)))
         for s in range(0, len(at_l), step):
             own = at_l[s : s + step]
             cos = left.x[pa_[own]] @ other
@@ -252,36 +296,72 @@ def dual_traversal(left: CoverTree, right: CoverTree, weight_l: np.ndarray, weig
                 out += visit(k, own[i], at_r[j])
         return out
 
-    def everything(k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """All pairs of a level's nodes, those of like covering radius together."""
-        out = []
-        sides = []
-        for tree in (left, right):
-            cover = level(tree, k)[2]
-            sides.append([g for g in (np.flatnonzero(cover == 0), np.flatnonzero((cover > 0) & (cover <= 0.25)), np.flatnonzero(cover > 0.25)) if len(g)])
-        for g in sides[0]:
-            for h in sides[1]:
-                out += dense(k, g, h)
+    def drain(stack: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
+        while stack:
+            k, a, b = stack.pop()
+            (ca, fa), (cb, fb) = kids_l, kids_r = stay(left, k), stay(right, k)
+            each = (fa[a + 1] - fa[a]) * (fb[b + 1] - fb[b])
+            for i in np.flatnonzero(each > lot // 4):
+                stack += dense(k + 1, ca[fa[a[i]] : fa[a[i] + 1]], cb[fb[b[i]] : fb[b[i] + 1]])
+            few = np.flatnonzero(each <= lot // 4)
+            bins = np.cumsum(each[few]) // lot
+            for part in np.split(few, np.flatnonzero(np.diff(bins)) + 1) if len(few) else []:
+                stack += visit(k + 1, *_expand(a[part], b[part], kids_l, kids_r))
+
+    # Above the level whose covering radii are within the threshold no pair of nodes can be counted as a whole, and in many
+    # dimensions hardly one is dropped: the traversal begins there.  Its pairs are sifted in single precision by their
+    # distance in a few directions, which is none greater than their distance.
+    start = max(next(k for k, r in enumerate(tree.levels) if r[2].max() <= t or k == len(tree.levels) - 1) for tree in (left, right))
+
+    def sides(tree: CoverTree) -> list[list[tuple]]:
+        """For each tree the nodes that are one point and the others, their greatest covering radius, and coordinates."""
+        points, _, cover, _, _ = level(tree, start)
+        cut, out = tree.cuts[min(start, len(tree.levels) - 1)], []
+        for a, b in zip(cut, cut[1:], strict=False):
+            out.append([])
+            for nodes in (a + np.flatnonzero(cover[a:b] == 0), a + np.flatnonzero(cover[a:b] > 0)):
+                if len(nodes):
+                    x = tree.x[points[nodes]]
+                    low = (x if basis is None else x @ basis).astype(np.float32)
+                    out[-1].append((nodes, cover[nodes].max(), low, np.einsum("ij,ij->i", low, low)[:, None] / 2))
         return out
 
-    # Upper levels are few nodes; the traversal begins where the trees have spread out.
-    start = next((k for k in range(depth) if len(level(left, k)[0]) * len(level(right, k)[0]) > 4096), depth - 1)
-    stack = everything(start)
-    while stack:
-        k, a, b = stack.pop()
-        (ca, fa), (cb, fb) = kids_l, kids_r = stay(left, k), stay(right, k)
-        each = (fa[a + 1] - fa[a]) * (fb[b + 1] - fb[b])
-        for i in np.flatnonzero(each > lot // 4):
-            stack += dense(k + 1, ca[fa[a[i]] : fa[a[i] + 1]], cb[fb[b[i]] : fb[b[i] + 1]])
-        few = np.flatnonzero(each <= lot // 4)
-        bins = np.cumsum(each[few]) // lot
-        for part in np.split(few, np.flatnonzero(np.diff(bins)) + 1) if len(few) else []:
-            stack += visit(k + 1, *_expand(a[part], b[part], kids_l, kids_r))
+    def sift(g: tuple, h: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of nodes that may be near enough, and few others."""
+        (own, ra, low_l, half_l), (other, rb, low_r, half_r) = g, h
+        bound = np.float32(-((t + ra + rb + SLACK) ** 2) / 2 - SIFT_SLACK)
+        one = np.ones_like
+        low_l, low_r = np.hstack([low_l, -half_l, one(half_l)]), np.hstack([low_r, one(half_r), -half_r]).T
+        pa_, pb_ = level(left, start)[0], level(right, start)[0]
+        for s in range(0, len(own), SIFT_ROWS):
+            for u in range(0, len(other), SIFT_COLUMNS):
+                z = low_l[s : s + SIFT_ROWS] @ low_r[:, u : u + SIFT_COLUMNS]
+                hit = np.flatnonzero(z.ravel() >= bound)
+                if basis is not None and len(hit) > z.size // 64:
+                    z = left.x[pa_[own[s : s + SIFT_ROWS]]].astype(np.float32) @ right.x[pb_[other[u : u + SIFT_COLUMNS]]].astype(np.float32).T
+                    hit = np.flatnonzero(z.ravel() >= 1 + bound)
+                if len(hit):
+                    yield own[s + hit // z.shape[1]], other[u + hit % z.shape[1]]
+
+    sides_l = sides(left)
+    sides_r = sides_l if same else sides(right)
+    roots = distances(left.x[left.levels[0][0]], right.x[right.levels[0][0]]) <= t + left.levels[0][2][:, None] + right.levels[0][2] + SLACK
+    found, size = [], 0
+    for i, j in np.argwhere(roots):
+        for g in sides_l[i]:
+            for h in sides_r[j]:
+                for pair in sift(g, h):
+                    found.append(pair)
+                    size += len(pair[0])
+                    if size >= lot:
+                        drain(visit(start, *map(np.concatenate, zip(*found, strict=True))))
+                        found, size = [], 0
+    if found:
+        drain(visit(start, *map(np.concatenate, zip(*found, strict=True))))
     return links
 
 
 
-
 def _plain(x: np.ndarray) -> np.ndarray:
     return x.astype(np.int32) if x.dtype == np.int64 else x
 
@@ -296,6 +376,7 @@ def unpack_tree(raw: bytes) -> tuple[CoverTree, np.ndarray, np.ndarray]:
     tree = CoverTree.__new__(CoverTree)
     wide = lambda r: tuple(v.astype(np.int64) if v.dtype == np.int32 else v for v in r)
     tree.x, tree.order, tree.levels, tree.children = unit(x), order.astype(np.int64), [wide(r) for r in levels], [wide(r) for r in children]
+    tree.cuts = [np.array([0, len(points)]) for points, *_ in tree.levels]
     return tree, rep, weight
 
 
@@ -336,10 +417,12 @@ def vector_links(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     # Pivots: spread-out rows of a bounded sample of each length of vectors.
     sample = classes.orderBy(F.xxhash64("h1"), "h1", "h2").select("dim", "v").limit(SAMPLE).toArrow()
     pivots: dict[int, np.ndarray] = {}
+    basis: dict[int, np.ndarray | None] = {}
     dims = np.array(sample["dim"].to_pylist(), np.int64)
     for dim in np.unique(dims).tolist():
-        part = sample["v"].combine_chunks().filter(pa.array(dims == dim))
-        pivots[dim] = spread(unit(_matrix(part)), min(PIVOTS, max(1, -(-total // (BLOCK // 2)))))
+        part = unit(_matrix(sample["v"].combine_chunks().filter(pa.array(dims == dim))))
+        basis[dim] = coordinates(part)
+        pivots[dim] = spread(part, min(PIVOTS, max(1, -(-total // (BLOCK // 2)))))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -354,60 +437,74 @@ def vector_links(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(away)], [*batch.schema.names, "cell", "away"])
 
     kind = classes.schema["v"].dataType.simpleString()
-    dealt = materialize(classes.select("cid", "rep", "n", "v", "dim").mapInArrow(assign, f"cid long, rep long, n long, v {kind}, dim int, cell long, away double"), "cells")
+    dealt = classes.select("cid", "n", "v", "dim").mapInArrow(assign, f"cid long, n long, v {kind}, dim int, cell long, away double")
     cells = sorted((r["dim"], r["cell"], r["n"], r["far"]) for r in dealt.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("away").alias("far")).collect())
-    # Blocks are numbered through; a block of each allowed pair of cells meets those of the other.
+    # A cell is some blocks; a group is some blocks of one length of vectors, and meets the groups of its cells' partners.
     blocks = [-(-n // BLOCK) for _, _, n, _ in cells]
-    first = np.r_[0, np.cumsum(blocks)].tolist()
-    partners: dict[tuple[int, int], list[int]] = {}
+    place, groups, filled = {}, [], 0
+    for (d, c, _, _), number_of in zip(cells, blocks, strict=True):
+        place[d, c] = (len(groups), number_of)
+        full = max(1, min(-(-sum(blocks) // GROUPS), GROUP_BYTES // (4 * BLOCK * d)))
+        for _ in range(number_of):
+            new = not groups or filled >= full or groups[-1][0] != d
+            filled = 1 if new else filled + 1
+            groups.append((d, (groups[-1][1] + new) if groups else 0))
+    group_of = np.array([g for _, g in groups], np.int64)
+    inside = [set(group_of[place[d, c][0] : place[d, c][0] + place[d, c][1]].tolist()) for d, c, _, _ in cells]
+    partners: dict[int, set[int]] = {g: set() for g in group_of.tolist()}
     for i, (d, c, _, far) in enumerate(cells):
-        meets = []
         for j, (e, o, _, reach) in enumerate(cells):
             if d != e or (d in pivots and float(distances(pivots[d][c : c + 1], pivots[e][o : o + 1])[0, 0]) > t + far + reach + SLACK and i != j):
                 continue
-            meets += range(first[j], first[j + 1])
-        partners[(d, c)] = meets
-    place = {(d, c): (first[i], blocks[i]) for i, (d, c, _, _) in enumerate(cells)}
+            for g in inside[i]:
+                partners[g] |= inside[j]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dim, cell, luck = (batch.column(n).to_numpy() for n in ("dim", "cell", "luck"))
             block = np.array([place[d, c][0] + k % place[d, c][1] for d, c, k in zip(dim.tolist(), cell.tolist(), luck.tolist(), strict=True)], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("cid", "n", "v", "dim", "cell")] + [pa.array(block)], ["cid", "n", "v", "dim", "cell", "block"])
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("cid", "n", "v")] + [pa.array(block), pa.array(group_of[block])], ["cid", "n", "v", "block", "grp"])
 
     def grow(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        vectors = _matrix(table["v"].combine_chunks())
-        raw = pack_tree(CoverTree(unit(vectors)), vectors, table["cid"].to_numpy(), table["n"].to_numpy())
-        block = table["block"][0].as_py()
-        meets = partners[table["dim"][0].as_py(), table["cell"][0].as_py()]
-        return pa.table({"block": pa.array([block], pa.int64()), "tree": pa.array([raw], pa.large_binary()).cast(pa.binary()), "meets": pa.array([meets], pa.list_(pa.int64()))})
-
-    spots = dealt.select("cid", "n", "v", "dim", "cell", F.abs(F.xxhash64("v", F.lit(3)) % 1000003).alias("luck")).mapInArrow(number, f"cid long, n long, v {kind}, dim int, cell long, block long")
-    trees = materialize(spots.groupBy("block").applyInArrow(grow, "block long, tree binary, meets array<long>"), "trees")
-
-    def meet(table: pa.Table) -> pa.Table:
-        """All allowed pairs of blocks of two tiles."""
-        blocks, tiles = table["block"].to_pylist(), (table["p"][0].as_py(), table["q"][0].as_py())
-        meets = dict(zip(blocks, table["meets"].to_pylist(), strict=True))
-        tree = {k: unpack_tree(t.as_py()) for k, t in zip(blocks, table["tree"], strict=True)}
-        out = []
-        for i in sorted(k for k in tree if k // TILE == tiles[0]):
-            for j in sorted(k for k in tree if k // TILE == tiles[1] and k >= i and k in set(meets[i])):
-                (lt, lr, lw), (rt, rr, rw) = tree[i], tree[j]
-                links = dual_traversal(lt, rt, lw, rw, threshold, i == j)
-                ids = lr if i == j else np.r_[lr, rr]
-                count = links.count - 1 if i == j else links.count
+        vectors, cid, n, block = _matrix(table["v"].combine_chunks()), *(table[c].to_numpy() for c in ("cid", "n", "block"))
+        trees = []
+        for b in np.unique(block):
+            at = np.flatnonzero(block == b)
+            trees.append(pack_tree(CoverTree(unit(vectors[at])), vectors[at], cid[at], n[at]))
+        grp = table["grp"][0].as_py()
+        return pa.table({"grp": pa.array([grp], pa.int64()), "trees": pa.array([pickle.dumps(trees, protocol=5)], pa.binary()), "meets": pa.array([sorted(partners[grp])], pa.list_(pa.int64()))})
+
+    spots = dealt.select("cid", "n", "v", "dim", "cell", F.abs(F.xxhash64("v", F.lit(3)) % 1000003).alias("luck")).mapInArrow(number, f"cid long, n long, v {kind}, block long, grp long")
+    trees = materialize(spots.groupBy("grp").applyInArrow(grow, "grp long, trees binary, meets array<long>"), "trees")
+
+    def planted(raw: bytes) -> tuple[Forest, np.ndarray, np.ndarray]:
+        trees, rep, weight = zip(*map(unpack_tree, pickle.loads(raw)), strict=True)
+        return Forest(list(trees)), np.concatenate(rep), np.concatenate(weight)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The links between the rows of two groups."""
+        last = None, None
+        for batch in batches:
+            for p, q, a, b in zip(*(batch.column(n) for n in ("p", "q", "a", "b")), strict=True):
+                same = p == q
+                last = last if last[0] == p else (p, planted(a.as_buffer()))
+                lt, lr, lw = last[1]
+                rt, rr, rw = last[1] if same else planted(b.as_buffer())
+                links = dual_traversal(lt, rt, lw, rw, threshold, same, basis=basis.get(lt.x.shape[1]))
+                ids = lr if same else np.r_[lr, rr]
+                count = links.count - 1 if same else links.count
                 root = links.root(np.arange(len(ids)))
                 some = np.flatnonzero((count > 0) | (root != np.arange(len(ids))))
-                out.append((ids[some], count[some], ids[root[some]]))
-        return pa.table({n: np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k, n in enumerate(("cid", "links", "root"))})
-
-    # A block goes to each tile that one of its partners is in, once.
-    sent = trees.select("block", "tree", "meets", F.explode(F.array_distinct(F.transform("meets", lambda m: F.floor(m / TILE).cast("long")))).alias("other"))
-    own = F.floor(F.col("block") / TILE).cast("long")
-    pairs = sent.select(F.least(own, "other").alias("p"), F.greatest(own, "other").alias("q"), "block", "tree", "meets")
-    found = materialize(pairs.groupBy("p", "q").applyInArrow(meet, "cid long, links long, root long"), "links")
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(count[some]), pa.array(ids[root[some]])], ["cid", "links", "root"])
+
+    # Groups meet by a product of the table's files, which is read again for each part of it: nothing is sent twice to disk.
+    bounded_batches(vectors.sparkSession)
+    left = trees.select(F.col("grp").alias("p"), F.col("trees").alias("a"), "meets").hint("shuffle_replicate_nl")
+    right = trees.select(F.col("grp").alias("q"), F.col("trees").alias("b"))
+    pairs = left.join(right, (F.col("p") <= F.col("q")) & F.array_contains("meets", F.col("q")))
+    found = materialize(pairs.select("p", "q", "a", "b").mapInArrow(meet, "cid long, links long, root long"), "links")
+    release(trees)
 
     names = classes.select("cid", "rep")
     counts = found.groupBy("cid").agg(F.sum("links").alias("n_links"))

@@ -1,6 +1,7 @@
 """Near-duplicate operators against all pairs."""
 
 import itertools
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +112,48 @@ def test_cover_tree_finds_all_pairs(seed, dim):
     assert two.count.tolist() == np.r_[(near[:170, 170:] * weight[170:]).sum(1), (near[:170, 170:] * weight[:170, None]).sum(0)].tolist()
 
 
+@pytest.mark.parametrize("dim", [3, 40])
+def test_forests_link_what_all_pairs_link(dim):
+    rng = np.random.default_rng(5)
+    raw = np.concatenate([rng.normal(size=(300, dim)), rng.normal(size=(1, dim)) + 0.1 * rng.normal(size=(150, dim)), np.ones((1, dim)) + 0.001 * rng.normal(size=(150, dim)), np.eye(dim)[:3]])
+    x, weight = covertree.unit(raw[rng.permutation(len(raw))]), rng.integers(1, 4, len(raw))
+    near = x @ x.T >= 0.95
+    left, right = (covertree.Forest([covertree.CoverTree(x[a:b]) for a, b in itertools.pairwise(cut)]) for cut in ((0, 1, 120, 290), (290, 400, len(x))))
+    basis = covertree.coordinates(x[:100])
+    two = covertree.dual_traversal(left, right, weight[:290], weight[290:], 0.95, False, basis=basis)
+    assert two.count.tolist() == np.r_[(near[:290, 290:] * weight[290:]).sum(1), (near[:290, 290:] * weight[:290, None]).sum(0)].tolist()
+    one = covertree.dual_traversal(left, left, weight[:290], weight[:290], 0.95, True, lot=1 << 12, basis=basis)
+    assert one.count.tolist() == (near[:290, :290] * weight[:290]).sum(1).tolist()
+    assert one.root(np.arange(290)).tolist() == plain_components(290, np.argwhere(near[:290, :290]).tolist())
+
+
+def test_a_traversal_costs_no_more_than_all_products():
+    x = covertree.unit(np.random.default_rng(6).normal(size=(8192, 64)))
+    left, right, one = covertree.CoverTree(x[:4096]), covertree.CoverTree(x[4096:]), np.ones(4096, np.int64)
+
+    def least(run):
+        took = []
+        for _ in range(5):
+            start = time.process_time()
+            run()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    plain = least(lambda: np.flatnonzero(x[:4096] @ x[4096:].T >= 0.95))
+    assert least(lambda: covertree.dual_traversal(left, right, one, one, 0.95, False)) < 1.5 * plain
+
+
+def test_groups_of_blocks_meet(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "BLOCK", 16)
+    monkeypatch.setattr(covertree, "GROUP_BYTES", 16 * 4 * 40 * 2)
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(200, 40)), rng.normal(size=(1, 40)) + 0.15 * rng.normal(size=(120, 40))]).astype(np.float32)
+    got = covertree.vector_links(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+    near = covertree.unit(x) @ covertree.unit(x).T >= 0.95
+    label = plain_components(len(x), np.argwhere(near).tolist())
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(k, int(near[k].sum()) - 1, label[k]) for k in range(len(x))]
+
+
 def test_cover_tree_levels_halve_and_cover():
     x = covertree.unit(np.random.default_rng(2).normal(size=(400, 3)))
     tree = covertree.CoverTree(x)
