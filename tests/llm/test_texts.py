@@ -601,6 +601,23 @@ def test_seating_agrees_with_a_plain_sampler():
     assert np.abs(np.mean(got, axis=0) / want - 1).max() < 0.05
 
 
+def test_splits_are_counted_over_all_rows(spark, monkeypatch):
+    texts = ["hot " * 5000] + [f"a{k} b{k}" for k in range(6000)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    seen, scatter = [], pitmanyor._scatter
+    monkeypatch.setattr(pitmanyor, "_scatter", lambda docs, splits, partitions: seen.append(splits) or scatter(docs, splits, partitions))
+    assert pitmanyor.score_documents(docs).count() == len(texts)
+    counts = collections.Counter()
+    for text in texts:
+        data, offsets = text_bytes(pa.array([text], pa.string()))
+        one, two = pitmanyor.before(*pitmanyor.tokens(data, offsets))
+        counts.update(zip(itertools.repeat(0), one.tolist()))
+        counts.update(zip(itertools.repeat(1), pitmanyor.mixed(two, one).tolist()))
+    want = {k: -(-n // pitmanyor.LEAST_SPLIT) for k, n in counts.items() if n > pitmanyor.LEAST_SPLIT}
+    got = [dict(zip(itertools.product([kind], keys.tolist()), parts.tolist(), strict=True)) for kind, keys, parts in ((0, seen[0].words, seen[0].word_parts), (1, seen[0].pairs, seen[0].pair_parts))]
+    assert got[0] | got[1] == want and sorted(want.values()) == [3, 3, 4, 4]
+
+
 def test_split_words_keep_whole_contexts():
     rng = np.random.default_rng(3)
     words_ = np.sort(rng.integers(1, 2**63, 2, dtype=np.uint64))
