@@ -13,8 +13,9 @@ decides.
 
 Where covering radii are above t, nothing can be counted as a whole, and in many
 dimensions hardly a pair of nodes is dropped, so a traversal begins at the level
-where they are within t.  Its pairs of nodes are sifted in single precision by
-their distance in the ``SIFT`` directions in which vectors of a bounded sample
+where they are within t.  Its nodes lie by their angle to the middle of their
+tree; only ranges of nodes whose angles to it are near enough meet.  Their pairs
+are sifted in single precision by their distance in the ``SIFT`` directions in which vectors of a bounded sample
 differ most: it is never above their distance, so what is too far there is
 dropped, and the rest is compared in full.
 
@@ -56,13 +57,14 @@ from .shared import bounded_batches, materialize, release
 
 THRESHOLD = 0.95
 BLOCK = 4096
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 3 << 20
 GROUPS = 4
 SAMPLE = 4096
 PIVOTS = 256
 SLACK = 1e-6
 SIFT = 24
 SIFT_SLACK = 1e-5
+TURN_SLACK = 0.01
 SIFT_ROWS, SIFT_COLUMNS = 512, 2048
 LEAF_RADIUS = 2.0**-6
 
@@ -77,6 +79,10 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
 
 
+def angles(x: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ middle, -1, 1))
+
+
 class CoverTree:
     """Nested levels over unit vectors.
 
@@ -214,7 +220,7 @@ def coordinates(x: np.ndarray) -> np.ndarray | None:
     return np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :SIFT] if x.shape[1] > SIFT else None
 
 
-def dual_traversal(left: CoverTree, right: CoverTree, weight_l: np.ndarray, weight_r: np.ndarray, threshold: float, same: bool, lot: int = 1 << 22, basis: np.ndarray | None = None) -> Links:
+def dual_traversal(left: CoverTree, right: CoverTree, weight_l: np.ndarray, weight_r: np.ndarray, threshold: float, same: bool, lot: int = 1 << 21, basis: np.ndarray | None = None) -> Links:
     """Links between the rows of two trees or forests (of one with itself if ``same``).
 
     Rows are numbered left first; a row's count is the weight of the rows it links with.  ``basis`` holds orthonormal
@@ -309,48 +315,60 @@ def dual_traversal(left: CoverTree, right: CoverTree, weight_l: np.ndarray, weig
                 stack += visit(k + 1, *_expand(a[part], b[part], kids_l, kids_r))
 
     # Above the level whose covering radii are within the threshold no pair of nodes can be counted as a whole, and in many
-    # dimensions hardly one is dropped: the traversal begins there.  Its pairs are sifted in single precision by their
-    # distance in a few directions, which is none greater than their distance.
+    # dimensions hardly one is dropped: the traversal begins there.  Its pairs are sifted in single precision, by their
+    # angles to the trees' middles and by their distance in a few directions, which is never above their distance.
     start = max(next(k for k, r in enumerate(tree.levels) if r[2].max() <= t or k == len(tree.levels) - 1) for tree in (left, right))
 
-    def sides(tree: CoverTree) -> list[list[tuple]]:
-        """For each tree the nodes that are one point and the others, their greatest covering radius, and coordinates."""
+    def sides(tree: CoverTree) -> list[tuple[np.ndarray, list[tuple]]]:
+        """For each tree its middle, and the nodes that are one point and the others by their angle to it."""
         points, _, cover, _, _ = level(tree, start)
         cut, out = tree.cuts[min(start, len(tree.levels) - 1)], []
         for a, b in zip(cut, cut[1:], strict=False):
-            out.append([])
+            mean = tree.x[points[a:b]].mean(0)
+            middle = (mean / np.sqrt(mean @ mean) if mean @ mean > SLACK else tree.x[points[a]]).astype(np.float32)
+            out.append((middle, []))
             for nodes in (a + np.flatnonzero(cover[a:b] == 0), a + np.flatnonzero(cover[a:b] > 0)):
                 if len(nodes):
-                    x = tree.x[points[nodes]]
-                    low = (x if basis is None else x @ basis).astype(np.float32)
-                    out[-1].append((nodes, cover[nodes].max(), low, np.einsum("ij,ij->i", low, low)[:, None] / 2))
+                    x = tree.x[points[nodes]].astype(np.float32)
+                    angle = angles(x, middle)
+                    order = np.argsort(angle)
+                    nodes, x = nodes[order], x[order]
+                    low = x if basis is None else (tree.x[points[nodes]] @ basis).astype(np.float32)
+                    half = np.einsum("ij,ij->i", low, low)[:, None] / 2
+                    out[-1][1].append((nodes, cover[nodes].max(), angle[order], x, np.hstack([low, -half, np.ones_like(half)]), np.hstack([low, np.ones_like(half), -half])))
         return out
 
-    def sift(g: tuple, h: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def sift(g: tuple, h: tuple, middle_l: np.ndarray, middle_r: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of nodes that may be near enough, and few others."""
-        (own, ra, low_l, half_l), (other, rb, low_r, half_r) = g, h
-        bound = np.float32(-((t + ra + rb + SLACK) ** 2) / 2 - SIFT_SLACK)
-        one = np.ones_like
-        low_l, low_r = np.hstack([low_l, -half_l, one(half_l)]), np.hstack([low_r, one(half_r), -half_r]).T
-        pa_, pb_ = level(left, start)[0], level(right, start)[0]
-        for s in range(0, len(own), SIFT_ROWS):
-            for u in range(0, len(other), SIFT_COLUMNS):
-                z = low_l[s : s + SIFT_ROWS] @ low_r[:, u : u + SIFT_COLUMNS]
+        (own, ra, angle_l, x_l, low_l, _), (other, rb, angle_r, x_r, _, low_r) = g, h
+        reach = t + ra + rb + SLACK
+        bound, turn = np.float32(-(reach**2) / 2 - SIFT_SLACK), 2 * np.arcsin(min(1.0, reach / 2)) + TURN_SLACK
+        # Angles to a third vector differ by no more than the angle between two.
+        back, away = angles(x_l, middle_r), angles(x_r, middle_l)
+        some, order = np.flatnonzero((back >= angle_r[0] - turn) & (back <= angle_r[-1] + turn)), np.argsort(away)
+        away, low_r = away[order], low_r[order].T
+        for s in range(0, len(some), SIFT_ROWS):
+            rows = some[s : s + SIFT_ROWS]
+            first, last = np.searchsorted(away, (angle_l[rows[0]] - turn, angle_l[rows[-1]] + turn))
+            for u in range(first, last, SIFT_COLUMNS):
+                columns = order[u : min(u + SIFT_COLUMNS, last)]
+                z = low_l[rows] @ low_r[:, u : u + len(columns)]
                 hit = np.flatnonzero(z.ravel() >= bound)
                 if basis is not None and len(hit) > z.size // 64:
-                    z = left.x[pa_[own[s : s + SIFT_ROWS]]].astype(np.float32) @ right.x[pb_[other[u : u + SIFT_COLUMNS]]].astype(np.float32).T
+                    z = x_l[rows] @ x_r[columns].T
                     hit = np.flatnonzero(z.ravel() >= 1 + bound)
                 if len(hit):
-                    yield own[s + hit // z.shape[1]], other[u + hit % z.shape[1]]
+                    yield own[rows[hit // len(columns)]], other[columns[hit % len(columns)]]
 
     sides_l = sides(left)
     sides_r = sides_l if same else sides(right)
     roots = distances(left.x[left.levels[0][0]], right.x[right.levels[0][0]]) <= t + left.levels[0][2][:, None] + right.levels[0][2] + SLACK
     found, size = [], 0
     for i, j in np.argwhere(roots):
-        for g in sides_l[i]:
-            for h in sides_r[j]:
-                for pair in sift(g, h):
+        (middle_l, parts_l), (middle_r, parts_r) = sides_l[i], sides_r[j]
+        for g in parts_l:
+            for h in parts_r:
+                for pair in sift(g, h, middle_l, middle_r):
                     found.append(pair)
                     size += len(pair[0])
                     if size >= lot:
@@ -431,9 +449,10 @@ def vector_links(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
             for d in np.unique(dim).tolist():
                 at = np.flatnonzero(dim == d)
                 if d in pivots:
-                    dist = distances(unit(_matrix(batch.column("v").take(pa.array(at)))), pivots[d])
-                    cell[at] = dist.argmin(1)
-                    away[at] = dist[np.arange(len(at)), cell[at]]
+                    for own in np.split(at, range(1024, len(at), 1024)):
+                        dist = distances(unit(_matrix(batch.column("v").take(pa.array(own)))), pivots[d])
+                        cell[own] = dist.argmin(1)
+                        away[own] = dist[np.arange(len(own)), cell[own]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(away)], [*batch.schema.names, "cell", "away"])
 
     kind = classes.schema["v"].dataType.simpleString()
@@ -441,13 +460,12 @@ def vector_links(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     cells = sorted((r["dim"], r["cell"], r["n"], r["far"]) for r in dealt.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("away").alias("far")).collect())
     # A cell is some blocks; a group is some blocks of one length of vectors, and meets the groups of its cells' partners.
     blocks = [-(-n // BLOCK) for _, _, n, _ in cells]
-    place, groups, filled = {}, [], 0
-    for (d, c, _, _), number_of in zip(cells, blocks, strict=True):
+    place, groups, filled, held = {}, [], 0, 0.0
+    for (d, c, n, _), number_of in zip(cells, blocks, strict=True):
         place[d, c] = (len(groups), number_of)
-        full = max(1, min(-(-sum(blocks) // GROUPS), GROUP_BYTES // (4 * BLOCK * d)))
         for _ in range(number_of):
-            new = not groups or filled >= full or groups[-1][0] != d
-            filled = 1 if new else filled + 1
+            new = not groups or groups[-1][0] != d or filled * GROUPS >= sum(blocks) or held + n / number_of > GROUP_BYTES / (4 * d)
+            filled, held = (1, n / number_of) if new else (filled + 1, held + n / number_of)
             groups.append((d, (groups[-1][1] + new) if groups else 0))
     group_of = np.array([g for _, g in groups], np.int64)
     inside = [set(group_of[place[d, c][0] : place[d, c][0] + place[d, c][1]].tolist()) for d, c, _, _ in cells]
