@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from datetime import date, timedelta
 
@@ -601,6 +602,77 @@ def test_seating_agrees_with_a_plain_sampler():
     assert np.abs(np.mean(got, axis=0) / want - 1).max() < 0.05
 
 
+def dealt(texts, splits, held=None, flushes=1):
+    """The token blobs of some texts, all of them in one partition."""
+    salt = np.array([zlib.crc32(t.encode()) % 65536 for t in texts], np.uint16)
+    held = np.zeros(len(texts), bool) if held is None else held
+    blobs, salts = [], []
+    for k, at in enumerate(np.array_split(np.arange(len(texts)), flushes)):
+        data, offsets = text_bytes(pa.array([texts[i] for i in at]))
+        word, count = pitmanyor.tokens(data, offsets)
+        blobs += [raw for _, raw in pitmanyor.dealt_blobs((0, k), word, count, held[at], salt[at], splits, 1)]
+        salts.append((word, *pitmanyor.before(word, count), np.repeat(salt[at], count), np.repeat(held[at], count)))
+    return blobs, [np.concatenate(x) for x in zip(*salts, strict=True)]
+
+
+def hot_splits(one, two):
+    words_, n = np.unique(one, return_counts=True)
+    pairs, m = np.unique(pitmanyor.mixed(two, one), return_counts=True)
+    top, often = np.sort(words_[n > n.max() // 2]), np.sort(pairs[m > m.max() // 2])
+    return pitmanyor.Splits(top, np.full(len(top), 3), often, np.full(len(often), 2))
+
+
+@pytest.mark.parametrize("bits", [64, 30])
+def test_partitions_count_each_word_of_each_context(monkeypatch, bits):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdefgh", range(1, 9), k=rng.randint(0, 60))) for _ in range(300)]
+    held = np.arange(300) % 5 == 1
+    none = np.zeros(0, np.uint64)
+    splits = hot_splits(*dealt(texts, pitmanyor.Splits(none, none, none, none))[1][1:3])
+    monkeypatch.setattr(pitmanyor, "KEY_BITS", bits, raising=False)
+    blobs, (word, one, two, salt, out) = dealt(texts, splits, held, 3)
+    near = splits.near(one, two, salt)
+    assert len(np.unique(near)) > len(np.unique(one))
+    part, short = pitmanyor.Partition(blobs, splits), pitmanyor.Partition(blobs, splits, tokens=False)
+    of_word = part.words[part.w2[part.in2]]
+    assert (of_word[part.type_of] == word).all() and (part.count == [((word == w) & ~out).sum() for w in part.words]).all()
+    for numbers, keys in ((part.type_of, (near, two, word)), (part.r3[part.type_of], (near, two)), (part.in2[part.type_of], (near, word)), (part.r2[part.in2][part.type_of], (near,))):
+        pairs = set(zip(numbers.tolist(), zip(*(k.tolist() for k in keys), strict=True), strict=True))
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) == numbers.max() + 1
+    assert (part.c3 == np.bincount(part.type_of, weights=~out)).all() and (np.diff(part.in2) >= 0).all() and (np.diff(part.r2) >= 0).all()
+    for name in ("words", "c3", "in2", "r3", "w2", "r2", "count", "n3", "n2"):
+        assert np.array_equal(getattr(part, name), getattr(short, name)), name
+    model, p0 = pitmanyor.Model((0.4, 0.3, 0.5), (1.0, 1.5, 0.8), 0, 8), np.full(len(part.words), 0.1)
+    for s in short.chain(p0, model, np.random.default_rng(3)):
+        assert (s.c2 == np.bincount(part.in2, weights=s.t3)).all()
+        for t, c in ((s.t3, part.c3), (s.t2, s.c2)):
+            assert (t[c < 2] == c[c < 2]).all() and (t >= np.minimum(c, 1)).all() and (t <= c).all() and (t[c > 1] > 1).any()
+
+
+def test_seating_costs_a_few_sorts_of_the_tokens():
+    """CPU seconds to number a partition's words and to draw all of its samples, against a stable sort of its tokens."""
+    rng = np.random.default_rng(2)
+    word = (rng.zipf(1.4, 1_000_000) % 50_000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) & np.uint64((1 << pitmanyor.WORD_BITS) - 1)
+    none, count = np.zeros(0, np.uint64), np.full(2000, 500)
+    splits = pitmanyor.Splits(none, none, none, none)
+    blobs = [raw for _, raw in pitmanyor.dealt_blobs((0, 0), word, count, np.zeros(2000, bool), np.zeros(2000, np.uint16), splits, 1)]
+    model = pitmanyor.Model((0.5, 0.7, 0.8), (1.0, 2.0, 2.0), len(word), 50_000)
+
+    def seconds(work):
+        out = []
+        for _ in range(3):
+            began = time.process_time()
+            work()
+            out.append(time.process_time() - began)
+        return min(out)
+
+    def sampled():
+        part = pitmanyor.Partition(blobs, splits)
+        list(part.chain(np.full(len(part.words), 1e-4), model, np.random.default_rng(1)))
+
+    assert seconds(sampled) < 7 * seconds(lambda: np.argsort(word, kind="stable"))
+
+
 def test_splits_are_counted_over_all_rows(spark, monkeypatch):
     texts = ["hot " * 5000] + [f"a{k} b{k}" for k in range(6000)] + [None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
