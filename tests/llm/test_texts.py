@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import time
@@ -673,6 +674,23 @@ def test_seating_costs_a_few_sorts_of_the_tokens():
     assert seconds(sampled) < 7 * seconds(lambda: np.argsort(word, kind="stable"))
 
 
+def test_waiting_workers_keep_no_freed_memory():
+    kept = []
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+
+    def work(n):
+        blocks = [np.ones(8000) for _ in range(n)]
+        kept.extend(blocks[::-100])  # so that the heap's end is in use
+        yield len(blocks)
+
+    before = resident()
+    assert list(pitmanyor.lean(work)(4000)) == [4000]
+    assert resident() - before < 64
+
+
 def test_splits_are_counted_over_all_rows(spark, monkeypatch):
     texts = ["hot " * 5000] + [f"a{k} b{k}" for k in range(6000)] + [None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
