@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_BYTES = 2 << 20
+from quarry.functions.udf import bounded_batches
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -58,18 +58,6 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to ``BATCH_BYTES``, unless they are smaller.
-
-    A batch is held by the JVM, on its way, and by the Python worker, beside its output; Spark's own bound of 64 MB
-    would hold whole input splits several times in every running task.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
-    if now <= 0 or now > BATCH_BYTES:
-        spark.conf.set(name, BATCH_BYTES)
-
-
 def numbered(df: DataFrame) -> DataFrame:
     """``df`` with columns named by their place, for Arrow functions, which don't take names with dots; its batches are bounded."""
     bounded_batches(df.sparkSession)

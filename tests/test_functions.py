@@ -260,3 +260,34 @@ def test_catalogues(spark):
     rules = [("dos", "MSDOS", "'MZ'"), ("bad", "X", "4"), ("zip", "ZIP", "504B"), ("any", "BINARY", "..")]
     assert sorted((r.id, r.name) for r in catalogues.scan_signatures(data, "id", rules).collect()) == [(1, "any"), (1, "dos"), (2, "any"), (2, "zip")]
     assert [r.is_valid for r in catalogues.signature_table(spark, rules).collect()] == [True, False, True, True]
+
+
+def test_records_of_a_batch_are_objects_a_few_at_a_time(spark):
+    """The records of some pages exist as Python objects at once, not those of the whole batch."""
+    import tracemalloc
+
+    from quarry.functions import udf
+    from quarry.operators import strings_scan
+
+    kind = udf.to_arrow_type(udf.T._parse_datatype_string(strings_scan.RECORD))
+    pages = [(b"line %06d\n" % k) * 400 for k in range(500)]
+    run = udf._batched(lambda content: strings_scan.find_strings(content, 6), kind)
+    tracemalloc.start()
+    got = run(udf.pa.array([*pages, None]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 501 and not got[500].is_valid and [len(got[k]) for k in (0, 499)] == [400, 400]
+    assert got[499][399].as_py() == {"offset": 399 * 12, "byte_size": 11, "characters": 11, "encoding": "ASCII", "text": "line 000499", "truncated": False}
+    assert peak < 30e6
+
+
+def test_batch_functions_of_rows_at_once():
+    """Slices give what the whole batch gives, with nulls, without rows, and with a row longer than a slice."""
+    from quarry.functions import udf
+
+    double = udf._batched(lambda content: content * 2, udf.pa.binary())
+    rows = [b"ab", None, b"x" * (udf.SLICE_BYTES + 1), b"", *[b"%d" % k for k in range(3 * udf.SLICE_ROWS)]]
+    assert double(udf.pa.array(rows)).to_pylist() == [r and r * 2 if r is not None else None for r in rows]
+    assert double(udf.pa.array([], udf.pa.binary())).to_pylist() == []
+    parts = list(udf._slices((udf.pa.array(rows, udf.pa.binary()),)))
+    assert len(parts) > 3 and [x for (p,) in parts for x in p.to_pylist()] == rows
