@@ -336,3 +336,12 @@ def test_layouts_from_specs(spark):
     assert (got[0].x.a, got[0].x.b, got[1].x, got[2].x) == (0x0102, -1, None, None)
     sizes = {"cab_header": 36, "elf32_header": 52, "mach_header": 28, "png_header": 29, "pcap_header": 24, "mbr_entry": 16, "wad_header": 12, "gif_header": 13, "sqlite_header": 32}
     assert {n: layout.LAYOUTS[n].size for n in sizes} == sizes
+
+
+def test_contents_made_in_python_are_made_once(spark):
+    """Listing and extracting add one Python step to those that make a content; contents of no type have no members."""
+    files = spark.createDataFrame([(k, ["a", "b"], [b"1", b"2"]) for k in range(3)], "id long, names array<string>, files array<binary>")
+    packed = files.select("id", F.when(F.col("id") < 2, members.pack(F.col("names"), F.col("files"), "tar")).when(F.col("id") == 2, F.lit(b"none")).alias("content"))
+    for rows in (members.list_members(packed, "id"), members.extract(packed, "id"), members.list_members(packed, "id", limit=1)):
+        assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 2
+        assert {(r.id, r.container) for r in rows.collect()} == {(0, "TAR"), (1, "TAR")}
