@@ -7,10 +7,17 @@ Offsets count from 0; anything outside the content is null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def content(text: Column) -> Column:
     """The UTF-8 bytes of a text."""
     return F.encode(text, "UTF-8")
@@ -39,9 +46,9 @@ def part(data: Column, offset: Column | int, length: Column | int) -> Column:
         n = F.when(n == -1, size(data) - o).otherwise(n)
         return F.when((o >= 0) & (n >= 0) & (o + n <= size(data)), F.substring(data, (o + 1).cast("int"), n.cast("int")))
 
-    # The one-element array binds place and length, which may be long expressions, once.
+    # Place and length may be long expressions.
     o, n = (F.lit(x) if isinstance(x, int) else x for x in (offset, length))
-    return F.transform(F.array(F.struct(o.try_cast("bigint").alias("o"), n.try_cast("bigint").alias("n"))), inside)[0]
+    return bound(F.struct(o.try_cast("bigint").alias("o"), n.try_cast("bigint").alias("n")), inside)
 
 
 def unsigned(data: Column, offset: Column | int, width: int, big: bool = False) -> Column:
@@ -49,11 +56,25 @@ def unsigned(data: Column, offset: Column | int, width: int, big: bool = False)
     raw = F.hex(part(data, offset, width))
     if not big and width > 1:
         raw = F.regexp_replace(raw, "(..)" * width, "".join(f"${k}" for k in range(width, 0, -1)))
-    return F.conv(raw, 16, 10).cast("decimal(20,0)" if width == 8 else "bigint")
+    return _number(raw, width)
+
+
+def unsigned_digits(digits: Column, offset: int, width: int, big: bool = False) -> Column:
+    """The same from a content's hex digits, which must be there."""
+    start = 2 * offset + 1
+    return _number(F.substring(digits, start, 2 * width) if big or width == 1 else F.concat(*[F.substring(digits, start + 2 * k, 2) for k in range(width - 1, -1, -1)]), width)
+
+
+def _number(digits: Column, width: int) -> Column:
+    return F.conv(digits, 16, 10).cast("decimal(20,0)" if width == 8 else "bigint")
 
 
 def signed(data: Column, offset: Column | int, width: int, big: bool = False) -> Column:
-    v = unsigned(data, offset, width, big)
+    return as_signed(unsigned(data, offset, width, big), width)
+
+
+def as_signed(v: Column, width: int) -> Column:
+    """The two's complement of an unsigned integer of ``width`` bytes."""
     half, whole = 1 << (8 * width - 1), 1 << (8 * width)
     if width == 8:
         return F.when(v >= F.lit(str(half)).cast("decimal(20,0)"), v - F.lit(str(whole)).cast("decimal(20,0)")).otherwise(v).cast("bigint")

@@ -123,9 +123,12 @@ def best_type(matched: DataFrame, key: str) -> DataFrame:
 def pe_type(data: Column) -> Column:
     """PE32, PE64 or null: the header offset is at most 1 MiB and its magic is there."""
     o = b.u32le(data, 0x3C)
-    inside = (b.size(data) >= 64) & (o <= 1 << 20) & (o + 26 <= b.size(data)) & (b.part(data, o, 4) == b.literal("50450000"))
-    magic = b.u16le(data, o + 24)
-    return F.when(inside & (magic == 0x10B), "PE32").when(inside & (magic == 0x20B), "PE64")
+
+    def kind(head: Column) -> Column:
+        magic = F.substring(head, 25, 2)
+        return F.when(b.at(head, 0, "50450000"), F.when(magic == b.literal("0B01"), "PE32").when(magic == b.literal("0B02"), "PE64"))
+
+    return F.when(o <= 1 << 20, b.bound(b.part(data, o, 26), kind))
 
 
 def elf_type(data: Column) -> Column:

@@ -1,8 +1,8 @@
 """Declared byte layouts as nested columns.
 
-A layout is a list of fields; each becomes an expression over a slice of the
-content, so a projection of some fields only computes those.  A field's place
-follows from the sizes before it, and a size may be an expression.
+A layout is a list of fields; the record is cut out of the content once, and each
+field becomes an expression over its bytes or their hex digits.  A field's place
+follows from the sizes before it.
 """
 
 from __future__ import annotations
@@ -34,14 +34,17 @@ class Field:
     def width(self) -> int:
         return self.length or int(self.kind[1:]) // 8
 
-    def read(self, data: Column, at: Column) -> Column:
+    def read(self, record: Column, digits: Column, at: int) -> Column:
+        """The value at a place of a record, of which there are also the hex digits."""
+        raw = F.substring(record, at + 1, self.width)
         if self.kind == "bytes":
-            return b.part(data, at, self.width)
+            return raw
         if self.kind == "char":  # up to the first zero
-            return F.substring_index(b.latin1(b.part(data, at, self.width)), "\u0000", 1)
+            return F.substring_index(b.latin1(raw), "\u0000", 1)
         if self.kind == "octal":
-            return octal_field(b.part(data, at, self.width), 0, self.width)
-        return (b.signed if self.kind[0] == "i" else b.unsigned)(data, at, self.width, self.big)
+            return octal_field(raw, 0, self.width)
+        value = b.unsigned_digits(digits, at, self.width, self.big)
+        return b.as_signed(value, self.width) if self.kind[0] == "i" else value
 
 
 @dataclass(frozen=True)
@@ -65,29 +68,32 @@ class Layout:
 
     def project(self, data: Column, at: Column | int = 0) -> Column:
         """A struct of all fields; null where the record is not wholly inside or its guard fails."""
-        at = F.lit(at) if isinstance(at, int) else at
-        offsets = self.offsets()
-        whole = (at >= 0) & (at + self.size <= b.size(data))
+        offsets, record = self.offsets(), b.part(data, at, self.size)
         if self.guard is not None:
-            whole = whole & F.coalesce(self.guard(data, at), F.lit(False))
-        return F.when(whole, F.struct(*[f.read(data, at + offsets[f.name]).alias(f.name) for f in self.fields]))
+            record = F.when(self.guard(data, at), record)
+
+        def fields(r: Column) -> Column:
+            return F.when(r["record"].isNotNull(), F.struct(*[f.read(r["record"], r["digits"], offsets[f.name]).alias(f.name) for f in self.fields]))
+
+        return b.bound(record, lambda x: b.bound(F.struct(x.alias("record"), F.hex(x).alias("digits")), fields))
 
     def shown(self, data: Column, at: Column | int = 0) -> Column:
         """A struct of all fields as texts: bytes in hex, numbers in decimal, and what a field's ``display`` makes of its value."""
-        row = self.project(data, at)
 
-        def text(f: Field) -> Column:
-            value = row[f.name]
+        def text(f: Field, value: Column) -> Column:
             if f.display is not None:
                 return f.display(value).cast("string")
             return F.hex(value) if f.kind == "bytes" else value.cast("string")
 
-        return F.when(row.isNotNull(), F.struct(*[text(f).alias(f.name) for f in self.fields]))
+        return b.bound(self.project(data, at), lambda row: F.when(row.isNotNull(), F.struct(*[text(f, row[f.name]).alias(f.name) for f in self.fields])))
 
     def records(self, data: Column, at: Column | int, count: Column) -> Column:
         """An array of ``count`` records that follow each other."""
-        at = F.lit(at) if isinstance(at, int) else at
-        return F.when(count > 0, F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda i: self.project(data, at + i * self.size))).otherwise(F.array())
+
+        def rows(p: Column) -> Column:
+            return F.when(p["n"] > 0, F.transform(F.sequence(F.lit(0), (p["n"] - 1).cast("int")), lambda i: self.project(data, p["at"] + i * self.size))).otherwise(F.array())
+
+        return b.bound(F.struct((F.lit(at) if isinstance(at, int) else at).alias("at"), count.alias("n")), rows)
 
     def field_rows(self, data: Column, at: Column | int = 0) -> Column:
         """An array of (name, type, offset, size, role, raw), one for each field, for a generic view."""

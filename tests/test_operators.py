@@ -345,3 +345,18 @@ def test_contents_made_in_python_are_made_once(spark):
     for rows in (members.list_members(packed, "id"), members.extract(packed, "id"), members.list_members(packed, "id", limit=1)):
         assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 2
         assert {(r.id, r.container) for r in rows.collect()} == {(0, "TAR"), (1, "TAR")}
+
+
+def named(rows, what):
+    return rows._jdf.queryExecution().executedPlan().toString().split("Scan")[0].count(what)
+
+
+def test_a_record_is_cut_out_once(spark):
+    """A field reads the record's bytes, not the content again; places that are read from the content are read once."""
+    rows = frame(spark, pe(), b"BM" + struct.pack("<I", 9) + bytes(8) + struct.pack("<IiiHH", 40, 7, -7, 1, 24) + bytes(4), b"BM")
+    assert named(rows.select(layout.BMP.project(F.col("content")).alias("h")), "content#") <= 12
+    assert named(rows.select(formats.pe_sections(F.col("content")).alias("s")), "content#") <= 60
+    got = rows.select(layout.BMP.project(F.col("content")).alias("h"), formats.pe_sections(F.col("content")).alias("s"), layout.BMP.shown(F.col("content")).alias("t")).collect()
+    assert [r.h and (r.h.file_size, r.h.width, r.h.height, r.h.bits) for r in got] == [None, (9, 7, -7, 24), None]
+    assert [r.s and [(s.name, s.raw_size, s.raw_at) for s in r.s] for r in got] == [[(".text", 512, 512)], None, None]
+    assert [r.t and (r.t.width, r.t.height) for r in got] == [None, ("7", "-7"), None]
