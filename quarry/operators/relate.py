@@ -26,6 +26,24 @@ def bucketed_interval_join(points: DataFrame, ranges: DataFrame, point: str, sta
     return p.join(r, "_bucket").where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("_bucket")
 
 
+def interval_counts(points: DataFrame, ranges: DataFrame, point: str, start: str, end: str, width: int) -> DataFrame:
+    """``ranges`` with ``n``, how many points [start, end) holds, without those that hold none.
+
+    No pairs are made: equal positions and equal ranges are counted together, and in each bucket of ``width`` a range holds
+    the points before its end less those before its start.
+    """
+    at = points.where(F.col(point).isNotNull()).groupBy(F.col(point).alias("_at")).agg(F.count("*").alias("_n"))
+    held = at.select(F.floor(F.col("_at") / width).alias("_bucket"), "_at", F.lit(1).alias("_side"), "_n", F.lit(None).alias("_range"), F.lit(0).alias("_sign"))
+    spans = ranges.where(F.col(end) > F.col(start)).select(F.struct(F.col(start).alias("start"), F.col(end).alias("end")).alias("_range")).distinct()
+    spread = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_range.start") / width), F.floor((F.col("_range.end") - 1) / width))))
+    sides = F.array(F.struct(F.col("_range.start").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("_range.end").alias("at"), F.lit(1).alias("sign")))
+    edges = spread.select("_bucket", "_range", F.explode(sides).alias("_e")).select("_bucket", F.col("_e.at").alias("_at"), F.lit(0).alias("_side"), F.lit(0).cast("bigint").alias("_n"), "_range", F.col("_e.sign").alias("_sign"))
+    w = Window.partitionBy("_bucket").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    before = held.unionByName(edges).withColumn("_before", F.sum("_n").over(w)).where("_side = 0")
+    counts = before.groupBy("_range").agg(F.sum(F.col("_sign") * F.col("_before")).alias("n")).where("n > 0")
+    return ranges.join(counts.select(F.col("_range.start").alias(start), F.col("_range.end").alias(end), "n"), [start, end])
+
+
 def overlaps_before(regions: DataFrame, key: str, offset: str = "offset", size: str = "size") -> DataFrame:
     """``regions`` with ``overlaps``: whether a region begins before all earlier ones have ended."""
     w = Window.partitionBy(key).orderBy(offset, size).rowsBetween(Window.unboundedPreceding, -1)

@@ -360,3 +360,23 @@ def test_a_record_is_cut_out_once(spark):
     assert [r.h and (r.h.file_size, r.h.width, r.h.height, r.h.bits) for r in got] == [None, (9, 7, -7, 24), None]
     assert [r.s and [(s.name, s.raw_size, s.raw_at) for s in r.s] for r in got] == [[(".text", 512, 512)], None, None]
     assert [r.t and (r.t.width, r.t.height) for r in got] == [None, ("7", "-7"), None]
+
+
+def test_interval_counts_make_no_pairs(spark):
+    """Against counting; ranges that are equal, empty, long, or hold nothing, and positions that occur many times."""
+    points = [*range(0, 100, 7), *[35] * 50, *[36] * 20, -5, 1000, None]
+    spans = [(0, 10), (0, 10), (35, 36), (36, 36), (35, 37), (-100, 2000), (200, 300), (29, 31), (9, 5), (None, 4), (99, 1001)]
+    p = spark.createDataFrame([(x,) for x in points], "t long")
+    r = spark.createDataFrame([(k, *s) for k, s in enumerate(spans)], "id long, start long, end long")
+    counts = relate.interval_counts(p, r, "t", "start", "end", 10)
+    joins = [x for x in counts._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+    assert joins and not any("_bucket" in x for x in joins)
+    want = {k: sum(x is not None and a is not None and a <= x < b for x in points) for k, (a, b) in enumerate(spans)}
+    assert {x.id: x.n for x in counts.collect()} == {k: n for k, n in want.items() if n}
+
+
+def test_error_hours_are_counted_without_pairs(spark):
+    from quarry.plans import catalog
+
+    plan = catalog.queries()["event_interval"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not any("_bucket" in x for x in plan.splitlines() if "Join" in x)
